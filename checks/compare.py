@@ -67,9 +67,9 @@ def check(spark, con, sf_dir: str, key: str) -> bool:
         a, b = set(got) - set(want), set(want) - set(got)
         print(f"DIFF  {key}: {len(got)} vs {len(want)} rows; {len(a)} only here, {len(b)} only there {names}")
         for r in sorted(a)[:3]:
-            print("   here ", str(r)[:600])
+            print("   here ", str(r)[:220])
         for r in sorted(b)[:3]:
-            print("   there", str(r)[:600])
+            print("   there", str(r)[:220])
         sys.stdout.flush()
         return False
     flag = "OK   " if got else "EMPTY"
