@@ -77,6 +77,13 @@ def check(spark, con, sf_dir: str, key: str) -> bool:
     return bool(got)
 
 
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
 def main() -> None:
     p = argparse.ArgumentParser()
     p.add_argument("--sf", default="0.01")
@@ -86,9 +93,7 @@ def main() -> None:
 
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark = local_session("8")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    con = connect(sf_dir)
     keys = [k for k in QUERIES if not args.keys or any(k == a or k.startswith(a.rstrip("*")) and a.endswith("*") for a in args.keys)]
     bad = [k for k in keys if not check(spark, con, sf_dir, k)]
     print(f"{len(keys) - len(bad)} of {len(keys)} fine; not: {bad}")

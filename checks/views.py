@@ -462,7 +462,7 @@ def with_views(names: str, body: str, recursive: bool = False) -> str:
     if not order:
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
-    ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in order)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"{head}{ctes},\n{body[5:]}"

@@ -34,7 +34,7 @@ def percent(score) -> Column:
 
 def percent_text(score) -> Column:
     """Whole percent, rounded half to even."""
-    return F.concat(F.format_number(col(score) * 100, "0"), F.lit("%"))
+    return F.concat(F.format_number(col(score) * 100, 0), F.lit("%"))
 
 
 def display_text(n: dict | None = None) -> Column:

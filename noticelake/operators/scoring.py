@@ -205,13 +205,13 @@ def capability_top(pairs: DataFrame, notice_vectors: DataFrame, capabilities: Da
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
-            return pd.DataFrame({"firm_id": [], "notice_id": [], "capability_id": [], "similarity": []})
+            return tiles.empty("firm_id", "notice_id", "capability_id", "similarity")
         cos = tiles.unit_rows(tiles.matrix(a["embedding"])) @ tiles.unit_rows(tiles.matrix(b["embedding"])).T
-        cos = np.round(cos, vx.RANK_DIGITS)
+        ranked = np.round(cos, vx.RANK_DIGITS)
         keep = min(k, cos.shape[1])
-        cut = np.partition(cos, cos.shape[1] - keep, axis=1)[:, -keep][:, None]
-        row, col = np.nonzero(cos >= cut)
-        pos = tiles.best_k(row, cos[row, col], b["capability_id"].to_numpy()[col], k)
+        cut = np.partition(ranked, cos.shape[1] - keep, axis=1)[:, -keep][:, None]
+        row, col = np.nonzero(ranked >= cut)
+        pos = tiles.best_k(row, ranked[row, col], b["capability_id"].to_numpy()[col], k)
         row, col = row[pos], col[pos]
         return pd.DataFrame(
             {
@@ -226,7 +226,7 @@ def capability_top(pairs: DataFrame, notice_vectors: DataFrame, capabilities: Da
         left, right, ["firm_id"], ["notice_id"], ["capability_id"], best,
         f"firm_id string, notice_id string, capability_id {kind}, similarity double",
     )
-    w = Window.partitionBy("firm_id", "notice_id").orderBy(F.desc("similarity"), "capability_id")
+    w = Window.partitionBy("firm_id", "notice_id").orderBy(F.desc(F.round("similarity", vx.RANK_DIGITS)), "capability_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -265,7 +265,7 @@ def capability_reason(score="capability_score") -> Column:
 def _reason_tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     cols = ["firm_id", "notice_id", "win_id", "kind", "win_buyer", "win_value"]
     if not len(b):
-        return pd.DataFrame({c: [] for c in cols})
+        return tiles.empty(*cols)
     names, which = np.unique(_lower(a["buyer_name"]).to_numpy(str), return_inverse=True)
     theirs, whose = np.unique(_lower(b["win_buyer"]).to_numpy(str), return_inverse=True)
     kinds = _buyer_kinds(names, theirs)

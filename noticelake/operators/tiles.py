@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
@@ -59,28 +60,20 @@ def tile_join(
     )
     tile = [*key, "_l", "_r"]
 
+    names = StructType.fromDDL(schema).names
+
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
-            return _empty(schema)
+            return empty(*names)
         return fn(a.drop(columns=["_l", "_r"]), b.drop(columns=["_l", "_r"]))
 
+    # Both sides may come from the same table; fresh names keep their columns apart.
+    rhs = rhs.select(*[F.col(c).alias(c) for c in rhs.columns])
     return lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInPandas(run, schema)
 
 
-def _empty(schema: str) -> pd.DataFrame:
-    return pd.DataFrame({part.strip().split(" ")[0]: [] for part in _fields(schema)})
-
-
-def _fields(schema: str) -> list[str]:
-    """Top-level fields of a DDL string (commas inside <> and () do not split)."""
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(schema):
-        depth += ch in "<("
-        depth -= ch in ">)"
-        if ch == "," and depth == 0:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+def empty(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
 
 def matrix(vectors) -> np.ndarray:

@@ -145,10 +145,6 @@ def _small_queries(queries: DataFrame, query_id: str, limit: int) -> pa.Table |
     return queries.select(query_id, "embedding").toArrow()
 
 
-def _scan_schema(spark_type: str, id_type: str) -> str:
-    return f"query_id {spark_type}, point_id {id_type}, score double"
-
-
 def vector_topk(
     queries: DataFrame,
     points: DataFrame,
@@ -294,7 +290,7 @@ def knn_join(
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
-            return pd.DataFrame({query_id: [], point_id: [], "score": []})
+            return tiles.empty(query_id, point_id, "score")
         score = np.round(
             tiles.unit_rows(tiles.matrix(a["embedding"])) @ tiles.unit_rows(tiles.matrix(b["embedding"])).T, vx.RANK_DIGITS
         )
