@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space when trimming or splitting.
-WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS = r"[\p{IsWhite_Space}\x1C-\x1F]"
 
 
 def col(c) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticelake.functions.text import WS, col, document_id, squeeze, strip, words
+from noticelake.functions.text import WS, col, document_id, let, squeeze, strip, words
 
 MARK = ""
 
@@ -39,28 +39,34 @@ clean_document_text = squeeze
 
 def word_windows(text, size: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP) -> Column:
     """Array of overlapping word windows of more than the minimum length."""
-    # The word list travels in the fold state, so it is built once.
-    listed = words(text)
-    starts = F.when(F.size(listed) > 0, F.sequence(F.lit(0), F.size(listed) - 1, F.lit(size - overlap)))
-    wrapped = F.array(F.struct(listed.alias("w"), starts.alias("s")))
-    windows = F.flatten(
-        F.transform(
-            wrapped,
-            lambda e: F.transform(
-                F.coalesce(e["s"], F.array().cast("array<int>")),
-                lambda i: F.array_join(F.slice(e["w"], i + 1, F.lit(size)), " "),
-            ),
+
+    def cut(listed: Column) -> Column:
+        starts = F.when(F.size(listed) > 0, F.sequence(F.lit(0), F.size(listed) - 1, F.lit(size - overlap))).otherwise(
+            F.array().cast("array<int>")
         )
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(listed, i + 1, F.lit(size)), " "))
+        return F.filter(windows, lambda c: F.length(c) > WINDOW_MIN_CHARS)
+
+    return let(words(text), cut)
+
+
+def numbered(chunks: Column, fields) -> Column:
+    """Array of ``(chunk_index, total_chunks, *fields(chunk))``, ready to be inlined as rows. Each element
+    carries the total, so exploding does not drag the whole array along."""
+    return let(
+        chunks,
+        lambda held: F.transform(
+            held, lambda c, i: F.struct(i.alias("chunk_index"), F.size(held).alias("total_chunks"), *fields(c))
+        ),
     )
-    return F.filter(windows, lambda c: F.length(c) > WINDOW_MIN_CHARS)
 
 
 def word_window_chunks(
     docs: DataFrame, key: list[str], text: str = "text", size: int = WINDOW_WORDS, overlap: int = WINDOW_OVERLAP
 ) -> DataFrame:
     """One row per window: ``chunk_index`` counts kept windows, ``total_chunks`` is their number."""
-    held = docs.select(*key, word_windows(text, size, overlap).alias("_w"))
-    return held.select(*key, F.size("_w").alias("total_chunks"), F.posexplode("_w").alias("chunk_index", "chunk_text"))
+    rows = numbered(word_windows(text, size, overlap), lambda c: [c.alias("chunk_text")])
+    return docs.select(*key, F.inline(rows))
 
 
 def document_chunks(docs: DataFrame, user: str = "user_id", text: str = "text") -> DataFrame:
@@ -300,20 +306,22 @@ def sentence_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return _rows(docs, key, sentence_chunk_array(text)).drop("clause_number")
 
 
-def _poor(chunks: Column) -> Column:
+def _average(chunks: Column) -> Column:
     total = F.aggregate(chunks, F.lit(0), lambda s, c: s + F.length(c["text"]))
-    return (F.size(chunks) < MIN_CLAUSES) | (total / F.size(chunks) < MIN_AVERAGE_CHARS)
+    return F.when(F.size(chunks) > 0, total / F.size(chunks)).otherwise(0.0)
+
+
+def _poor(chunks: Column) -> Column:
+    return (F.size(chunks) < MIN_CLAUSES) | (_average(chunks) < MIN_AVERAGE_CHARS)
 
 
 def structure_gate(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per document, whether its clause chunks are too few or too short to use."""
-    held = docs.select(key, clause_chunk_array(text).alias("_c"))
-    total = F.aggregate("_c", F.lit(0), lambda s, c: s + F.length(c["text"]))
-    average = F.when(F.size("_c") > 0, total / F.size("_c")).otherwise(0.0)
-    return held.select(
-        key, F.size("_c").alias("clause_count"), average.alias("average_size"),
-        F.when(F.size("_c") == 0, True).otherwise(_poor(F.col("_c"))).alias("use_fallback"),
+    judged = let(
+        clause_chunk_array(text),
+        lambda c: F.struct(F.size(c).alias("clause_count"), _average(c).alias("average_size"), _poor(c).alias("use_fallback")),
     )
+    return docs.select(key, judged.alias("_g")).select(key, "_g.*")
 
 
 def legal_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -321,17 +329,19 @@ def legal_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Gate, numbering and totals come from the row's own array: no shuffle.
     """
-    by_clause = docs.select(key, text, clause_chunk_array(text).alias("_c"))
-    poor = F.when(F.size("_c") == 0, True).otherwise(_poor(F.col("_c")))
-    routed = by_clause.select(key, text, "_c", poor.alias("_poor")).select(
-        key,
-        F.when(F.col("_poor"), "fallback").otherwise("clause").alias("chunk_type"),
-        F.when(F.col("_poor"), sentence_chunk_array(text)).otherwise(F.col("_c")).alias("_c"),
+    tag = lambda chunks, kind: F.transform(chunks, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("c")))
+    routed = let(
+        clause_chunk_array(text),
+        lambda c: F.when(_poor(c), tag(sentence_chunk_array(text), "fallback")).otherwise(tag(c, "clause")),
     )
-    return routed.select(key, "chunk_type", F.size("_c").alias("total_chunks"), F.posexplode("_c").alias("chunk_index", "_x")).select(
-        key, "chunk_index", "total_chunks", "chunk_type", F.length("_x.text").alias("chunk_size"),
-        F.col("_x.page").alias("page"), F.col("_x.clause_number").alias("clause_number"), F.col("_x.text").alias("chunk_text"),
+    rows = numbered(
+        routed,
+        lambda e: [
+            e["kind"].alias("chunk_type"), F.length(e["c"]["text"]).alias("chunk_size"), e["c"]["page"].alias("page"),
+            e["c"]["clause_number"].alias("clause_number"), e["c"]["text"].alias("chunk_text"),
+        ],
     )
+    return docs.select(key, F.inline(rows))
 
 
 def chunk_quality(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

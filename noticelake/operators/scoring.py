@@ -8,12 +8,14 @@ filters run before any vector is touched, and notice texts are dropped as soon a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import display, vector as vx
 from noticelake.operators import tiles
+from noticelake.operators.lists import paged_lists
 from noticelake.operators.vectors import rank_top, search_notices
 
 # Weights, steps and limits of the scores.
@@ -40,18 +42,18 @@ def _listed(name: str) -> Column:
 
 
 def preference_columns() -> dict[str, Column]:
-    """Score, hard-filter flag and reason parts from joined notice and preference columns."""
+    """Score, hard-filter flag and reason parts from joined notice and preference columns, the notice's
+    lower-case ``search_text`` and the ``keyword_hits`` in it."""
     value = F.col("value").cast("double")
     low, high = F.col("min_contract_value").cast("double"), F.col("max_contract_value").cast("double")
-    text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit(""))))
-    found = lambda words: F.filter(words, lambda w: text.contains(F.lower(w)))
+    text = F.col("search_text")
     outside = _given(value) & ((_given(low) & (value < low)) | (_given(high) & (value > high)))
     excluded = F.exists(_listed("excluded_categories"), lambda w: text.contains(F.lower(w)))
     regions = _listed("preferred_regions")
     located = (F.length("region") > 0) & (F.size(regions) > 0)
     in_region = located & F.array_contains(regions, F.col("region"))
     base = F.when(in_region, F.lit(1.0) + REGION_BONUS).when(located, F.lit(1.0) * REGION_FACTOR).otherwise(1.0)
-    hits = found(_listed("keywords"))
+    hits = F.col("keyword_hits")
     score = F.least(base + F.size(hits) * F.lit(KEYWORD_BONUS), F.lit(1.0))
     set_up = F.coalesce(F.col("has_preferences"), F.lit(False))
     ranged = set_up & _given(value) & (_given(low) | _given(high))
@@ -70,15 +72,30 @@ def preference_columns() -> dict[str, Column]:
     }
 
 
-def with_preferences(pairs: DataFrame, notices: DataFrame, preferences: DataFrame) -> DataFrame:
-    """Pairs with their notice's buyer and value, the preference score, and ``rejected``."""
-    wanted = preferences.select(
+def _stated(preferences: DataFrame) -> DataFrame:
+    return preferences.select(
         "firm_id", "min_contract_value", "max_contract_value", "preferred_regions", "excluded_categories", "keywords",
         F.lit(True).alias("has_preferences"),
     )
-    about = notices.select("notice_id", "title", "description", "buyer_name", "value", "region")
-    joined = pairs.join(wanted, "firm_id", "left").join(about, "notice_id")
-    return joined.withColumns(preference_columns()).drop(*[c for c in wanted.columns if c != "firm_id"], "description")
+
+
+def with_preferences(pairs: DataFrame, notices: DataFrame, preferences: DataFrame, firms: DataFrame | None = None) -> DataFrame:
+    """Pairs with their notice's buyer and value, the preference score, and ``rejected``.
+
+    With ``firms`` (keyed by ``firm_id``) only pairs of those firms are kept, along with its columns: all
+    that is known of a firm then meets the pairs in a single join.
+    """
+    stated = _stated(preferences)
+    if firms is None:
+        joined = pairs.join(stated, "firm_id", "left")
+    else:
+        joined = pairs.join(firms.join(stated, "firm_id", "left"), "firm_id")
+    # Texts are lower-cased once per notice, before the join, and leave the rows right after it.
+    text = F.lower(F.concat_ws(" ", F.col("title"), F.coalesce("description", F.lit("")))).alias("search_text")
+    about = notices.select("notice_id", "title", "buyer_name", "value", "region", text)
+    hits = F.filter(_listed("keywords"), lambda w: F.col("search_text").contains(F.lower(w)))
+    searched = joined.join(about, "notice_id").withColumn("keyword_hits", hits).withColumns(preference_columns())
+    return searched.drop(*[c for c in stated.columns if c != "firm_id"], "search_text", "keyword_hits")
 
 
 # ---- capabilities and past wins ------------------------------------------------------------------
@@ -101,7 +118,7 @@ def _evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> DataFra
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _buyer_kinds(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+def _buyer_kinds(ours: list[str], theirs: list[str]) -> np.ndarray:
     """2 for equal, 1 for containment, 0 otherwise, for each pair of distinct lower-case names."""
     kinds = np.zeros((len(ours), len(theirs)), dtype=np.int8)
     for i, a in enumerate(ours):
@@ -110,41 +127,33 @@ def _buyer_kinds(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     return kinds
 
 
-def _lower(names: pd.Series) -> pd.Series:
-    return names.fillna("").str.lower()
+_PARTIAL = "firm_id string, notice_id string, preference_score double, sims array<double>, points double"
 
 
-def _score_tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    n = len(a)
-    sims: list = [[] for _ in range(n)]
+def _score_tile(a: pa.Table, b: pa.Table) -> dict:
+    """Best similarities and win points of each pair, from one block of its firm's evidence."""
+    n = a.num_rows
+    rows, _, cos = tiles.cosines(a, b)
+    top = min(TOP_CAPABILITIES, cos.shape[1])
+    best = np.partition(cos, cos.shape[1] - top, axis=1)[:, cos.shape[1] - top :] if top else np.zeros((len(rows), 0))
+    length = np.zeros(n, dtype=np.int64)
+    length[rows] = top
+    offsets = np.r_[0, np.cumsum(length)]
     points = np.zeros(n)
-    has_vector = b["embedding"].notna().to_numpy() if len(b) else np.zeros(0, bool)
-    mine = np.flatnonzero(a["embedding"].notna().to_numpy())
-    if has_vector.any() and len(mine):
-        cos = tiles.unit_rows(tiles.matrix(a["embedding"].iloc[mine])) @ tiles.unit_rows(
-            tiles.matrix(b["embedding"][has_vector])
-        ).T
-        top = min(TOP_CAPABILITIES, cos.shape[1])
-        best = np.sort(np.partition(cos, cos.shape[1] - top, axis=1)[:, -top:], axis=1)[:, ::-1]
-        for i, row in zip(mine, best):
-            sims[i] = row.tolist()
-    wins = b[~has_vector] if len(b) else b
-    if len(wins):
-        names, which = np.unique(_lower(a["buyer_name"]).to_numpy(str), return_inverse=True)
-        theirs, count = np.unique(_lower(wins["win_buyer"]).to_numpy(str), return_counts=True)
-        per_name = np.array([0.0, SIMILAR_BUYER, EQUAL_BUYER])[_buyer_kinds(names, theirs)] @ count
-        points += per_name[which]
-        worth = wins["win_value"].to_numpy(float)
-        worth = np.sort(worth[np.isfinite(worth) & (worth != 0)])
-        value = a["value"].to_numpy(float)
-        value = np.where(np.isfinite(value) & (value != 0), value, np.nan)
-        known = np.isfinite(value)
-        upper = np.searchsorted(worth, value[known] / VALUE_RATIO, "left")
-        lower = np.searchsorted(worth, value[known] * VALUE_RATIO, "right")
-        points[known] += SIMILAR_VALUE * np.maximum(upper - lower, 0)
-    out = a[["firm_id", "notice_id", "preference_score"]].copy()
-    out["sims"], out["points"] = sims, points
-    return out
+    wins = b.filter(pc.is_valid(b.column("win_buyer")))
+    if wins.num_rows:
+        ours, which = tiles.names(a.column("buyer_name"))
+        theirs, whose = tiles.names(wins.column("win_buyer"))
+        per_name = np.array([0.0, SIMILAR_BUYER, EQUAL_BUYER])[_buyer_kinds(ours, theirs)] @ np.bincount(whose, minlength=len(theirs))
+        worth = tiles.numbers(wins.column("win_value"))
+        worth = np.sort(worth[~np.isnan(worth)])
+        value = tiles.numbers(a.column("value"))
+        near = np.searchsorted(worth, value / VALUE_RATIO, "left") - np.searchsorted(worth, value * VALUE_RATIO, "right")
+        points = per_name[which] + SIMILAR_VALUE * np.where(np.isnan(value), 0, np.maximum(near, 0))
+    return {
+        "firm_id": a.column("firm_id"), "notice_id": a.column("notice_id"), "preference_score": a.column("preference_score"),
+        "sims": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(best.ravel())), "points": points,
+    }
 
 
 def score_pairs(
@@ -158,15 +167,18 @@ def score_pairs(
     block: int = tiles.RIGHT_BLOCK,
 ) -> DataFrame:
     """Component and total scores per pair. Rejected pairs and firms without a profile are absent."""
-    wanted = pairs.select("firm_id", "notice_id").join(firms.select("firm_id"), "firm_id", "left_semi")
-    passed = with_preferences(wanted, notices, preferences).where(~F.col("rejected"))
+    pairs, evidence = pairs.select("firm_id", "notice_id"), _evidence(capabilities, past_wins)
+    sizes = tiles.tile_sizes(pairs, evidence, ["firm_id"], block, block)
+    known = firms.select("firm_id").join(sizes, "firm_id")
+    passed = with_preferences(pairs, notices, preferences, known).where(~F.col("rejected"))
     left = passed.join(notice_vectors.select("notice_id", "embedding"), "notice_id", "left").select(
-        "firm_id", "notice_id", "buyer_name", F.col("value").cast("double").alias("value"), "preference_score", "embedding"
+        "firm_id", "notice_id", "buyer_name", F.col("value").cast("double").alias("value"), "preference_score", "embedding",
+        "_lb", "_rb",
     )
     partial = tiles.tile_join(
-        left, _evidence(capabilities, past_wins), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
-        "firm_id string, notice_id string, preference_score double, sims array<double>, points double",
-        left_block=block, right_block=block, left_sizes=pairs.select("firm_id"),
+        left, evidence, ["firm_id"], ["notice_id"], ["rid"], _score_tile,
+        _PARTIAL,
+        left_block=block, right_block=block, sizes=sizes,
     )
     return total_score(merge_partials(partial))
 
@@ -203,24 +215,18 @@ def capability_top(pairs: DataFrame, notice_vectors: DataFrame, capabilities: Da
     right = capabilities.where("embedding is not null").select("firm_id", "capability_id", "embedding")
     kind = dict(capabilities.dtypes)["capability_id"]
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return tiles.empty("firm_id", "notice_id", "capability_id", "similarity")
-        cos = tiles.unit_rows(tiles.matrix(a["embedding"])) @ tiles.unit_rows(tiles.matrix(b["embedding"])).T
-        ranked = np.round(cos, vx.RANK_DIGITS)
-        keep = min(k, cos.shape[1])
-        cut = np.partition(ranked, cos.shape[1] - keep, axis=1)[:, -keep][:, None]
-        row, col = np.nonzero(ranked >= cut)
-        pos = tiles.best_k(row, ranked[row, col], b["capability_id"].to_numpy()[col], k)
-        row, col = row[pos], col[pos]
-        return pd.DataFrame(
-            {
-                "firm_id": a["firm_id"].to_numpy()[row],
-                "notice_id": a["notice_id"].to_numpy()[row],
-                "capability_id": b["capability_id"].to_numpy()[col],
-                "similarity": cos[row, col],
-            }
-        )
+    def best(a: pa.Table, b: pa.Table) -> dict | None:
+        rows, cols, cos = tiles.cosines(a, b)
+        if not cos.size:
+            return None
+        ident = tiles.pick(b.column("capability_id"), cols).to_numpy(zero_copy_only=False)
+        row, col = tiles.top_cells(np.round(cos, vx.RANK_DIGITS), ident, k)
+        return {
+            "firm_id": tiles.pick(a.column("firm_id"), rows[row]),
+            "notice_id": tiles.pick(a.column("notice_id"), rows[row]),
+            "capability_id": tiles.pick(b.column("capability_id"), cols[col]),
+            "similarity": cos[row, col],
+        }
 
     found = tiles.tile_join(
         left, right, ["firm_id"], ["notice_id"], ["capability_id"], best,
@@ -246,8 +252,7 @@ def past_win_score(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -
     )
     partial = tiles.tile_join(
         left, _evidence(None, past_wins), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
-        "firm_id string, notice_id string, preference_score double, sims array<double>, points double",
-        left_sizes=pairs.select("firm_id"),
+        _PARTIAL,
     )
     return partial.groupBy("firm_id", "notice_id").agg(F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"))
 
@@ -262,47 +267,40 @@ def capability_reason(score="capability_score") -> Column:
     return F.when(score > a, text(strong)).when(score > b, text(good)).when(score > c, text(moderate))
 
 
-def _reason_tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    cols = ["firm_id", "notice_id", "win_id", "kind", "win_buyer", "win_value"]
-    if not len(b):
-        return tiles.empty(*cols)
-    names, which = np.unique(_lower(a["buyer_name"]).to_numpy(str), return_inverse=True)
-    theirs, whose = np.unique(_lower(b["win_buyer"]).to_numpy(str), return_inverse=True)
-    kinds = _buyer_kinds(names, theirs)
+def _reason_tile(a: pa.Table, b: pa.Table) -> dict | None:
+    """The wins of one block that give a pair a reason: equal buyer (1), similar buyer (2), value (3)."""
+    if not b.num_rows:
+        return None
+    ours, which = tiles.names(a.column("buyer_name"))
+    theirs, whose = tiles.names(b.column("win_buyer"))
+    kinds = _buyer_kinds(ours, theirs)
     left, right, kind = [], [], []
     wins_of = [np.flatnonzero(whose == j) for j in range(len(theirs))]
-    pairs_of = [np.flatnonzero(which == i) for i in range(len(names))]
+    pairs_of = [np.flatnonzero(which == i) for i in range(len(ours))]
     for i, j in zip(*np.nonzero(kinds)):
         left.append(np.repeat(pairs_of[i], len(wins_of[j])))
         right.append(np.tile(wins_of[j], len(pairs_of[i])))
         kind.append(np.full(len(left[-1]), 1 if kinds[i, j] == 2 else 2))
-    worth, value = b["win_value"].to_numpy(float), a["value"].to_numpy(float)
-    order = np.argsort(worth)
-    order = order[np.isfinite(worth[order]) & (worth[order] != 0)]
-    known = np.flatnonzero(np.isfinite(value) & (value != 0))
-    sorted_worth = worth[order]
-    lo = np.searchsorted(sorted_worth, value[known] * REASON_RATIO * (1 - 1e-9), "left")
-    hi = np.searchsorted(sorted_worth, value[known] / REASON_RATIO * (1 + 1e-9), "right")
+    worth, value = tiles.numbers(b.column("win_value")), tiles.numbers(a.column("value"))
+    order = np.argsort(worth)[: np.count_nonzero(~np.isnan(worth))]
+    known = np.flatnonzero(~np.isnan(value))
+    # A slightly wider range of sorted values first, then the exact test on what it holds.
+    lo = np.searchsorted(worth[order], value[known] * REASON_RATIO * (1 - 1e-9), "left")
+    hi = np.searchsorted(worth[order], value[known] / REASON_RATIO * (1 + 1e-9), "right")
     count = np.maximum(hi - lo, 0)
     rows = np.repeat(known, count)
-    at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    cols_at = order[at] if len(at) else np.zeros(0, int)
-    small, large = np.minimum(value[rows], worth[cols_at]), np.maximum(value[rows], worth[cols_at])
-    near = small / large > REASON_RATIO
-    left.append(rows[near])
-    right.append(cols_at[near])
-    kind.append(np.full(near.sum(), 3))
-    left, right, kind = np.concatenate(left), np.concatenate(right), np.concatenate(kind)
-    return pd.DataFrame(
-        {
-            "firm_id": a["firm_id"].to_numpy()[left],
-            "notice_id": a["notice_id"].to_numpy()[left],
-            "win_id": b["win_id"].to_numpy()[right],
-            "kind": kind,
-            "win_buyer": b["win_buyer"].to_numpy()[right],
-            "win_value": worth[right],
-        }
-    )[cols]
+    cols = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    near = np.minimum(value[rows], worth[cols]) / np.maximum(value[rows], worth[cols]) > REASON_RATIO
+    left = np.concatenate([*left, rows[near]])
+    right = np.concatenate([*right, cols[near]])
+    return {
+        "firm_id": tiles.pick(a.column("firm_id"), left),
+        "notice_id": tiles.pick(a.column("notice_id"), left),
+        "win_id": tiles.pick(b.column("win_id"), right),
+        "kind": np.concatenate([*kind, np.full(near.sum(), 3)]).astype(np.int32),
+        "win_buyer": tiles.pick(b.column("win_buyer"), right),
+        "win_value": worth[right],
+    }
 
 
 def win_reasons(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -> DataFrame:
@@ -317,7 +315,6 @@ def win_reasons(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -> D
     found = tiles.tile_join(
         left, right, ["firm_id"], ["notice_id"], ["win_id"], _reason_tile,
         "firm_id string, notice_id string, win_id string, kind int, win_buyer string, win_value double",
-        left_sizes=pairs.select("firm_id"),
     )
     reason = (
         F.when(F.col("kind") == 1, F.concat(F.lit("Previously won contract with "), "win_buyer"))
@@ -343,16 +340,20 @@ def reason_rows(scored: DataFrame, notices: DataFrame, past_wins: DataFrame, pre
 
 
 def with_reasons(scored: DataFrame, notices: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
-    """Scored pairs with the ``match_reasons`` list. Meant for ranked results: the lists are as long as
-    the firm's matching history."""
+    """Scored pairs with their ``match_reasons``, in order.
+
+    A pair with more reasons than a page holds gets further rows, numbered by ``reasons_page``, so that
+    no list grows with the firm's history; :func:`reason_rows` has the same reasons as rows.
+    """
+    key = ["firm_id", "notice_id"]
     rows = reason_rows(scored, notices, past_wins, preferences)
-    lists = rows.groupBy("firm_id", "notice_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("part", "win_id", "kind", "reason"))), lambda r: r["reason"]).alias(
-            "match_reasons"
-        )
-    )
+    lists = paged_lists(rows, key, ["part", "win_id", "kind", "reason"], "match_reasons", "reasons_page")
+    texts = F.transform("match_reasons", lambda r: r["reason"])
+    listed = scored.join(lists, key, "left").withColumn("match_reasons", texts)
     empty = F.array().cast("array<string>")
-    return scored.join(lists, ["firm_id", "notice_id"], "left").withColumn("match_reasons", F.coalesce("match_reasons", empty))
+    return listed.withColumns(
+        {"match_reasons": F.coalesce("match_reasons", empty), "reasons_page": F.coalesce("reasons_page", F.lit(0))}
+    )
 
 
 def first_reason(scored: DataFrame, notices: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -502,13 +503,11 @@ def zero_similarities(pairs: DataFrame, notice_vectors: DataFrame, capabilities:
     left = pairs.select("firm_id", "notice_id").join(notice_vectors.select("notice_id", "embedding"), "notice_id")
     right = capabilities.where("embedding is not null").select("firm_id", "capability_id", "embedding")
 
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = a[["firm_id", "notice_id"]].copy()
-        out["n"] = 0
-        if len(b):
-            cos = tiles.unit_rows(tiles.matrix(a["embedding"])) @ tiles.unit_rows(tiles.matrix(b["embedding"])).T
-            out["n"] = (np.round(cos, 4) == 0).sum(axis=1)
-        return out
+    def count(a: pa.Table, b: pa.Table) -> dict:
+        rows, _, cos = tiles.cosines(a, b)
+        n = np.zeros(a.num_rows, dtype=np.int64)
+        n[rows] = (np.round(cos, 4) == 0).sum(axis=1)
+        return {"firm_id": a.column("firm_id"), "notice_id": a.column("notice_id"), "n": n}
 
     counted = tiles.tile_join(
         left.where("embedding is not null"), right, ["firm_id"], ["notice_id"], ["capability_id"], count,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import text as tx
 from noticelake.operators.ingest import delete_keys, first_by, latest_by, upsert
+from noticelake.operators.lists import paged_lists
 
 # Life of a saved notice.
 FIRST_STATUS = "interested"
@@ -192,14 +193,16 @@ def notice_lookup(points: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def profile_assemble(firms: DataFrame, capabilities: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
-    """One nested row per firm. Lists are as long as the firm's records; scoring never uses them."""
-    listed = lambda df, name, *cols: df.groupBy("firm_id").agg(
-        F.array_sort(F.collect_list(F.struct(*cols))).alias(name)
-    )
-    caps = listed(capabilities, "capabilities", "capability_id", "capability_text", "category")
-    wins = listed(past_wins, "past_wins", "win_id", "buyer_name", "contract_value", "award_date")
+    """One nested row per firm; a firm with more records than a page holds gets further rows, numbered
+    by ``page``. Scoring never uses these lists."""
+    caps = paged_lists(capabilities, ["firm_id"], ["capability_id", "capability_text", "category"], "capabilities")
+    wins = paged_lists(past_wins, ["firm_id"], ["win_id", "buyer_name", "contract_value", "award_date"], "past_wins")
     prefs = preferences.select("firm_id", F.struct(*[c for c in preferences.columns if c != "firm_id"]).alias("search_preference"))
-    joined = firms.join(caps, "firm_id", "left").join(wins, "firm_id", "left").join(prefs, "firm_id", "left")
+    # Page 0 of every firm exists even if it has no records at all.
+    first = firms.select("firm_id", F.lit(0).alias("page"))
+    pages = first.union(caps.select("firm_id", "page")).union(wins.select("firm_id", "page")).distinct()
+    key = ["firm_id", "page"]
+    joined = firms.join(pages, "firm_id").join(caps, key, "left").join(wins, key, "left").join(prefs, "firm_id", "left")
     none = lambda name: F.coalesce(F.col(name), F.array().cast(joined.schema[name].dataType))
     return joined.withColumns({"capabilities": none("capabilities"), "past_wins": none("past_wins")})
 

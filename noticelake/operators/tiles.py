@@ -11,17 +11,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
 
 
-def _blocks(df: DataFrame, key: list[str], size: int, name: str) -> DataFrame:
-    return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+def tile_sizes(
+    left: DataFrame, right: DataFrame, key: list[str], left_block: int = LEFT_BLOCK, right_block: int = RIGHT_BLOCK
+) -> DataFrame:
+    """Blocks per key: ``(key, _lb, _rb)``, one row for each key of ``left``.
+
+    ``left`` may be any table with at least as many rows per key as the one joined later.
+    """
+    count = lambda df, size, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+    sizes = count(left, left_block, "_lb").join(count(right, right_block, "_rb"), key, "left")
+    return sizes.withColumn("_rb", F.coalesce("_rb", F.lit(1)))
 
 
 def tile_join(
@@ -30,25 +40,26 @@ def tile_join(
     key: list[str],
     left_id: list[str],
     right_id: list[str],
-    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    fn: Callable[[pa.Table, pa.Table], dict | None],
     schema: str,
     left_block: int = LEFT_BLOCK,
     right_block: int = RIGHT_BLOCK,
-    left_sizes: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """``fn(left block, right block)`` for every pair of blocks that share ``key``.
+    """``fn(left block, right block)`` for every pair of blocks that share ``key``; ``fn`` returns the
+    columns of its rows, or None for no rows.
 
     A left row whose key has no right rows still reaches ``fn`` once, with an empty right block.
-    ``left_sizes`` may name a cheaper table to count left rows in (an upper bound is enough).
+    ``sizes`` is the result of :func:`tile_sizes` if the caller has it; ``left`` may carry its columns
+    already, which saves a shuffle of wide rows by key.
     """
-    lsize = _blocks(left_sizes if left_sizes is not None else left.select(*key), key, left_block, "_lb")
-    rsize = _blocks(right.select(*key), key, right_block, "_rb")
-    sizes = lsize.join(rsize, key, "left").withColumn("_rb", F.coalesce("_rb", F.lit(1)))
+    if sizes is None:
+        sizes = tile_sizes(left, right, key, left_block, right_block)
+    sized = left if "_lb" in left.columns else left.join(sizes, key)
     block = lambda ids, n: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     lhs = (
-        left.join(sizes, key)
-        .withColumn("_l", block(left_id, "_lb"))
+        sized.withColumn("_l", block(left_id, "_lb"))
         .withColumn("_r", spread("_rb"))
         .drop("_lb", "_rb")
     )
@@ -60,27 +71,67 @@ def tile_join(
     )
     tile = [*key, "_l", "_r"]
 
-    names = StructType.fromDDL(schema).names
+    shape = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return empty(*names)
-        return fn(a.drop(columns=["_l", "_r"]), b.drop(columns=["_l", "_r"]))
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = fn(a, b) if a.num_rows else None
+        return shape.empty_table() if out is None else pa.Table.from_pydict(out, schema=shape)
 
     # Both sides may come from the same table; fresh names keep their columns apart.
     rhs = rhs.select(*[F.col(c).alias(c) for c in rhs.columns])
-    return lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInPandas(run, schema)
+    return lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInArrow(run, schema)
+
+
+def vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows that have a vector, and their vectors as a float64 matrix."""
+    held = column.drop_null()
+    where = np.flatnonzero(column.is_valid().to_numpy())
+    flat = pc.list_flatten(held).to_numpy().astype(np.float64)
+    return where, flat.reshape(len(held), -1) if len(held) else np.zeros((0, 0))
+
+
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """A numeric column as floats; missing and zero become NaN."""
+    values = column.cast(pa.float64()).to_numpy().copy()
+    values[~np.isfinite(values) | (values == 0)] = np.nan
+    return values
 
 
-def empty(*columns: str) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+def names(column: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    """Distinct lower-case names, and for each row the position of its name among them."""
+    coded = pc.utf8_lower(pc.fill_null(column, "")).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def pick(column: pa.ChunkedArray, rows: np.ndarray) -> pa.Array:
+    taken = column.take(pa.array(rows, pa.int64()))
+    return taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
 
 
 def matrix(vectors) -> np.ndarray:
-    """Vectors of a column as a float64 matrix."""
+    """Vectors of a pandas column as a float64 matrix."""
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def cosines(a: pa.Table, b: pa.Table, left: str = "embedding", right: str = "embedding"):
+    """Rows of ``a`` and ``b`` that have a vector, and the cosines between them."""
+    rows, mine = vectors(a.column(left))
+    cols, theirs = vectors(b.column(right))
+    if not len(rows) or not len(cols):
+        return rows, cols, np.zeros((len(rows), len(cols)))
+    return rows, cols, unit_rows(mine) @ unit_rows(theirs).T
+
+
+def top_cells(score: np.ndarray, ident: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column positions of each row's best ``k`` scores; ties go to the lower ``ident``."""
+    keep = min(k, score.shape[1])
+    cut = np.partition(score, score.shape[1] - keep, axis=1)[:, -keep][:, None]
+    row, col = np.nonzero(score >= cut)
+    pos = best_k(row, score[row, col], ident[col], k)
+    return row[pos], col[pos]
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; rows without length stay zero, so their cosine is 0."""
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))

@@ -288,19 +288,17 @@ def knn_join(
             row, col = np.nonzero(able)
             yield pdf.iloc[row][[query_id, "embedding"]].assign(grp=grp[col])
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(b):
-            return tiles.empty(query_id, point_id, "score")
-        score = np.round(
-            tiles.unit_rows(tiles.matrix(a["embedding"])) @ tiles.unit_rows(tiles.matrix(b["embedding"])).T, vx.RANK_DIGITS
-        )
-        keep = min(k, score.shape[1])
-        cut = np.partition(score, score.shape[1] - keep, axis=1)[:, -keep][:, None]
-        row, col = np.nonzero(score >= cut)
-        pos = tiles.best_k(row, score[row, col], b[point_id].to_numpy()[col], k)
-        return pd.DataFrame(
-            {query_id: a[query_id].to_numpy()[row[pos]], point_id: b[point_id].to_numpy()[col[pos]], "score": score[row[pos], col[pos]]}
-        )
+    def best(a: pa.Table, b: pa.Table) -> dict | None:
+        rows, cols, cos = tiles.cosines(a, b)
+        if not cos.size:
+            return None
+        score = np.round(cos, vx.RANK_DIGITS)
+        row, col = tiles.top_cells(score, tiles.pick(b.column(point_id), cols).to_numpy(zero_copy_only=False), k)
+        return {
+            query_id: tiles.pick(a.column(query_id), rows[row]),
+            point_id: tiles.pick(b.column(point_id), cols[col]),
+            "score": score[row, col],
+        }
 
     def round_of(sent: DataFrame) -> DataFrame:
         return tiles.tile_join(
