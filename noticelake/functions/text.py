@@ -102,9 +102,11 @@ _PLAIN_FORMATS = (
 
 def _iso_timestamp(text: Column) -> Column:
     """ISO text to timestamp; without an offset it is read as UTC."""
-    whole = F.when(text.rlike(_OFFSET), text).otherwise(
-        F.concat(text, F.when(F.length(text) > 10, "").otherwise("T00:00"), F.lit("+00:00"))
+    # The cast wants seconds, and a zone whatever the session's is.
+    timed = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(
+        F.regexp_replace(text, r"^(.{10}[T ][0-9]{2}:[0-9]{2})($|[+-])", "$1:00$2")
     )
+    whole = F.concat(timed, F.when(text.rlike(_OFFSET), "").otherwise("+00:00"))
     return F.when(text.rlike(_ISO), whole.try_cast("timestamp"))
 
 

@@ -220,7 +220,7 @@ def capability_top(pairs: DataFrame, notice_vectors: DataFrame, capabilities: Da
         if not cos.size:
             return None
         ident = tiles.pick(b.column("capability_id"), cols).to_numpy(zero_copy_only=False)
-        row, col = tiles.top_cells(np.round(cos, vx.RANK_DIGITS), ident, k)
+        row, col = tiles.top_cells(cos, ident, k)
         return {
             "firm_id": tiles.pick(a.column("firm_id"), rows[row]),
             "notice_id": tiles.pick(a.column("notice_id"), rows[row]),

@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from noticelake.functions.vector import RANK_DIGITS
+
 LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
+# More than rounding to RANK_DIGITS can move a score.
+ROUNDING = 10.0**-RANK_DIGITS
 
 
 def tile_sizes(
@@ -124,11 +128,12 @@ def cosines(a: pa.Table, b: pa.Table, left: str = "embedding", right: str = "emb
 
 
 def top_cells(score: np.ndarray, ident: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column positions of each row's best ``k`` scores; ties go to the lower ``ident``."""
+    """Row and column positions of each row's best ``k`` scores, compared at ``RANK_DIGITS`` decimals;
+    ties go to the lower ``ident``. Only cells near a row's k-th score are rounded and sorted."""
     keep = min(k, score.shape[1])
     cut = np.partition(score, score.shape[1] - keep, axis=1)[:, -keep][:, None]
-    row, col = np.nonzero(score >= cut)
-    pos = best_k(row, score[row, col], ident[col], k)
+    row, col = np.nonzero(score >= cut - ROUNDING)
+    pos = best_k(row, np.round(score[row, col], RANK_DIGITS), ident[col], k)
     return row[pos], col[pos]
 
 

@@ -14,8 +14,8 @@ from noticelake.functions import display, text as tx, vector as vx
 from noticelake.operators import tiles
 from noticelake.operators.ingest import upsert
 
-# A query set is broadcast only when it has at most this many vector elements (64 MiB of doubles).
-BROADCAST_ELEMENTS = 8 * 1024 * 1024
+# A query set is broadcast only when it has at most this many vector elements (8 MiB of doubles).
+BROADCAST_ELEMENTS = 1024 * 1024
 # Payload keys that sit beside the metadata rather than inside it.
 TOP_LEVEL_KEYS = ("page", "document_id", "firm_id", "notice_id", "buyer_name", "value", "region")
 
@@ -185,13 +185,17 @@ def vector_topk(
                 continue
             ids = batch.column(0)
             block = tiles.unit_rows(flat.reshape(batch.num_rows, -1))
-            step = max(1, 4_000_000 // len(q))
+            step = max(k, 4_000_000 // len(q))
             for at in range(0, len(block), step):
-                score = np.round(block[at : at + step] @ q.T, vx.RANK_DIGITS)
-                row, qno = np.nonzero(score >= floor)
-                held.append((qno, score[row, qno], ids.take(pa.array(at + row)).to_numpy(zero_copy_only=False)))
+                score = q @ block[at : at + step].T
+                bar = floor
+                if score.shape[1] >= k and not np.isfinite(floor).all():
+                    bar = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
+                qno, row = np.nonzero(score >= (bar - tiles.ROUNDING)[:, None])
+                ident = ids.take(pa.array(at + row)).to_numpy(zero_copy_only=False)
+                held.append((qno, np.round(score[qno, row], vx.RANK_DIGITS), ident))
                 pending += len(qno)
-                if pending > 4 * k * len(q) + 100_000:
+                if pending > 4 * k * len(q):
                     held, floor = _reduce(held, k, len(q))
                     pending = len(held[0][0])
         if held:
@@ -292,12 +296,11 @@ def knn_join(
         rows, cols, cos = tiles.cosines(a, b)
         if not cos.size:
             return None
-        score = np.round(cos, vx.RANK_DIGITS)
-        row, col = tiles.top_cells(score, tiles.pick(b.column(point_id), cols).to_numpy(zero_copy_only=False), k)
+        row, col = tiles.top_cells(cos, tiles.pick(b.column(point_id), cols).to_numpy(zero_copy_only=False), k)
         return {
             query_id: tiles.pick(a.column(query_id), rows[row]),
             point_id: tiles.pick(b.column(point_id), cols[col]),
-            "score": score[row, col],
+            "score": np.round(cos[row, col], vx.RANK_DIGITS),
         }
 
     def round_of(sent: DataFrame) -> DataFrame:
