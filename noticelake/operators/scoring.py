@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from noticelake.functions import display, vector as vx
 from noticelake.operators import tiles
 from noticelake.operators.lists import paged_lists
-from noticelake.operators.vectors import rank_top, search_notices
+from noticelake.operators.vectors import search_notices
+from noticelake.session import staged
 
 # Weights, steps and limits of the scores.
 WEIGHTS = {"capability": 0.4, "past_win": 0.3, "preference": 0.3}
@@ -101,21 +102,53 @@ def with_preferences(pairs: DataFrame, notices: DataFrame, preferences: DataFram
 # ---- capabilities and past wins ------------------------------------------------------------------
 
 
-def _evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> DataFrame:
-    """Capabilities that have a vector, and past wins, as one table keyed by firm."""
+# Wins beyond these numbers cannot move a score that is capped at 1: four similar values, or three
+# wins with one buyer name, are worth more than 1 already.
+ENOUGH_VALUES, ENOUGH_BUYERS = 4, 3
+
+
+def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> DataFrame:
+    """What pairs are scored against, as one compact table keyed by firm. Exact for scoring, and bounded
+    where a firm's history is not:
+
+    * of capabilities with one and the same vector, as many as an average can take;
+    * of wins with one buyer name, a count, held at the number that is enough for the cap;
+    * of win values in one power of two, the lowest and highest few. A range of values either spans
+      the bucket or cuts it on one side, and either way these show whether enough values lie inside.
+
+    Everything is reduced before it is shuffled by firm. Scoring takes the result as ``evidence``, so it
+    can be kept as a table.
+    """
     parts = []
     if capabilities is not None:
-        held = capabilities.where("embedding is not null")
-        parts.append(held.selectExpr(
+        same = Window.partitionBy("firm_id", "embedding").orderBy("capability_id")
+        held = capabilities.where("embedding is not null").select("firm_id", "capability_id", "embedding")
+        kept = held.withColumn("n", F.row_number().over(same)).where(F.col("n") <= TOP_CAPABILITIES)
+        parts.append(kept.selectExpr(
             "firm_id", "concat('c', capability_id) as rid", "embedding", "cast(null as string) as win_buyer",
-            "cast(null as double) as win_value",
+            "0 as win_count", "cast(null as double) as win_value",
         ))
     if wins is not None:
-        parts.append(wins.selectExpr(
-            "firm_id", "cast(win_id as string) as rid", "cast(null as array<float>) as embedding",
-            "coalesce(buyer_name, '') as win_buyer", "cast(contract_value as double) as win_value",
+        buyers = wins.select("firm_id", F.lower("buyer_name").alias("b")).where("b <> ''").groupBy("firm_id", "b").agg(
+            F.least(F.count(F.lit(1)), F.lit(ENOUGH_BUYERS)).cast("int").alias("win_count")
+        )
+        parts.append(buyers.selectExpr(
+            "firm_id", "concat('b', b) as rid", "cast(null as array<float>) as embedding", "b as win_buyer", "win_count",
+            "cast(null as double) as win_value",
+        ))
+        worth = wins.selectExpr("firm_id", "cast(win_id as string) as win_id", "cast(contract_value as double) as v").where("v <> 0")
+        bucket = F.floor(F.log2(F.abs("v")))
+        low = Window.partitionBy("firm_id", bucket).orderBy("v", "win_id")
+        high = Window.partitionBy("firm_id", bucket).orderBy(F.desc("v"), F.desc("win_id"))
+        ends = [worth.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ENOUGH_VALUES).drop("n") for w in (low, high)]
+        parts.append(ends[0].union(ends[1]).distinct().selectExpr(
+            "firm_id", "concat('v', win_id) as rid", "cast(null as array<float>) as embedding", "cast(null as string) as win_buyer",
+            "0 as win_count", "v as win_value",
         ))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _buyer_kinds(ours: list[str], theirs: list[str]) -> np.ndarray:
@@ -140,16 +173,17 @@ def _score_tile(a: pa.Table, b: pa.Table) -> dict:
     length[rows] = top
     offsets = np.r_[0, np.cumsum(length)]
     points = np.zeros(n)
-    wins = b.filter(pc.is_valid(b.column("win_buyer")))
-    if wins.num_rows:
+    known = b.filter(pc.is_valid(b.column("win_buyer")))
+    if known.num_rows:
         ours, which = tiles.names(a.column("buyer_name"))
-        theirs, whose = tiles.names(wins.column("win_buyer"))
-        per_name = np.array([0.0, SIMILAR_BUYER, EQUAL_BUYER])[_buyer_kinds(ours, theirs)] @ np.bincount(whose, minlength=len(theirs))
-        worth = tiles.numbers(wins.column("win_value"))
-        worth = np.sort(worth[~np.isnan(worth)])
+        worth_of = np.array([0.0, SIMILAR_BUYER, EQUAL_BUYER])[_buyer_kinds(ours, known.column("win_buyer").to_pylist())]
+        points += (worth_of @ known.column("win_count").to_numpy())[which]
+    worth = tiles.numbers(b.column("win_value"))
+    worth = np.sort(worth[~np.isnan(worth)])
+    if len(worth):
         value = tiles.numbers(a.column("value"))
         near = np.searchsorted(worth, value / VALUE_RATIO, "left") - np.searchsorted(worth, value * VALUE_RATIO, "right")
-        points = per_name[which] + SIMILAR_VALUE * np.where(np.isnan(value), 0, np.maximum(near, 0))
+        points += SIMILAR_VALUE * np.where(np.isnan(value), 0, np.maximum(near, 0))
     return {
         "firm_id": a.column("firm_id"), "notice_id": a.column("notice_id"), "preference_score": a.column("preference_score"),
         "sims": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(best.ravel())), "points": points,
@@ -165,9 +199,14 @@ def score_pairs(
     past_wins: DataFrame,
     preferences: DataFrame,
     block: int = tiles.RIGHT_BLOCK,
+    evidence: DataFrame | None = None,
 ) -> DataFrame:
-    """Component and total scores per pair. Rejected pairs and firms without a profile are absent."""
-    pairs, evidence = pairs.select("firm_id", "notice_id"), _evidence(capabilities, past_wins)
+    """Component and total scores per pair. Rejected pairs and firms without a profile are absent.
+
+    ``evidence`` is a stored :func:`firm_evidence` of the capabilities and past wins, if there is one.
+    """
+    pairs = pairs.select("firm_id", "notice_id")
+    evidence = firm_evidence(capabilities, past_wins) if evidence is None else evidence
     sizes = tiles.tile_sizes(pairs, evidence, ["firm_id"], block, block)
     known = firms.select("firm_id").join(sizes, "firm_id")
     passed = with_preferences(pairs, notices, preferences, known).where(~F.col("rejected"))
@@ -251,7 +290,7 @@ def past_win_score(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -
         F.lit(0.0).alias("preference_score"), F.lit(None).cast("array<float>").alias("embedding"),
     )
     partial = tiles.tile_join(
-        left, _evidence(None, past_wins), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
+        left, firm_evidence(None, past_wins), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
         _PARTIAL,
     )
     return partial.groupBy("firm_id", "notice_id").agg(F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"))
@@ -346,7 +385,8 @@ def with_reasons(scored: DataFrame, notices: DataFrame, past_wins: DataFrame, pr
     no list grows with the firm's history; :func:`reason_rows` has the same reasons as rows.
     """
     key = ["firm_id", "notice_id"]
-    rows = reason_rows(scored, notices, past_wins, preferences)
+    # Counted and listed; written once, the reasons are not looked for twice.
+    rows = staged(reason_rows(scored, notices, past_wins, preferences), "match-reasons")
     lists = paged_lists(rows, key, ["part", "win_id", "kind", "reason"], "match_reasons", "reasons_page")
     texts = F.transform("match_reasons", lambda r: r["reason"])
     listed = scored.join(lists, key, "left").withColumn("match_reasons", texts)

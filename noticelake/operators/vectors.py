@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticelake.functions import display, text as tx, vector as vx
+from noticelake.functions import text as tx, vector as vx
 from noticelake.operators import tiles
 from noticelake.operators.ingest import upsert
+from noticelake.session import staged
 
 # A query set is broadcast only when it has at most this many vector elements (8 MiB of doubles).
 BROADCAST_ELEMENTS = 1024 * 1024
@@ -245,10 +246,11 @@ def knn_join(
     whose angular bound can still beat that score (triangle inequality on the sphere). Groups meet
     queries in tiles of bounded size, so a group holding a third of all points is shared out.
     """
-    # Pivots: a fixed number of distinct vectors by hash, so at most pivots x dim numbers are collected.
+    # Pivots: one vector per hash bucket, so they differ, and tasks send on one candidate per bucket.
+    hashed = points.select("embedding", F.xxhash64("embedding").alias("h"))
     sample = (
-        points.groupBy(F.xxhash64("embedding").alias("h")).agg(F.first("embedding").alias("embedding"))
-        .orderBy("h").limit(pivots).select("embedding").toArrow()
+        hashed.groupBy(F.pmod("h", F.lit(pivots)).alias("bucket")).agg(F.min_by("embedding", "h").alias("embedding"))
+        .orderBy("bucket").select("embedding").toArrow()
     )
     qtype, ptype = dict(queries.dtypes)[query_id], dict(points.dtypes)[point_id]
     out = f"{query_id} {qtype}, {point_id} {ptype}, score double"
@@ -263,8 +265,12 @@ def knn_join(
         angle = np.arccos(np.clip(cos[np.arange(len(cos)), best], -1, 1))
         return pd.DataFrame({"grp": best, "angle": angle})
 
-    placed = points.select(F.col(point_id), "embedding", assign("embedding").alias("a")).select(
-        point_id, "embedding", F.col("a.grp").alias("grp"), F.col("a.angle").alias("angle")
+    # Written once: the bounds only hold if every pass sees a point in the same group.
+    placed = staged(
+        points.select(F.col(point_id), "embedding", assign("embedding").alias("a")).select(
+            point_id, "embedding", F.col("a.grp").alias("grp"), F.col("a.angle").alias("angle")
+        ),
+        "knn-points",
     )
     # One row per pivot: bounded by the number of pivots.
     stats = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toPandas()
@@ -312,7 +318,7 @@ def knn_join(
     lean = queries.select(query_id, "embedding")
     sent_schema = f"{query_id} {qtype}, embedding array<float>, grp int"
     first = round_of(lean.mapInPandas(nearest, sent_schema))
-    ranked = rank_top(first, k, query_id, point_id)
+    ranked = staged(rank_top(first, k, query_id, point_id), "knn-first")
     worst = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor")
     floors = ranked.groupBy(query_id).agg(worst)
     second = round_of(lean.join(floors, query_id).mapInPandas(still_able, sent_schema))
