@@ -194,8 +194,7 @@ def scan_ocds_json(v: Views):
 
     path = f"{stage_dir(v.spark)}/ocds-{uuid.uuid4().hex}"
     packages(v).select(F.col("body").alias("value")).write.text(path)
-    rows = v.spark.read.schema(src.PACKAGE).json(path)
-    return src.releases(rows).select("id", F.col("tender.status").alias("status"))
+    return src.scan_ocds_json(v.spark, path, one_per_line=True).select("id", F.col("tender.status").alias("status"))
 
 
 @case("flatten_ocds", with_views("notices", f"""WITH {RELEASES}

@@ -40,9 +40,14 @@ RELEASE = T.StructType(
 PACKAGE = T.StructType([T.StructField("releases", T.ArrayType(RELEASE)), *RELEASE.fields])
 
 
-def scan_notices_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> DataFrame:
+def scan_notices_csv(
+    spark: SparkSession, path: str, headers: list[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """Headed CSV with quoted multi-line cells; every column arrives as text.
 
+    Files with multi-line cells are read whole, one task each; without such cells pass
+    ``multi_line=False`` and Spark splits large files.
+
     Spark maps an explicit schema by position, so pass the file's ``headers`` when they are
     not in the usual order; columns a file lacks come back null.
     """
@@ -52,7 +57,7 @@ def scan_notices_csv(spark: SparkSession, path: str, headers: list[str] | None =
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
@@ -68,9 +73,12 @@ def releases(packages: DataFrame) -> DataFrame:
     return packages.select(F.inline(listed))
 
 
-def scan_ocds_json(spark: SparkSession, path: str) -> DataFrame:
-    """All release files below ``path`` as one table of releases (pages concatenate by being read)."""
-    return releases(spark.read.schema(PACKAGE).option("multiLine", True).json(path))
+def scan_ocds_json(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """All release files below ``path`` as one table of releases (pages concatenate by being read).
+
+    A file holds one package or array, or with ``one_per_line`` one per line (such files can be split).
+    """
+    return releases(spark.read.schema(PACKAGE).option("multiLine", not one_per_line).json(path))
 
 
 def parse_packages(df: DataFrame, text: str = "body") -> DataFrame:

@@ -96,16 +96,9 @@ def test_notice_page(spark):
 
 def run_stream(spark, root, per_batch):
     stream = jobs.notice_page_stream(spark, str(root / "in"), as_of(), files_per_batch=per_batch)
-    kept = []
-
-    def save(df, batch_id):
-        path = str(root / f"t{per_batch}-{batch_id}")
-        df.write.mode("overwrite").parquet(path)
-        kept.append(path)
-
-    load = lambda: spark.read.parquet(kept[-1]) if kept else None
-    jobs.upsert_stream(stream, load, save, "notice_id", "published_date", str(root / f"cp{per_batch}")).awaitTermination()
-    return sorted((r.notice_id, r.title, str(r.published_date)) for r in load().collect())
+    path = str(root / f"table{per_batch}")
+    jobs.upsert_stream(stream, path, "notice_id", "published_date", str(root / f"cp{per_batch}"), buckets=3).awaitTermination()
+    return sorted((r.notice_id, r.title, str(r.published_date)) for r in spark.read.parquet(path).collect())
 
 
 def test_stream_does_not_depend_on_batches(spark, tmp_path):
