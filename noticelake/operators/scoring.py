@@ -206,7 +206,9 @@ def score_pairs(
     ``evidence`` is a stored :func:`firm_evidence` of the capabilities and past wins, if there is one.
     """
     pairs = pairs.select("firm_id", "notice_id")
-    evidence = firm_evidence(capabilities, past_wins) if evidence is None else evidence
+    if evidence is None:
+        # Counted for the tiles and then joined; written once, it is not reduced twice.
+        evidence = staged(firm_evidence(capabilities, past_wins), "firm-evidence")
     sizes = tiles.tile_sizes(pairs, evidence, ["firm_id"], block, block)
     known = firms.select("firm_id").join(sizes, "firm_id")
     passed = with_preferences(pairs, notices, preferences, known).where(~F.col("rejected"))
@@ -290,7 +292,7 @@ def past_win_score(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -
         F.lit(0.0).alias("preference_score"), F.lit(None).cast("array<float>").alias("embedding"),
     )
     partial = tiles.tile_join(
-        left, firm_evidence(None, past_wins), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
+        left, staged(firm_evidence(None, past_wins), "firm-evidence"), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
         _PARTIAL,
     )
     return partial.groupBy("firm_id", "notice_id").agg(F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"))
