@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.cases_vectors import NOTICES, cos, topk_sql
 from checks.registry import case
-from checks.views import AS_OF, AS_OF_SQL, Views, as_of, with_views
+from checks.views import AS_OF_SQL, Views, as_of, with_views
 from noticelake.functions import display
-from noticelake.operators import feeds, recommendations as rec, scoring, state
+from noticelake.operators import feeds, recommendations as rec, scoring
 
 SCORE_VIEWS = "notices notice_vectors firms capabilities past_wins preferences pairs points requests users saved"
 
@@ -62,7 +62,6 @@ REASONS = """reasons AS (
     SELECT firm_id, notice_id, 3, '', 1, 'Located in preferred region (' || region || ')' FROM scored WHERE has_prefs AND list_contains(preferred_regions, region)
     UNION ALL
     SELECT firm_id, notice_id, 3, '', 2, 'Matches keywords: ' || array_to_string(hits[1:3], ', ') FROM scored WHERE has_prefs AND len(hits) > 0)"""
-REASONS = REASONS.replace("{:.0f}", "{:.0f}")
 
 
 def query(body: str, views: str = SCORE_VIEWS) -> str:

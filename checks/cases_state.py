@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import case
-from checks.views import AS_OF_SQL, Views, as_of, with_views
+from checks.views import Views, as_of, with_views
 from noticelake.functions import text as tx
 from noticelake.operators import quality, state, vectors
 from noticelake.sources import tables

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions import text as tx
-from noticelake.operators.ingest import delete_keys, first_by, latest_by, upsert
+from noticelake.operators.ingest import delete_keys, first_by, upsert
 from noticelake.operators.lists import paged_lists
 
 # Life of a saved notice.
