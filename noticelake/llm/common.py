@@ -55,3 +55,10 @@ def texts(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b or b"" for b in column.cast(kind).to_pylist()]
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches in slices of a few rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

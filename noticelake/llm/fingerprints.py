@@ -11,7 +11,7 @@ BITS = 128
 #: Each sum counts two bits of a hash, 32 bits apart: a text's term weights may sum to 2**32 - 1.
 LANE = 0x0000000100000001
 #: Rows of ``docs`` in one block when their successors are looked up.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 
 
 def terms(text: Column) -> Column:

@@ -301,10 +301,10 @@ def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4, key: str
     kept = (
         least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("who").alias("who"))
-        .select(F.col("who.id").alias("_id"), F.col("who.print").alias("_print"))
+        .select(F.col("who.none").alias("_none"), F.coalesce("who.id", F.lit(0)).alias("_id"), F.col("who.print").alias("_print"))
     )
-    held = docs.withColumn("_print", print_of).join(
-        kept.withColumnRenamed("_print", "_kept"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_kept")), "left_semi"
-    )
-    first = F.row_number().over(Window.partitionBy(key, "_print").orderBy("_print"))
-    return held.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    # One shuffle of the rows serves both the join and the choice among repeated rows.
+    by = ["_none", "_id", "_print"]
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).isNull().alias("_none"), F.coalesce(key, F.lit(0)).alias("_id"), print_of.alias("_print"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("_print"))
+    return named.join(kept, by, "left_semi").withColumn("_first", first).where("_first = 1").select("_row.*")

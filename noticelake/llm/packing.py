@@ -21,7 +21,7 @@ from noticelake.llm.common import cut
 from noticelake.llm.tokenizing import words_for
 
 #: Pieces of one length that are ranked together; longer lists are ranked in salted parts.
-RANKED = 20_000
+RANKED = 2_000
 #: Exchanges tried before the search ends; a bound on effort, not on what is packed.
 MOVES = 5_000
 

@@ -11,12 +11,13 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from noticelake.llm.common import cut
+from noticelake.llm.common import cut, pieces
 
 #: Lexicon entries kept, by evidence; bounds what is sent to the workers.
 LEXICON = 4000
@@ -24,11 +25,17 @@ LEXICON = 4000
 FIT_ROWS = 20_000
 #: Letters of a word beginning that may be an entry of its own.
 STEMS = (4, 9)
-#: Whole words of at least so many letters are also found misspelt.
-FUZZY_LETTERS = 5
+#: The best whole words of at least so many letters are also found misspelt.
+FUZZY_LETTERS, FUZZY = 5, 400
 #: Words on each side that may mark a hit as quoted.
 CONTEXT = 4
 
+#: Words and automaton states that a worker remembers.
+REMEMBERED, STATES = 100_000, 20_000
+#: Labels sent to every task up to so many rows (about 16 bytes each); more are joined by a shuffle.
+SENT_LABELS = 2_000_000
+NO_MATCH = (0.0, 0.0)
+
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 WORDS_SQL = r"[^\p{L}\p{N}]+"
 # Words of reporting, and quotation marks that open or close.
@@ -52,10 +59,14 @@ class Lexicon:
     stem: dict[int, float] = field(default_factory=dict)
     fuzzy: dict[int, float] = field(default_factory=dict)
     open_to: list[bool] = field(default_factory=lambda: [False])
-    steps: dict = field(default_factory=dict)
+    numbers: dict[frozenset[tuple[int, int]], int] = field(default_factory=dict)
+    states: list[frozenset[tuple[int, int]]] = field(default_factory=list)
+    steps: list[dict[str, int]] = field(default_factory=list)
     known: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        whole = [t for t in self.terms if not t.endswith("*") and len(t) >= FUZZY_LETTERS]
+        found_misspelt = set(sorted(whole, key=lambda t: (-self.terms[t], t))[:FUZZY])
         for term, weight in sorted(self.terms.items()):
             word, at, path = term.removesuffix("*"), 0, [0]
             for c in word:
@@ -66,16 +77,13 @@ class Lexicon:
                 at = self.nodes[at][c]
                 path.append(at)
             (self.stem if term.endswith("*") else self.exact)[at] = weight
-            if not term.endswith("*") and len(word) >= FUZZY_LETTERS:
+            if term in found_misspelt:
                 self.fuzzy[at] = weight
                 for k in path:
                     self.open_to[k] = True
 
-    def __getstate__(self) -> dict:
-        return {"terms": self.terms, "clean": self.clean, "edits": self.edits}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
+    def __reduce__(self):
+        return _shared, (tuple(sorted(self.terms.items())), self.clean)
 
     def _spread(self, states: dict[int, int]) -> frozenset[tuple[int, int]]:
         """Adds what a left-out letter reaches, and keeps the fewest edits at each node."""
@@ -106,28 +114,53 @@ class Lexicon:
         got = self.known.get(word)
         if got is None:
             got = self._match(word)
-            if len(self.known) < 300_000:
+            if len(self.known) < REMEMBERED:
                 self.known[word] = got
         return got
 
+    def _number(self, state: frozenset[tuple[int, int]]) -> int:
+        n = self.numbers.get(state)
+        if n is None:
+            if len(self.states) >= STATES:  # start anew; the automaton is rebuilt as words need it
+                self.numbers.clear()
+                self.states.clear()
+                self.steps.clear()
+                self._number(self._spread({0: 0}))
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return n
+
     def _match(self, word: str) -> tuple[float, float]:
-        state, best, at = self._spread({0: 0}), 0.0, 0
+        if not self.states:
+            self._number(self._spread({0: 0}))
+        state, best, at = 0, 0.0, 0
         for c in word:
             if at >= 0:
                 at = self.nodes[at].get(c, -1)
-                best = max(best, self.stem.get(at, 0.0))
-            key = (state, c)
-            after = self.steps.get(key)
-            if after is None:
-                after = self._step(state, c)
-                if len(self.steps) < 300_000:
-                    self.steps[key] = after
-            state = after
-            if not state and at < 0:
-                return best, 0.0
+                if at in self.stem:
+                    best = max(best, self.stem[at])
+            if state >= 0:
+                after = self.steps[state].get(c)
+                if after is None:
+                    now, filled = self._step(self.states[state], c), len(self.states) < STATES
+                    after = self._number(now) if now else -1
+                    if filled:
+                        self.steps[state][c] = after
+                state = after
+            elif at < 0:
+                break
         best = max(best, self.exact.get(at, 0.0))
-        near = max((self.fuzzy[n] for n, cost in state if cost and n in self.fuzzy), default=0.0)
-        return best, (0.0 if best or word in self.clean else near)
+        if best or state < 0:
+            return (best, 0.0) if best else NO_MATCH
+        near = max((self.fuzzy[n] for n, cost in self.states[state] if cost and n in self.fuzzy), default=0.0)
+        return (0.0, near) if near and word not in self.clean else NO_MATCH
+
+
+@lru_cache(maxsize=2)
+def _shared(terms: tuple[tuple[str, float], ...], clean: frozenset[str]) -> Lexicon:
+    """A worker's own lexicon, built once for all of its tasks."""
+    return Lexicon(dict(terms), clean)
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float, float]:
@@ -184,7 +217,7 @@ def clean_near(labelled: DataFrame, lexicon: Lexicon) -> frozenset[str]:
     """Words of clean texts that look like misspelt entries but are words of their own; bounded by the lexicon's neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = {w for t in batch.column(0).to_pylist() for w in {m.group().lower() for m in WORD.finditer(t or "")} if lexicon.match(w)[1]}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
 
@@ -231,11 +264,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Rows without a toxic label, without a doc_id or held out teach nothing. With no toxic or no
     clean row the score is the share of toxic rows everywhere (0 if there are no labels).
     """
-    taught = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(taught, "doc_id")
+    taught = cut(
+        labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~is_held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    )
+    n = taught.count()
+    rows = docs.select("doc_id", "text")
+    labelled = rows.join(F.broadcast(taught), "doc_id") if n <= SENT_LABELS else cut(rows.join(taught, "doc_id"))
     lexicon = Lexicon(learn_terms(labelled))
     lexicon = Lexicon(lexicon.terms, clean_near(labelled, lexicon))
-    taught_rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    # The fitted rows are found by the hashes of their ids alone, so no text is sorted.
+    last = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
+    taught_rows = labelled.where(F.xxhash64("doc_id") <= (last if last is not None else 0))
     model = Model(lexicon, np.zeros(len(FEATURES) + 1))
     ship_features = _features(taught_rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), model)
     got = np.array([tuple(r) for r in ship_features.select(*FEATURES, "toxic").collect()], float).reshape(-1, len(FEATURES) + 1)
@@ -254,7 +294,7 @@ def _features(docs: DataFrame, model: Model) -> DataFrame:
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             got = [features(t or "", model.lexicon) for t in batch.column(where).to_pylist()]
             cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(len(FEATURES))]
             kept = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text"]
@@ -271,7 +311,7 @@ def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             got = [learned.score(features(t or "", learned.lexicon)) for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, column])
 
@@ -287,6 +327,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored ``at_least``; all columns stay."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), "text")
-    return with_scores(packed, fit(docs, labels), "_score").where(F.col("_score") < at_least).select("_row.*")
+    column = "_score"
+    while column in docs.columns:
+        column += "_"
+    return with_scores(docs, fit(docs, labels), column).where(F.col(column) < at_least).select(*docs.columns)
