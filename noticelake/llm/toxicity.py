@@ -35,6 +35,7 @@ REMEMBERED, STATES = 100_000, 20_000
 #: Labels sent to every task up to so many rows (about 16 bytes each); more are joined by a shuffle.
 SENT_LABELS = 2_000_000
 NO_MATCH = (0.0, 0.0)
+NO_HITS = (0.0,) * 5
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 WORDS_SQL = r"[^\p{L}\p{N}]+"
@@ -165,6 +166,8 @@ def _shared(terms: tuple[tuple[str, float], ...], clean: frozenset[str]) -> Lexi
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float, float]:
     """Weight of meant hits, of misspelt ones and of quoted ones, the greatest meant weight, and hits by the word."""
+    if not any(map(any, map(lexicon.match, set(map(str.lower, WORD.findall(text)))))):
+        return NO_HITS
     words = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
     hits = []
     for k, (w, a, b) in enumerate(words):
