@@ -4,8 +4,8 @@ Everything here works inside one document row with array expressions, so a table
 chunked in a single pass without a shuffle. Folds carry what they look up (the page map) in their
 state: an outer column used inside a lambda could be inlined and computed again for each element.
 
-Texts are split by putting a mark before each boundary and splitting on the mark. The mark is a
-private-use character that does not occur in text.
+Texts are split by putting a mark before each boundary and splitting on the mark, a private-use
+character. A text's own such characters are spelt in another way meanwhile.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.text import WS, col, document_id, let, squeeze, strip, words
 
-MARK = ""
+MARK, GUARD = "\ue000", "\ue001"
 
 # Window sizes and size limits of chunks.
 WINDOW_WORDS, WINDOW_OVERLAP, WINDOW_MIN_CHARS = 1000, 200, 100
@@ -29,7 +29,7 @@ CLAUSE_OPENINGS = {
     "schedule": rf"{WS}*(?i:SCHEDULE|APPENDIX|ANNEX){WS}+[A-Za-z0-9]",
 }
 TITLED_CLAUSE = rf"{WS}*[0-9]+\.{WS}+[A-Z][a-z]"
-SENTENCE_END = rf"([.!?]){WS}+"
+SENTENCE_END = rf"(?<=[.!?]){WS}+"
 
 clean_document_text = squeeze
 
@@ -152,6 +152,15 @@ def page_variety(chunks: DataFrame, key: str) -> DataFrame:
 # ---- clauses -------------------------------------------------------------------------------------
 
 
+def _guarded(text: Column) -> Column:
+    """The text with its own marks spelt in another way, so that a mark is always a boundary."""
+    return F.replace(F.replace(text, F.lit(GUARD), F.lit(GUARD + "a")), F.lit(MARK), F.lit(GUARD + "b"))
+
+
+def _unguarded(part: Column) -> Column:
+    return F.replace(F.replace(part, F.lit(GUARD + "b"), F.lit(MARK)), F.lit(GUARD + "a"), F.lit(GUARD))
+
+
 def _marked(text: Column, patterns) -> Column:
     for pattern in patterns:
         text = F.regexp_replace(text, f"(?md)^({pattern})", MARK + "$1")
@@ -164,7 +173,7 @@ _PIECES = f"array<struct<start:int,text:string,page:int,m:{_PAGES}>>"
 def pieces_at(text, patterns) -> Column:
     """Array of ``(start, text, page, m)``: the text from each boundary up to the next. What comes before
     the first boundary is left out."""
-    parts = F.split(_marked(col(text), patterns), MARK)
+    parts = F.transform(F.split(_marked(_guarded(col(text)), patterns), MARK), _unguarded)
     zero = F.struct(
         F.lit(0).alias("at"), F.lit(0).alias("n"), page_map(text).alias("m"), F.array().cast(_PIECES).alias("out")
     )
@@ -218,7 +227,7 @@ _CHUNKS = "array<struct<text:string,page:int,clause_number:string>>"
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$1" + MARK), MARK)
+    parts = F.split(text, SENTENCE_END)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

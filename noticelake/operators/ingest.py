@@ -166,9 +166,10 @@ def upsert(state: DataFrame, batch: DataFrame, key: str | list[str], order: str)
 
 def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row with the highest ``order`` per key, as an aggregation: it combines before the
-    shuffle, so a key repeated in a third of the rows does not pile up in one task."""
+    shuffle, so a key repeated in a third of the rows does not pile up in one task. Ties are broken
+    by the hash of the other columns."""
     others = [c for c in rows.columns if c not in keys]
-    picked = F.max_by(F.struct(*others), F.col(order)).alias("_row")
+    picked = F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others))).alias("_row")
     return rows.groupBy(*keys).agg(picked).select(*keys, "_row.*").select(*rows.columns)
 
 

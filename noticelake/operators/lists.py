@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_ROWS = 10_000
@@ -13,10 +13,9 @@ def paged_lists(
 ) -> DataFrame:
     """``(key, page, name)`` with sorted lists of the ``fields``.
 
-    Keys with at most ``size`` rows, which is nearly all of them, have the single page 0. Rows of a
-    larger key are hashed to pages of about that size, so no task ever holds a whole hot key.
+    Page n holds the rows from n * ``size`` on in the order of the fields, so the lists of a key
+    run on from page to page. Ranking streams a key's sorted rows; only a page is ever held.
     """
-    pages = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_pages"))
-    number = F.when(F.col("_pages") == 1, 0).otherwise(F.pmod(F.xxhash64(*fields), F.col("_pages"))).cast("int")
-    placed = rows.join(pages, key).withColumn(page, number)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*fields))
+    placed = rows.withColumn(page, F.floor((rank - 1) / size).cast("int"))
     return placed.groupBy(*key, page).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))

@@ -113,7 +113,7 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
 
     * of capabilities with one and the same vector, as many as an average can take;
     * of wins with one buyer name, a count, held at the number that is enough for the cap;
-    * of win values in one power of two, the lowest and highest few. A range of values either spans
+    * of win values of one sign in one power of two, the lowest and highest few. A range of values either spans
       the bucket or cuts it on one side, and either way these show whether enough values lie inside.
 
     Everything is reduced before it is shuffled by firm. Scoring takes the result as ``evidence``, so it
@@ -121,7 +121,7 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
     """
     parts = []
     if capabilities is not None:
-        same = Window.partitionBy("firm_id", "embedding").orderBy("capability_id")
+        same = Window.partitionBy("firm_id", F.xxhash64("embedding"), F.xxhash64(F.reverse("embedding"))).orderBy("capability_id")
         held = capabilities.where("embedding is not null").select("firm_id", "capability_id", "embedding")
         kept = held.withColumn("n", F.row_number().over(same)).where(F.col("n") <= TOP_CAPABILITIES)
         parts.append(kept.selectExpr(
@@ -138,8 +138,8 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
         ))
         worth = wins.selectExpr("firm_id", "cast(win_id as string) as win_id", "cast(contract_value as double) as v").where("v <> 0")
         bucket = F.floor(F.log2(F.abs("v")))
-        low = Window.partitionBy("firm_id", bucket).orderBy("v", "win_id")
-        high = Window.partitionBy("firm_id", bucket).orderBy(F.desc("v"), F.desc("win_id"))
+        low = Window.partitionBy("firm_id", F.signum("v"), bucket).orderBy("v", "win_id")
+        high = Window.partitionBy("firm_id", F.signum("v"), bucket).orderBy(F.desc("v"), F.desc("win_id"))
         ends = [worth.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ENOUGH_VALUES).drop("n") for w in (low, high)]
         parts.append(ends[0].union(ends[1]).distinct().selectExpr(
             "firm_id", "concat('v', win_id) as rid", "cast(null as array<float>) as embedding", "cast(null as string) as win_buyer",

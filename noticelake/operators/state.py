@@ -7,6 +7,7 @@ one equi-join, so stored tables are shuffled once at most and never windowed.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticelake.operators.ingest import delete_keys, first_by, upsert
@@ -155,13 +156,17 @@ def touch_parent(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(state: DataFrame, new: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """New keys are added, the first row per key; returns ``(state, rejected)`` with the rows turned away."""
-    first = new.groupBy(key).agg(F.min(order).alias("_first"))
+    """New keys are added, the first row per key; returns ``(state, rejected)`` with the rows turned away.
+
+    Of rows tied on ``order`` one is taken, by the hash of its other columns.
+    """
+    others = [c for c in new.columns if c not in (key, order)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, F.xxhash64(*others) if others else F.lit(0)))
     known = state.select(key, F.lit(True).alias("_known"))
-    judged = new.join(first, key).join(known, key, "left")
-    taken = F.col("_known").isNull() & (F.col(order) == F.col("_first"))
-    accepted = judged.where(taken).drop("_first", "_known", order)
-    rejected = judged.where(~taken).drop("_first", "_known")
+    judged = new.withColumn("_place", place).join(known, key, "left")
+    taken = F.col("_known").isNull() & (F.col("_place") == 1)
+    accepted = judged.where(taken).drop("_place", "_known", order)
+    rejected = judged.where(~taken).drop("_place", "_known")
     return state.unionByName(accepted, allowMissingColumns=True), rejected
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 REQUIRED = {
@@ -36,17 +37,19 @@ def local_session(cores: str = "*", app: str = "noticelake") -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
+    if not SparkContext._active_spark_context and not SparkConf().get("spark.checkpoint.dir", None):
+        # One machine has one disk: any folder is shared.
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="noticelake-stage-"))
     spark = prepare(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: the cluster's spark.checkpoint.dir, else a test folder."""
+    """Shared folder for written intermediates: the cluster's spark.checkpoint.dir, which must be set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="noticelake-stage-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured
 
 

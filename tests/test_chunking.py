@@ -1,96 +1,91 @@
-"""Chunkers against a plain restatement of their rules, on random and edge-case texts."""
+"""Chunkers on fixed texts with written-out chunks, and on properties that hold for any text."""
 
 import random
 import re
 
 from noticelake.operators import chunking
 
-BOUNDARIES = [
-    (r"^\s*\d+\.(?:\d+\.)*\s+[A-Z]", re.M),
-    (r"^\s*(?:SECTION|ARTICLE|CLAUSE)\s+\d+", re.M | re.I),
-    (r"^\s*(?:SCHEDULE|APPENDIX|ANNEX)\s+[A-Z0-9]", re.M | re.I),
-]
+FIRST = "1. Terms The supplier shall deliver all goods within thirty days of the order date and shall keep records of them."
+SECOND = "2. Price The buyer shall pay the agreed price within sixty days of a valid invoice, and no other sum is ever due."
 
 
-def page_of(text, pos):
-    before = [m for m in re.finditer(r"\[Page (\d+)\]", text) if m.start() <= pos]
-    return int(before[-1].group(1)) if before else 1
+def chunks(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {i: [] for i in range(len(texts))}
+    for r in chunking.legal_chunks(docs, "doc_id").orderBy("doc_id", "chunk_index").collect():
+        got[r.doc_id].append(r)
+    return got
 
 
-def starts(text):
-    return sorted(m.start() for p, flags in BOUNDARIES for m in re.finditer(p, text, flags))
+def test_two_clauses_on_two_pages(spark):
+    rows = chunks(spark, f"Preamble.\n[Page 1]\n{FIRST}\n[Page 2]\n{SECOND}")[0]
+    assert [(r.chunk_type, r.clause_number, r.page, r.total_chunks) for r in rows] == [("clause", "1", 1, 2), ("clause", "2", 2, 2)]
+    assert [r.chunk_text for r in rows] == [f"{FIRST}\n[Page 2]", SECOND]
 
 
-def packed(text, whole, base, overlap):
-    """Sentences packed greedily; each chunk with its page."""
-    done, held, pos = [], [], base
-    for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", text))):
-        if held and sum(map(len, held)) + len(sentence) > 800:
-            done.append((" ".join(held), page_of(whole, pos)))
-            held = held[-1:] if overlap and len(held) > 1 else []
-        held.append(sentence)
-        pos += len(sentence) + 1
-    return done + [(" ".join(held), page_of(whole, pos))] if held else done
+def test_a_private_use_character_does_not_split(spark):
+    marked = [FIRST.replace("goods", "go\ue000ods"), SECOND.replace("price", "pr\ue001b\ue000ice")]
+    rows = chunks(spark, "\n".join(marked))[0]
+    assert [(r.clause_number, r.chunk_text) for r in rows] == [("1", marked[0]), ("2", marked[1])]
 
 
-def expected(text):
-    at, clauses = starts(text), []
-    for a, b in zip(at, at[1:] + [len(text)]):
-        piece = text[a:b].strip()
-        if len(piece) > 800:
-            clauses += packed(piece, text, a, False)
-        elif len(piece) >= 50:
-            clauses.append((piece, page_of(text, a)))
-    good = len(clauses) >= 2 and sum(len(c) for c, _ in clauses) / len(clauses) >= 100
-    return ("clause", clauses) if good else ("fallback", packed(text, text, 0, True))
+def test_text_without_clauses_falls_back_to_sentences(spark):
+    one, two = "A" * 499 + ".", "B" * 449 + "!"
+    rows = chunks(spark, f"{one} {two}", "Short. Text.", "", "x" * 2000)
+    assert [(r.chunk_type, r.chunk_text) for r in rows[0]] == [("fallback", one), ("fallback", two)]
+    assert [r.chunk_text for r in rows[1]] == ["Short. Text."]
+    assert rows[2] == [] and [r.chunk_size for r in rows[3]] == [2000]
 
 
-def sample(rng):
-    parts = []
-    for page in range(rng.randint(0, 4)):
-        parts.append(f"[Page {page + 1}]")
-        for _ in range(rng.randint(0, 5)):
-            head = rng.choice(["1. Terms ", "2.3. Scope ", "\n\n 4. Law ", "section 5 ", "ANNEX b ", "", "schedule\n9 ", "(a) item ", "3.x "])
-            body = " ".join(
-                "w" * rng.randint(1, 9) + rng.choice(["", "", ".", "!", "?", ". "]) for _ in range(rng.choice([2, 15, 60, 250]))
-            )
-            parts.append(head + body)
-    return rng.choice(["\n", "\n\n", "\r\n", "\n \t"]).join(parts)
+def test_fallback_chunks_share_a_sentence(spark):
+    a, b, c = "A" * 299 + ".", "B" * 299 + ".", "C" * 299 + "."
+    assert [r.chunk_text for r in chunks(spark, f"{a} {b} {c}")[0]] == [f"{a} {b}", f"{b} {c}"]
 
 
-EDGES = ["", " ", "1. A", "x" * 2000, "1. " + "Y" * 900, "[Page 3] no clauses here. At all.", "Preamble.\n1. First " + "a " * 60 + "\n2. Second " + "b " * 60]
+def test_short_clauses_are_dropped(spark):
+    rows = chunks(spark, f"{FIRST}\n3. Tiny\n{SECOND}")[0]
+    assert [r.clause_number for r in rows] == ["1", "2"]
 
 
-def test_legal_chunks(spark):
-    rng = random.Random(7)
-    texts = EDGES + [sample(rng) for _ in range(120)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {}
-    for r in chunking.legal_chunks(docs, "doc_id").orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append(r)
-    for i, text in enumerate(texts):
-        kind, want = expected(text)
-        rows = got.get(i, [])
-        assert [(r.chunk_text, r.page) for r in rows] == want, (i, text)
-        assert all(r.chunk_type == kind and r.total_chunks == len(rows) and r.chunk_size == len(r.chunk_text) for r in rows)
-        assert [r.chunk_index for r in rows] == list(range(len(rows)))
-
-
-def test_boundaries_and_pages(spark):
-    rng = random.Random(11)
-    texts = [sample(rng) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {i: [] for i in range(len(texts))}
-    for r in chunking.clause_boundaries(docs, "doc_id").collect():
-        got[r.doc_id].append((r.position, r.page))
-        assert r.kind
-    assert got == {i: [(s, page_of(t, s)) for s in starts(t)] for i, t in enumerate(texts)}
-    marks = chunking.page_marks(docs, "doc_id")
-    spots = chunking.clause_boundaries(docs, "doc_id").select("doc_id", "position", "kind")
-    joined = {i: [] for i in range(len(texts))}
-    for r in chunking.page_asof(spots, marks, "doc_id").collect():
-        joined[r.doc_id].append((r.position, r.page))
-    assert {k: sorted(v) for k, v in joined.items()} == got
+def test_boundary_kinds(spark):
+    text = "1.2. Scope\nsection 5 rules\nANNEX b list\n3.x no\n(a) no\n\n\n 4. Law"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    rows = chunking.clause_boundaries(docs, "doc_id").orderBy("boundary_no").collect()
+    assert [(r.kind, r.position) for r in rows] == [
+        ("numbered_clause", 0), ("section_header", 11), ("schedule", 27), ("numbered_clause", text.index("\n\n 4.")),
+    ]
+
+
+def sample(rng):
+    lines = []
+    for _ in range(rng.randint(1, 12)):
+        head = rng.choice(["1. Terms ", "2.3. Scope ", "section 5 ", "[Page 2]", "[Page 7]", ""])
+        lines.append(head + " ".join("w" * rng.randint(1, 9) + rng.choice(["", ".", "! "]) for _ in range(rng.choice([2, 60, 250]))))
+    return "\n".join(lines)
+
+
+def test_chunks_hold_the_text_in_order(spark):
+    texts = [sample(random.Random(n)) for n in range(60)]
+    for i, rows in chunks(spark, *texts).items():
+        plain = re.sub(r"\s+", "", texts[i])
+        at, page = 0, 0
+        for k, r in enumerate(rows):
+            got = re.sub(r"\s+", "", r.chunk_text)
+            found = plain.find(got, max(0, at - 800))
+            assert found >= 0, (i, k)
+            at = found + len(got)
+            assert r.chunk_index == k and r.total_chunks == len(rows) and r.chunk_size == len(r.chunk_text)
+            assert r.page in (1, 2, 7)
+        sentences = [s for s in re.split(r"(?<=[.!?])\s+", texts[i]) if len(s) > 800]
+        assert sentences or all(r.chunk_size <= 2 * 800 for r in rows)
+
+
+def test_pages_by_join_and_by_map_agree(spark):
+    docs = spark.createDataFrame(list(enumerate(sample(random.Random(n)) for n in range(40))), "doc_id int, text string")
+    spots = chunking.clause_boundaries(docs, "doc_id")
+    joined = chunking.page_asof(spots.select("doc_id", "position", "kind"), chunking.page_marks(docs, "doc_id"), "doc_id")
+    rows = lambda df: sorted((r.doc_id, r.position, r.page) for r in df.collect())
+    assert rows(joined) == rows(spots)
 
 
 def test_windows_number_after_the_filter(spark):

@@ -4,6 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from noticelake.operators.state import insert_if_absent
+from noticelake.session import stage_dir
 from noticelake.operators import ingest
 from noticelake.sources import files, notices, pages
 from noticelake.streaming import jobs
@@ -97,8 +101,9 @@ def test_notice_page(spark):
 def run_stream(spark, root, per_batch):
     stream = jobs.notice_page_stream(spark, str(root / "in"), as_of(), files_per_batch=per_batch)
     path = str(root / f"table{per_batch}")
-    jobs.upsert_stream(stream, path, "notice_id", "published_date", str(root / f"cp{per_batch}"), buckets=3).awaitTermination()
-    return sorted((r.notice_id, r.title, str(r.published_date)) for r in spark.read.parquet(path).collect())
+    jobs.append_stream(stream, path, str(root / f"cp{per_batch}")).awaitTermination()
+    latest = jobs.latest_versions(spark, path, "notice_id", "published_date")
+    return sorted((r.notice_id, r.title, str(r.published_date)) for r in latest.collect())
 
 
 def test_stream_does_not_depend_on_batches(spark, tmp_path):
@@ -112,6 +117,31 @@ def test_stream_does_not_depend_on_batches(spark, tmp_path):
     assert {n: d for n, _, d in whole}["3"] == "2024-05-03 00:00:00" and len(whole) == 8
 
 
+def test_stream_keeps_notices_of_a_whole_year(spark, tmp_path):
+    """Newest first and one file a batch: no notice is too old to be kept."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, month in enumerate((11, 9, 7, 5, 3, 1)):
+        (folder / f"p{n}.json").write_text(json.dumps({"releases": [release(str(month), date=f"2024-{month:02d}-01T00:00:00Z")]}))
+    assert {n for n, _, _ in run_stream(spark, tmp_path, 1)} == {"1", "3", "5", "7", "9", "11"}
+
+
+def test_insert_if_absent_takes_one_of_tied_rows(spark):
+    state = spark.createDataFrame([("b", 1)], "id string, v int")
+    new = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 6), ("b", 4, 1)], "id string, v int, seq int")
+    kept, rejected = insert_if_absent(state, new, "id", "seq")
+    assert sorted(r.id for r in kept.collect()) == ["a", "b"]
+    assert rejected.count() == 3
+
+
+def test_staging_needs_a_shared_folder():
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage_dir(Unset())
+
+
 def test_upsert_is_idempotent(spark):
     state = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     batch = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "id string, v int, seq int")
