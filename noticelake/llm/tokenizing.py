@@ -17,7 +17,7 @@ RARE = [c for c in SPACES if c not in " \n"]
 #: Letters below this go to the library's BPE model without its own splitting.
 LATIN_TO_CYRILLIC = "\u0530"
 #: Words that a worker remembers.
-KEPT = 500_000
+KEPT = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,17 +40,23 @@ class Words(dict):
         self.letters = byte_letters()
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tails: dict[str, bytes] = {}
+        self.runs: set[str] = set()  # kept words that are one run of letters
 
     def plain(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a run of letters: one pre-token, so it goes to the library's BPE model as it is."""
+    def _letters(self, stem: str) -> bytes | None:
+        """Ids of a run of letters: one pre-token, so it goes to the library's BPE model as it is.
+
+        None if the library's normalisation makes it something else than letters.
+        """
+        if not stem.isalpha() or max(stem) >= LATIN_TO_CYRILLIC:
+            return None
         if not self.byte_level:
-            word = self.library.normalizer.normalize_str(word)
-            if not word.isalpha():
-                return self.plain(word)
-        spelt = (self.lead + word).encode("latin-1" if word.isascii() else "utf-8").decode("latin-1").translate(self.letters)
+            stem = self.library.normalizer.normalize_str(stem)
+            if not stem.isalpha():
+                return None
+        spelt = (self.lead + stem).encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
@@ -58,10 +64,18 @@ class Words(dict):
         while at and not word[at - 1].isalpha():
             at -= 1
         stem, tail = word[:at], word[at:]
-        if stem.isalpha() and max(stem) < LATIN_TO_CYRILLIC and tail.isascii():
-            got = self._letters(stem) if not tail else self[stem] + self._tail(tail)
-        else:
+        got = None
+        if tail.isascii():
+            got = self.get(stem) if tail and stem in self.runs else self._letters(stem)
+        if got is None:
             got = self.plain(self.lead + word)
+        elif tail:
+            if stem not in self.runs and len(self) < KEPT:
+                self[stem] = got
+                self.runs.add(stem)
+            got += self._tail(tail)
+        elif len(self) < KEPT:
+            self.runs.add(word)
         if len(self) < KEPT:
             self[word] = got
         return got
