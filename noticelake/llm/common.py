@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 PACKAGE = pathlib.Path(__file__).resolve().parents[1]
 
 
@@ -36,12 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, which need not share this process's path.
 
-    Rows go to the workers in batches of ``BATCH_ROWS`` at most, as whole texts are long rows.
+    Rows go to the workers in batches of ``BATCH_ROWS`` at most, closed once they hold ``BATCH_BYTES``, as whole texts are long rows.
     """
     sc = spark.sparkContext
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     if not 0 < int(held) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")
+    if not size.isdecimal() or int(size) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_noticelake_llm_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="noticelake-ship-"), "noticelake_llm.zip")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from noticelake.llm.common import texts
+from noticelake.llm.common import pieces, texts
 
 #: Every ASCII byte that is no letter or digit parts words; A-Z are lower-cased; other bytes belong to words.
 TO_WORDS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -239,11 +239,60 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
     return _digest(found, coverage).drop("spans")
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20) -> DataFrame:
-    """``docs`` without the rows that are contaminated; all columns stay. Null texts are clean."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), "text")
-    return _digest(with_spans(packed, items, window).drop("text"), coverage).where("NOT contaminated").select("_row.*")
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, coverage: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without the rows that are contaminated; all columns stay. Null texts are clean.
+
+    Rows pass the workers once for each automaton, and each text only once at a time: the pass of
+    the last automaton drops what is contaminated by the spans of all of them.
+    """
+    names, earlier = docs.columns, "_spans"
+    while earlier in names:
+        earlier += "_"
+    last = None
+    for auto in automata(items, window, shard_words):
+        if last is not None:
+            docs = _spans_too(docs, last, earlier)
+        last = docs.sparkSession.sparkContext.broadcast(auto)
+    return _clean_rows(docs, last, earlier, coverage).select(*names)
+
+
+def _spans_too(docs: DataFrame, shared: Broadcast, column: str) -> DataFrame:
+    """``docs`` with the places of one more automaton's windows added to ``column``: ``(first, words)`` of each."""
+    kind = "array<struct<first:long,words:long>>"
+    arrow = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
+    if column not in docs.columns:
+        docs = docs.withColumn(column, F.array().cast(kind))
+    where, held = docs.columns.index("text"), docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto: Automaton = shared.value
+        for batch in pieces(batches):
+            found = [
+                [*before, *({"first": a, "words": n} for a, n, _ in auto.spans(words_of(text)))]
+                for text, before in zip(texts(batch.column(where)), batch.column(held).to_pylist(), strict=True)
+            ]
+            yield batch.set_column(held, column, pa.array(found, arrow))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _clean_rows(docs: DataFrame, shared: Broadcast, earlier: str, coverage: int) -> DataFrame:
+    """The rows of ``docs`` that ``shared`` and the places in ``earlier`` (if there) leave clean."""
+    where = docs.columns.index("text")
+    held = docs.columns.index(earlier) if earlier in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto: Automaton = shared.value
+        for batch in pieces(batches):
+            before = [[]] * batch.num_rows if held is None else batch.column(held).to_pylist()
+            keep = []
+            for text, known in zip(texts(batch.column(where)), before, strict=True):
+                words = words_of(text)
+                hit = covered([*known, *({"first": a, "words": n} for a, n, _ in auto.spans(words))])
+                keep.append(hit == 0 or coverage * hit < len(words))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without_spans(docs: DataFrame, items: DataFrame, window: int = 13, longest: int = 0, coverage: int = 0) -> DataFrame:

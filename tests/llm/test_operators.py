@@ -339,6 +339,10 @@ def test_contamination_against_brute_force(spark):
         assert {i for s in spans[k] for i in s.items} == met if not spans[k] else {i for s in spans[k] for i in s["items"]} == met
     kept = decontamination.without_contaminated(docs(spark, texts), bench)
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if not r.contaminated}
+    clashing = docs(spark, texts).selectExpr("*", "'x' AS _spans", "0L AS n_words", "text AS spans", "false AS contaminated")
+    split_up = decontamination.without_contaminated(clashing, bench, shard_words=50)
+    assert split_up.columns == clashing.columns
+    assert sorted(map(repr, split_up.collect())) == sorted(map(repr, clashing.join(kept.select("doc_id"), "doc_id").select(*clashing.columns).collect()))
     assert decontamination.contamination(docs(spark, ["a b"]), bench.limit(0)).first().n_hit == 0
     assert decontamination.contamination(docs(spark, []), bench).collect() == []
 
