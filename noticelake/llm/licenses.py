@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Short licence notices as projects publish them.
@@ -44,11 +49,14 @@ def normalised(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """The distinct word pairs of a normalised text, as pairs of neighbours joined by a space."""
+    """The distinct word pairs of a normalised text, as neighbours joined by a space.
+
+    Pairs are strings, whose distinct ones are found by hashing; structs would be compared with each other.
+    """
     words = F.split(text, " ")
     n = F.size(words)
-    pairs = F.arrays_zip(F.slice(words, F.lit(1), n - 1).alias("a"), F.slice(words, F.lit(2), n - 1).alias("b"))
-    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+    pairs = F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -60,12 +68,32 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return given.select("license", "variant", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
 
 
+def telling_words(templates: dict[str, tuple[str, ...]], ratio: float) -> list[str]:
+    """Words of which every matching line holds one; empty if there are no such words.
+
+    A match shares at least ``ratio`` of a template's bigrams. So once fewer of them than that
+    lack all of the chosen words, no match can do without those. Words in many bigrams go first,
+    long ones before short ones, which other texts hold by chance.
+    """
+    wanted = [(found, math.ceil(len(found) * ratio - 1e-9)) for variants in templates.values() for t in variants if (found := _pairs(t))]
+    chosen: list[str] = []
+    while wanted:
+        counts = Counter(w for left, need in wanted if len(left) >= need for pair in left for w in set(pair) if w.isascii())
+        if not counts:
+            return chosen if all(len(left) < need for left, need in wanted) else []
+        best = min(counts, key=lambda w: (-counts[w] * len(w) ** 2, w))
+        chosen.append(best)
+        wanted = [({p for p in left if best not in p}, need) for left, need in wanted]
+    return chosen
+
+
 def license_lines(docs: DataFrame, at_least: float = 0.8, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """``(doc_id, line, license, variant, dice)`` for the lines of ``docs(doc_id, text)`` that match a template.
 
     Dice is twice the shared over the summed sizes of the two sets of bigrams. A line of a bigrams
     can reach ``at_least`` only against templates of a*t/(2-t) to a*(2-t)/t, so other lines and
-    templates are pruned by size before any bigram is met. Null and empty texts have no matches;
+    templates are pruned by size before any bigram is met, and lines without any of the
+    ``telling_words`` before their bigrams are made. Null and empty texts have no matches;
     rows that repeat a doc_id and a line at the same place count once; a null doc_id stays.
     ``templates`` is a fixed table of the caller's, sent to every task.
     """
@@ -73,10 +101,16 @@ def license_lines(docs: DataFrame, at_least: float = 0.8, templates: dict[str, t
     wanted = template_table(spark, templates)
     sizes = sorted({len(_pairs(t)) for variants in templates.values() for t in variants})
     ratio = at_least / (2 - at_least)
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
-    paired = lines.withColumn("pairs", bigrams(normalised(F.col("said")))).withColumn("size", F.size("pairs"))
-    paired = paired.where((F.col("size") >= min(sizes) * ratio) & (F.col("size") <= max(sizes) / ratio))
-    met = paired.select("doc_id", "line", F.xxhash64("said").alias("_said"), F.col("size").alias("own"), F.explode("pairs").alias("pair")).join(
+    text = F.coalesce("text", F.lit(""))
+    both = F.arrays_zip(F.split(text, "\n").alias("said"), F.split(F.lower(text), "\n").alias("low"))
+    lines = docs.select("doc_id", F.posexplode(both).alias("line", "both")).select("doc_id", "line", "both.*")
+    if words := telling_words(templates, ratio):
+        lines = lines.where(reduce(Column.__or__, [F.contains("low", F.lit(w)) for w in words]))
+    paired = lines.select("doc_id", "line", F.xxhash64("said").alias("_said"), bigrams(normalised(F.col("said"))).alias("pairs"))
+    # The size test stands inside the explode: as a filter it would be pushed below and find the pairs twice.
+    own = F.size("pairs")
+    fits = (own >= min(sizes) * ratio) & (own <= max(sizes) / ratio)
+    met = paired.select("doc_id", "line", "_said", own.alias("own"), F.explode(F.when(fits, F.col("pairs"))).alias("pair")).join(
         F.broadcast(wanted), "pair"
     ).where((F.col("own") >= F.col("size") * ratio) & (F.col("own") <= F.col("size") / ratio))
     shared = F.size(F.collect_set("pair"))
@@ -88,8 +122,6 @@ def license_lines(docs: DataFrame, at_least: float = 0.8, templates: dict[str, t
 
 
 def _pairs(text: str) -> set[tuple[str, str]]:
-    import re
-
     words = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", text.lower()).strip().split(" ")
     return set(zip(words, words[1:], strict=False))
 
