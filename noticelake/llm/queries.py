@@ -183,24 +183,28 @@ FROM counted GROUP BY ALL
 @query("op10_token_counts", OP10_SQL)
 def delta_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents arrive, toxic ones are withdrawn, English ones are counted anew; the second batch is sent twice."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    # Texts are counted before the labels are met, by joins that stay above the counts, so no text is shuffled.
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", token_counts.count_words(F.col("text")).alias("n_words"), token_counts.count_quarters(F.col("text")).alias("n_quarters")
+    )
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("gone", F.lit(True))
+    marked = counted.join(toxic, "doc_id", "left")
     words, quarters, none = F.lit("words-1"), F.lit("quarters-1"), F.lit(None)
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
 
     def change(rows: DataFrame, op: str, old: bool, new: bool, version) -> DataFrame:
         if_ = lambda flag, c: c if flag else none
         return rows.select(
             F.lit(op).alias("op"),
             *[if_(new, F.col(k)).cast("string").alias(k) for k in ("source", "lang")], if_(new, version).cast("string").alias("version"),
-            if_(new, token_counts.count_quarters(F.col("text")) if op == "revise" else token_counts.count_words(F.col("text"))).cast("long").alias("n_tokens"),
+            if_(new, F.col("n_quarters" if op == "revise" else "n_words")).cast("long").alias("n_tokens"),
             *[if_(old, F.col(k)).cast("string").alias(f"old_{k}") for k in ("source", "lang")], if_(old, words).cast("string").alias("old_version"),
-            if_(old, token_counts.count_words(F.col("text"))).cast("long").alias("old_tokens"),
+            if_(old, F.col("n_words")).cast("long").alias("old_tokens"),
         )
 
     ledger = token_counts.Ledger(spark, token_files.fresh_path(spark, "token-counts"))
-    withdrawn = change(docs.join(toxic, "doc_id", "left_semi"), "delete", True, False, words)
-    ledger.commit(1, change(docs, "insert", False, True, words))
+    withdrawn = change(marked.where("gone"), "delete", True, False, words)
+    ledger.commit(1, change(counted, "insert", False, True, words))
     ledger.commit(2, withdrawn)
-    ledger.commit(3, change(docs.where("lang = 'en'").join(toxic, "doc_id", "left_anti"), "revise", True, True, quarters))
+    ledger.commit(3, change(marked.where("lang = 'en' AND gone IS NULL"), "revise", True, True, quarters))
     ledger.commit(2, withdrawn)
     return ledger.totals()
