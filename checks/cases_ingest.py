@@ -224,9 +224,25 @@ def filter_active_ocds(v: Views):
     return ingest.filter_active_ocds(flat(v), as_of()).select("notice_id", F.unix_seconds("closing_date").alias("closing"))
 
 
+@case("ocds_rejects", with_views("notices", f"""WITH {RELEASES} SELECT reason, count(*) AS n FROM (
+    SELECT CASE WHEN tender_status IS DISTINCT FROM 'active' THEN 'not active' WHEN closing IS NOT NULL AND naive THEN 'closing date has no offset'
+                WHEN closing < {AS_OF_SQL} THEN 'closed' END AS reason FROM rel) WHERE reason IS NOT NULL GROUP BY 1"""))
+def ocds_rejects(v: Views):
+    return ingest.rejected_ocds(flat(v), as_of()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @case("concat_pages", with_views("notices", f"WITH {RELEASES} SELECT tender_status, count(*) AS releases FROM rel GROUP BY 1"))
 def concat_pages(v: Views):
-    return flat(v).groupBy("tender_status").agg(F.count(F.lit(1)).alias("releases"))
+    """Release pages in many files of two folders, read as one table."""
+    import uuid
+
+    from noticelake.session import stage_dir
+
+    path = f"{stage_dir(v.spark)}/release-pages-{uuid.uuid4().hex}"
+    body = packages(v).select(F.col("body").alias("value"), (F.crc32("body") % 2).alias("half"))
+    body.write.partitionBy("half").option("maxRecordsPerFile", 1000).text(path)
+    read = ingest.flatten_ocds(src.scan_ocds_json(v.spark, f"{path}/half=*", one_per_line=True))
+    return read.groupBy("tender_status").agg(F.count(F.lit(1)).alias("releases"))
 
 
 # ---- points ----------------------------------------------------------------------------------------
@@ -356,12 +372,30 @@ def batch_outcome(v: Views):
 
 
 @case("scan_uploads", """
+    SELECT lang, 'txt' AS file_type, NULL AS reject_reason, sum(length(coalesce(text, '')) + 1)::BIGINT AS n_chars FROM documents GROUP BY 1
+    UNION ALL SELECT DISTINCT lang, 'json', 'unsupported type', 0 FROM documents""")
+def scan_uploads(v: Views):
+    """Whole texts written as text files (a line feed after each) and listed beside JSON files, which are no upload type."""
+    import uuid
+
+    from noticelake.session import stage_dir
+
+    root = f"{stage_dir(v.spark)}/uploads-{uuid.uuid4().hex}"
+    docs = v.table("documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("lang").option("maxRecordsPerFile", 20).text(f"{root}/texts")
+    docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).write.partitionBy("lang").json(f"{root}/rows")
+    read = files.scan_uploads(v.spark, root)
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")
+    return read.groupBy(lang, "file_type", "reject_reason").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"))
+
+
+@case("screen_uploads", """
     SELECT source || '.' || lang AS name, lower(lang) AS file_type,
            CASE WHEN lower(lang) NOT IN ('pdf','docx','doc','txt') THEN 'unsupported type' WHEN n_chars * 1000 > 10485760 THEN 'too large' END AS reject_reason,
            count(*) AS n
     FROM (SELECT source, n_chars, CASE lang WHEN 'en' THEN 'TXT' WHEN 'fr' THEN 'pdf' WHEN 'de' THEN 'docx' ELSE 'exe' END AS lang FROM documents)
     GROUP BY ALL""")
-def scan_uploads(v: Views):
+def screen_uploads(v: Views):
     """The acceptance rule over listed files (path and length)."""
     kind = F.when(F.col("lang") == "en", "TXT").when(F.col("lang") == "fr", "pdf").when(F.col("lang") == "de", "docx").otherwise("exe")
     listed = v.table("documents").select(F.concat_ws(".", "source", kind).alias("path"), (F.col("n_chars") * 1000).alias("length"))
@@ -427,7 +461,7 @@ def page_links(v: Views):
 
 @case("dedupe_links", f"SELECT DISTINCT link FROM ({LINKS})")
 def dedupe_links(v: Views):
-    return page_links(v).select("link").distinct()
+    return pg.distinct_links(page_links(v))
 
 
 @case("unseen_urls", f"""

@@ -264,19 +264,29 @@ COUNTS_SQL = """caps AS (SELECT firm_id, capability_text FROM capabilities UNION
          (SELECT count(*) FROM ws w WHERE w.firm_id = f.firm_id) AS nw, p.firm_id IS NOT NULL AS has_prefs,
          min_contract_value AS lo, max_contract_value AS hi, preferred_regions, keywords
   FROM all_firms f LEFT JOIN prefs p USING (firm_id))"""
+
+
+def steps_sql(steps: tuple[str, ...]) -> str:
+    """The steps of an advice as one SQL text."""
+    return "'" + "|".join(steps).replace("'", "''") + "'"
+
+
 ADVICE_SQL = f"""{COUNTS_SQL},
   advice AS (
     SELECT firm_id, 'past_wins' AS category, 1 AS rule_no, nw * 10.0::DOUBLE AS current_score, 30.0::DOUBLE AS potential_score, CASE WHEN nw = 0 THEN 'high' ELSE 'medium' END AS priority,
            CASE WHEN nw = 0 THEN '{rec.NO_WINS}' ELSE 'Add ' || (3 - nw) || ' more past wins to strengthen your track record' END AS action,
-           CASE WHEN nw = 0 THEN '+30% to total match score' ELSE '+' || (3 - nw) * 10 || '% potential boost' END AS impact FROM counts WHERE nw < 3
+           CASE WHEN nw = 0 THEN '+30% to total match score' ELSE '+' || (3 - nw) * 10 || '% potential boost' END AS impact,
+           CASE WHEN nw = 0 THEN {steps_sql(rec.FIRST_WIN_STEPS)} ELSE {steps_sql(rec.MORE_WINS_STEPS)} END AS specific_actions FROM counts WHERE nw < 3
     UNION ALL
     SELECT firm_id, 'capabilities', 2, CASE WHEN nc < 3 THEN nc * 10.0::DOUBLE ELSE nc * 8.0::DOUBLE END, 40.0::DOUBLE, CASE WHEN nc < 2 THEN 'high' ELSE 'medium' END,
            CASE WHEN nc < 3 THEN 'Add ' || greatest(3 - nc, 1) || ' domain-specific capabilities' ELSE '{rec.GENERIC}' END,
-           CASE WHEN nc < 3 THEN '+' || least(15, (3 - nc) * 5) || '% potential boost' ELSE '+10-15% better relevance scores' END FROM counts WHERE nc < 3 OR (nc < 5 AND ng > nc / 2)
+           CASE WHEN nc < 3 THEN '+' || least(15, (3 - nc) * 5) || '% potential boost' ELSE '+10-15% better relevance scores' END,
+           CASE WHEN nc < 3 THEN {steps_sql(rec.MORE_CAPABILITIES_STEPS)} ELSE {steps_sql(rec.GENERIC_STEPS)} END FROM counts WHERE nc < 3 OR (nc < 5 AND ng > nc / 2)
     UNION ALL
     SELECT firm_id, 'preferences', 3, CASE WHEN has_prefs THEN 30.0::DOUBLE - impact ELSE 0 END, 30.0::DOUBLE, 'low',
            CASE WHEN NOT has_prefs THEN '{rec.NO_PREFERENCES}' ELSE 'Complete your search preferences: ' || missing END,
-           CASE WHEN NOT has_prefs THEN '+30% better targeted results' ELSE '+' || impact || '% optimization' END
+           CASE WHEN NOT has_prefs THEN '+30% better targeted results' ELSE '+' || impact || '% optimization' END,
+           CASE WHEN NOT has_prefs THEN {steps_sql(rec.NO_PREFERENCES_STEPS)} ELSE 'Add ' || replace(missing, ', ', '|Add ') END
     FROM (SELECT *, concat_ws(', ', CASE WHEN coalesce(lo, 0) = 0 AND coalesce(hi, 0) = 0 THEN 'contract value range' END, CASE WHEN coalesce(len(preferred_regions), 0) = 0 THEN 'preferred regions' END,
                    CASE WHEN coalesce(len(keywords), 0) = 0 THEN 'target keywords' END) AS missing,
              CASE WHEN coalesce(lo, 0) = 0 AND coalesce(hi, 0) = 0 THEN 8 ELSE 0 END + CASE WHEN coalesce(len(preferred_regions), 0) = 0 THEN 10 ELSE 0 END + CASE WHEN coalesce(len(keywords), 0) = 0 THEN 7 ELSE 0 END AS impact
@@ -307,7 +317,11 @@ def advice_sql(body: str) -> str:
     return query(f"{ADVICE_SQL} {body}", "firms capabilities past_wins preferences")
 
 
-ADVICE_COLUMNS = "firm_id, category, rule_no, current_score, potential_score, priority, action, impact"
+ADVICE_COLUMNS = "firm_id, category, rule_no, current_score, potential_score, priority, action, impact, specific_actions"
+
+
+def shown(advice):
+    return advice.withColumn("specific_actions", F.array_join("specific_actions", "|"))
 
 
 @case("profile_counts", query(f"{COUNTS_SQL} SELECT firm_id, nc AS capabilities_count, nw AS past_wins_count, has_prefs AS has_preferences FROM counts", "firms capabilities past_wins preferences"))
@@ -322,22 +336,22 @@ def generic_share(v: Views):
 
 @case("recommend_past_wins", advice_sql(f"SELECT {ADVICE_COLUMNS} FROM advice WHERE rule_no = 1"))
 def recommend_past_wins(v: Views):
-    return rec.recommend_past_wins(counts(v))
+    return shown(rec.recommend_past_wins(counts(v)))
 
 
 @case("recommend_capabilities", advice_sql(f"SELECT {ADVICE_COLUMNS} FROM advice WHERE rule_no = 2"))
 def recommend_capabilities(v: Views):
-    return rec.recommend_capabilities(counts(v))
+    return shown(rec.recommend_capabilities(counts(v)))
 
 
 @case("recommend_preferences", advice_sql(f"SELECT {ADVICE_COLUMNS} FROM advice WHERE rule_no = 3"))
 def recommend_preferences(v: Views):
-    return rec.recommend_preferences(counts(v))
+    return shown(rec.recommend_preferences(counts(v)))
 
 
 @case("recommendations", advice_sql(f"SELECT {ADVICE_COLUMNS} FROM advice"))
 def recommendations(v: Views):
-    return rec.recommendations(counts(v)).drop("sort_key")
+    return shown(rec.recommendations(counts(v))).drop("sort_key")
 
 
 @case("priority_order", advice_sql("""SELECT firm_id, category, priority, (row_number() OVER (PARTITION BY firm_id

@@ -281,9 +281,15 @@ def profile_assemble(v: Views):
     )
 
 
-@case("past_wins_recent", with_views("past_wins", "SELECT firm_id, win_id, strftime(award_date, '%Y-%m-%d') AS award_date FROM past_wins"))
+@case("past_wins_recent", with_views("past_wins", """SELECT firm_id, win_id, strftime(award_date, '%Y-%m-%d') AS award_date,
+    (row_number() OVER (PARTITION BY firm_id ORDER BY award_date DESC, win_id))::INT AS place FROM past_wins"""))
 def past_wins_recent(v: Views):
-    return state.past_wins_recent(v.past_wins).select("firm_id", "win_id", F.date_format("award_date", "yyyy-MM-dd").alias("award_date"))
+    """The listing, with the place its order gives each win."""
+    from pyspark.sql import Window
+
+    listed = state.past_wins_recent(v.past_wins).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("firm_id").orderBy("at")).alias("place")
+    return listed.select("firm_id", "win_id", F.date_format("award_date", "yyyy-MM-dd").alias("award_date"), place)
 
 
 @case("distinct_documents", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.cases_ingest import squeeze
+from checks.cases_ingest import CODES_SQL, DISPLAY_SQL, squeeze, with_codes
 from checks.registry import case
 from checks.views import AS_OF_SQL, Views, as_of, with_views
 from noticelake.functions import text as tx, vector as vx
@@ -131,19 +131,19 @@ def user_centroid(v: Views):
 MATCH_AS_OF = "2000-01-01 00:00:00"
 
 
-@case("match_documents", with_views("points ns nv notices", f"""WITH {CENTROID_SQL},
+@case("match_documents", with_views("points ns nv notices", f"""{CODES_SQL}, {CENTROID_SQL},
     queries AS (SELECT user_id AS query_id, list(m ORDER BY pos) AS embedding FROM means GROUP BY 1),
     {topk_sql('SELECT * FROM queries', NOTICES, 20)},
-    shown AS (SELECT h.*, round(h.score, 3) AS s3, n.title, n.buyer_name, n.published_date, n.description,
+    shown AS (SELECT h.*, round(h.score, 3) AS s3, n.title, n.buyer_name, n.published_date, {DISPLAY_SQL} AS content, codes,
                      floor(epoch(TIMESTAMP '{MATCH_AS_OF}' - n.published_date) / 86400) <= 7 AS is_new
-              FROM hits h JOIN notices n USING (notice_id)),
+              FROM hits h JOIN coded n USING (notice_id)),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_new DESC, s3 DESC, rank) AS place FROM shown)
-    SELECT query_id AS user_id, place::INT AS place, notice_id, title, buyer_name AS buyer, s3 AS score, is_new, left(description, 200) || '...' AS description
-    FROM placed WHERE place <= 10"""))
+    SELECT query_id AS user_id, place::INT AS place, notice_id, title, buyer_name AS buyer, s3 AS score, is_new, left(content, 200) || '...' AS description,
+           replace(replace(codes, 'None', ''), ', ', '|') AS cpv_codes FROM placed WHERE place <= 10"""))
 def match_documents(v: Views):
     when = F.lit(MATCH_AS_OF).cast("timestamp")
-    return pipelines.match_documents(user_chunks(v), v.points, v.notices, when, 10).select(
-        "user_id", "place", "notice_id", "title", "buyer", "score", "is_new", "description"
+    return pipelines.match_documents(user_chunks(v), v.points, with_codes(v), when, 10).select(
+        "user_id", "place", "notice_id", "title", "buyer", "score", "is_new", "description", F.array_join("cpv_codes", "|").alias("cpv_codes")
     )
 
 
@@ -188,7 +188,7 @@ def embed_missing(v: Views):
 @case("capability_vectors", with_views("capabilities", "SELECT capability_id, firm_id, round(embedding[1], 6) AS first FROM capabilities WHERE embedding IS NOT NULL"))
 def capability_vectors(v: Views):
     """Capabilities with their vector, those without one left out."""
-    met = v.capability_rows.join(v.embeddings, "vec_id")
+    met = vectors.capability_vectors(v.capability_rows, v.embeddings)
     return met.select("capability_id", "firm_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 

@@ -26,10 +26,6 @@ def days(n: int):
     return F.expr(f"INTERVAL {n} DAY")
 
 
-# Tables whose rows cost much more to process than to move.
-HEAVY = ("documents", "conversations", "pages", "lineitem", "orders")
-
-
 class Views:
     """DataFrames over one data directory; each is built on first use."""
 
@@ -39,10 +35,6 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        # A table of few files leaves most cores idle; large tables have more files than cores.
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in HEAVY and len(df.inputFiles()) < cores:
-            df = df.repartition(cores)
         for field in df.schema.fields:
             if field.dataType.typeName() == "timestamp_ntz":
                 df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))

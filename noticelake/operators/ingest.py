@@ -127,11 +127,26 @@ def flatten_ocds(releases: DataFrame) -> DataFrame:
     )
 
 
+def ocds_reject_reason(as_of: Column, naive: str = "drop") -> Column:
+    """Why a flat release is not taken, null if it is. A missing closing date is no reason."""
+    unusable = F.lit(False) if naive != "drop" else F.coalesce(F.col("closing_naive"), F.lit(False))
+    return (
+        F.when(~F.col("tender_status").eqNullSafe("active"), "not active")
+        .when(unusable, "closing date has no offset")
+        .when(F.col("closing_date") < as_of, "closed")
+        .when(F.col("published_date").isNull(), "no published date")
+    )
+
+
 def filter_active_ocds(flat: DataFrame, as_of: Column, naive: str = "drop") -> DataFrame:
     """Active tenders not past their closing date. A missing closing date is kept."""
-    closing = F.col("closing_date").isNull() | (F.col("closing_date") >= as_of)
-    usable = F.lit(True) if naive != "drop" else ~F.col("closing_naive")
-    return flat.where((F.col("tender_status") == "active") & closing & usable & F.col("published_date").isNotNull())
+    return flat.where(ocds_reject_reason(as_of, naive).isNull())
+
+
+def rejected_ocds(flat: DataFrame, as_of: Column, naive: str = "drop") -> DataFrame:
+    """The releases that :func:`filter_active_ocds` leaves out, with the reason."""
+    reason = ocds_reject_reason(as_of, naive)
+    return flat.where(reason.isNotNull()).select("notice_id", reason.alias("reason"))
 
 
 def notice_points(notices: DataFrame, base: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.functions.text import contains_any
@@ -16,6 +16,33 @@ NO_WINS = "Add 1-2 similar past contract wins to demonstrate relevant experience
 GENERIC = "Make capabilities more specific to improve semantic matching"
 NO_PREFERENCES = "Set search preferences to filter and focus results"
 
+# The single steps of each advice.
+FIRST_WIN_STEPS = (
+    "Add a past win in your main capability area",
+    "Include contract value and buyer organization name",
+    "Focus on government/public sector contracts",
+)
+MORE_WINS_STEPS = (
+    "Add wins from different government buyers",
+    "Include recent contracts (last 2-3 years)",
+    "Aim for at least 3 past wins for credibility",
+)
+MORE_CAPABILITIES_STEPS = (
+    "Use specific terminology like 'Fleet Management Systems' instead of 'IT Services'",
+    "Add 'Digital Transformation for Government' or 'Cloud Infrastructure Migration'",
+    "Match language from contracts you're interested in",
+)
+GENERIC_STEPS = (
+    "Replace 'IT Services' → 'Cybersecurity Auditing & Compliance'",
+    "Replace 'Software Development' → 'GOV.UK Service Standard Development'",
+    "Use exact phrases from top-scoring contracts",
+)
+NO_PREFERENCES_STEPS = (
+    "Set minimum/maximum contract values",
+    "Add preferred regions (e.g., London, South East)",
+    "Add keywords for your specialization",
+)
+
 
 def profile_counts(firms: DataFrame, capabilities: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
     """Capabilities, generic ones, past wins and preferences per firm; firms without any are kept."""
@@ -37,11 +64,16 @@ def profile_counts(firms: DataFrame, capabilities: DataFrame, past_wins: DataFra
     )
 
 
-def _advice(df: DataFrame, category: str, rule_no: int, current, potential, priority, action, impact) -> DataFrame:
+def _listed(steps: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(s) for s in steps])
+
+
+def _advice(df: DataFrame, category: str, rule_no: int, current, potential, priority, action, impact, steps) -> DataFrame:
     return df.select(
         "firm_id", F.lit(category).alias("category"), F.lit(rule_no).alias("rule_no"),
         current.cast("double").alias("current_score"), F.lit(potential).alias("potential_score"),
         priority.alias("priority"), action.alias("action"), impact.alias("impact"),
+        steps.alias("specific_actions"),
     ).where("priority is not null")
 
 
@@ -54,6 +86,7 @@ def recommend_past_wins(counts: DataFrame) -> DataFrame:
         F.when(n == 0, "high").otherwise("medium"),
         F.when(n == 0, NO_WINS).otherwise(text("Add ", (3 - n).cast("string"), " more past wins to strengthen your track record")),
         F.when(n == 0, "+30% to total match score").otherwise(text("+", ((3 - n) * 10).cast("string"), "% potential boost")),
+        F.when(n == 0, _listed(FIRST_WIN_STEPS)).otherwise(_listed(MORE_WINS_STEPS)),
     )
 
 
@@ -67,6 +100,7 @@ def recommend_capabilities(counts: DataFrame) -> DataFrame:
         F.when(n < 2, "high").otherwise("medium"),
         F.when(n < 3, F.concat(F.lit("Add "), add, F.lit(" domain-specific capabilities"))).otherwise(GENERIC),
         F.when(n < 3, F.concat(F.lit("+"), boost, F.lit("% potential boost"))).otherwise("+10-15% better relevance scores"),
+        F.when(n < 3, _listed(MORE_CAPABILITIES_STEPS)).otherwise(_listed(GENERIC_STEPS)),
     )
 
 
@@ -89,6 +123,7 @@ def recommend_preferences(counts: DataFrame) -> DataFrame:
             F.concat(F.lit("Complete your search preferences: "), F.array_join(missing, ", "))
         ),
         F.when(~has, "+30% better targeted results").otherwise(F.concat(F.lit("+"), impact.cast("string"), F.lit("% optimization"))),
+        F.when(~has, _listed(NO_PREFERENCES_STEPS)).otherwise(F.transform(missing, lambda m: F.concat(F.lit("Add "), m))),
     )
 
 
@@ -97,7 +132,7 @@ def priority_rank(priority: str = "priority"):
 
 
 def recommendations(counts: DataFrame) -> DataFrame:
-    """All advice; ``position`` is its place in a firm's list (high, medium, low, then rule order)."""
+    """All advice; ``sort_key`` orders a firm's list (high, medium, low, then rule order)."""
     rules = recommend_past_wins(counts).unionByName(recommend_capabilities(counts)).unionByName(recommend_preferences(counts))
     # Three rules at most per firm, one rank each, so the place is arithmetic and needs no window.
     return rules.withColumn("sort_key", priority_rank() * 10 + F.col("rule_no"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,12 +355,16 @@ def search_notices(
 
 
 def centroids(chunks: DataFrame, owner: str, vector: str = "embedding") -> DataFrame:
-    """Element-wise mean vector per owner. Elements are averaged by (owner, position), so partial sums
-    combine before the shuffle and an owner with very many chunks costs one row per position."""
-    parts = chunks.select(owner, F.posexplode(vector).alias("pos", "x"))
-    means = parts.groupBy(owner, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    return means.groupBy(owner).agg(F.transform(ordered, lambda e: e["m"]).alias("embedding"))
+    """Element-wise mean vector per owner; chunks without a vector do not count. Whole vectors are summed
+    before the shuffle, so an owner costs one row per task however many chunks it has."""
+    dense = array_to_vector(F.col(vector).cast("array<double>"))
+    means = chunks.where(F.col(vector).isNotNull()).groupBy(owner).agg(Summarizer.mean(dense).alias("_mean"))
+    return means.select(owner, vector_to_array("_mean").alias("embedding"))
+
+
+def capability_vectors(capabilities: DataFrame, store: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Capabilities with their stored vector; those that have none are left out."""
+    return capabilities.join(store.select(key, "embedding").where("embedding IS NOT NULL"), key)
 
 
 def count_points(points: DataFrame, firm_id: str | None = None, document_type: str | None = None) -> DataFrame:

@@ -48,9 +48,12 @@ def match_documents(chunks: DataFrame, points: DataFrame, notices: DataFrame, as
     queries = vectors.centroids(chunks, user).withColumnRenamed(user, "query_id")
     pool = vectors.payload_filter(points, document_type="contract_opportunity")
     hits = vectors.vector_topk(queries, pool, 2 * limit)
-    about = notices.select(
+    full = notices
+    for name, empty in (("cpv_codes", F.array().cast("array<string>")), ("additional_text", F.lit(None).cast("string"))):
+        full = full if name in notices.columns else full.withColumn(name, empty)
+    about = full.select(
         tx.md5_uuid("notice_id").alias("point_id"), "notice_id", "title", "buyer_name", "value", "closing_date",
-        "published_date", "region", "description",
+        "published_date", "region", "cpv_codes", display.display_text().alias("content"),
     )
     shown = hits.join(about, "point_id").withColumns(
         {"score": F.round("score", 3), "is_new": display.is_new("published_date", as_of)}
@@ -63,6 +66,7 @@ def match_documents(chunks: DataFrame, points: DataFrame, notices: DataFrame, as
             F.col("query_id").alias(user), "place", F.col("point_id").alias("contract_id"), "notice_id", "title",
             F.col("buyer_name").alias("buyer"), "value", F.col("closing_date").alias("deadline"), "published_date",
             "score", "is_new", tx.notice_url("notice_id", NOTICE_BASE_URL).alias("url"),
-            tx.preview("description").alias("description"), "region",
+            tx.preview("content").alias("description"),
+            F.coalesce("cpv_codes", F.array().cast("array<string>")).alias("cpv_codes"), "region",
         )
     )

@@ -46,13 +46,16 @@ def screen_by_mime(files: DataFrame) -> DataFrame:
 
 
 def scan_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path``; plain text is decoded, other types keep their bytes."""
-    # Screening reads only path and length; content is fetched for accepted files alone.
+    """Every file below ``path``, one row each; plain text is decoded, other types keep their bytes.
+
+    Rejected files have a ``reject_reason`` and null ``content`` and ``text``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # Rejects are listed without their content; the length test is repeated so that it reaches the reader.
+    rejected = screen_uploads(files.drop("content")).where("reject_reason is not null")
+    accepted = screen_uploads(files.where(F.col("length") <= UPLOAD_MAX_BYTES)).where("reject_reason is null")
     text = F.when(F.col("file_type") == "txt", F.try_validate_utf8(F.col("content").cast("string")))
-    return screen_uploads(files.where(F.col("length") <= UPLOAD_MAX_BYTES)).where("reject_reason is null").withColumn(
-        "text", text
-    )
+    return accepted.withColumn("text", text).unionByName(rejected, allowMissingColumns=True)
 
 
 def sink_json_append(df: DataFrame, path: str) -> None:

@@ -83,5 +83,10 @@ def page_links(pages: DataFrame, pattern: str, key: str = "page_id", html: str =
     return pages.select(key, F.explode(F.array_sort(F.array_distinct(links))).alias("link"))
 
 
+def distinct_links(links: DataFrame, link: str = "link") -> DataFrame:
+    """Each link once, however many pages hold it."""
+    return links.select(link).distinct()
+
+
 def unseen_urls(links: DataFrame, known: DataFrame, url: str = "url") -> DataFrame:
     return links.join(known.select(url), url, "left_anti")

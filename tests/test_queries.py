@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.catalog import QUERIES
 from checks.compare import connect, rows_of
 from tests.conftest import SF
 
@@ -12,7 +13,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, duck, key):
     df = queries()[key](spark, SF)
     names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])

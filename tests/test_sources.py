@@ -72,7 +72,7 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "ok.TXT").write_text("hello there")
     (tmp_path / "bad.exe").write_text("x")
     (tmp_path / "fake.pdf").write_text("not a pdf")
-    got = {r.path.rsplit("/", 1)[-1]: (r.file_type, r.text) for r in files.scan_uploads(spark, str(tmp_path)).collect()}
+    got = {r.path.rsplit("/", 1)[-1]: (r.file_type, r.text) for r in files.scan_uploads(spark, str(tmp_path)).where("reject_reason is null").collect()}
     assert got == {"ok.TXT": ("txt", "hello there"), "fake.pdf": ("pdf", None)}
     listed = spark.createDataFrame([("application/pdf", 10, None), ("text/plain", 10, "short"), ("image/png", 1, None), ("text/plain", 99, "long enough text")], "mime string, length long, text string")
     assert [r.reject_reason for r in files.screen_by_mime(listed).collect()] == [None, "too short", "unsupported type", None]
@@ -148,3 +148,20 @@ def test_upsert_is_idempotent(spark):
     once = ingest.upsert(state, batch, "id", "seq")
     assert sorted(once.collect()) == [("a", 1), ("b", 4), ("c", 5)]
     assert sorted(ingest.upsert(once, batch, "id", "seq").collect()) == sorted(once.collect())
+
+
+def test_rejected_uploads_keep_a_row(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes(b"x" * (files.UPLOAD_MAX_BYTES + 1))
+    (tmp_path / "edge.txt").write_bytes(b"x" * files.UPLOAD_MAX_BYTES)
+    (tmp_path / "page.html").write_text("<p>no upload type</p>")
+    got = {r.path.rsplit("/", 1)[-1]: (r.reject_reason, r.content is None) for r in files.scan_uploads(spark, str(tmp_path)).collect()}
+    assert got == {"big.txt": ("too large", True), "edge.txt": (None, False), "page.html": ("unsupported type", True)}
+
+
+def test_rejected_releases_keep_their_reason(spark, tmp_path):
+    page = [release("1"), release("2", date=None), release("3", date="soon")]
+    (tmp_path / "p.json").write_text(json.dumps({"releases": page}))
+    flat = ingest.flatten_ocds(notices.scan_ocds_json(spark, str(tmp_path)))
+    kept = {r.notice_id for r in ingest.filter_active_ocds(flat, as_of()).collect()}
+    gone = {r.notice_id: r.reason for r in ingest.rejected_ocds(flat, as_of()).collect()}
+    assert kept == {"1"} and gone == {"2": "no published date", "3": "no published date"}
