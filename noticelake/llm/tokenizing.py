@@ -17,7 +17,9 @@ RARE = [c for c in SPACES if c not in " \n"]
 #: Letters below this go to the library's BPE model without its own splitting.
 LATIN_TO_CYRILLIC = "\u0530"
 #: Words that a worker remembers.
-KEPT = 300_000
+KEPT = 400_000
+#: ASCII without letters: what may follow the letters of a word.
+NO_LETTERS = "".join(c for c in map(chr, range(128)) if not c.isalpha())
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,9 +40,11 @@ class Words(dict):
         self.byte_level = self.library.normalizer is None
         self.lead = " " if self.byte_level else ""
         self.letters = byte_letters()
+        self.space = self.lead.translate(self.letters)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tails: dict[str, bytes] = {}
-        self.runs: set[str] = set()  # kept words that are one run of letters
+        self.firsts: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # kept words of letters that the library must see whole
 
     def plain(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -50,36 +54,67 @@ class Words(dict):
 
         None if the library's normalisation makes it something else than letters.
         """
-        if not stem.isalpha() or max(stem) >= LATIN_TO_CYRILLIC:
-            return None
         if not self.byte_level:
+            if not stem.isascii() and max(stem) >= LATIN_TO_CYRILLIC:
+                return None
             stem = self.library.normalizer.normalize_str(stem)
             if not stem.isalpha():
                 return None
-        spelt = (self.lead + stem).encode("utf-8").decode("latin-1").translate(self.letters)
+        if stem.isascii():
+            spelt = self.space + stem  # ASCII letters stand for themselves
+        elif max(stem) < LATIN_TO_CYRILLIC:
+            spelt = self.space + stem.encode("utf-8").decode("latin-1").translate(self.letters)
+        else:
+            return None
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        at = len(word)
-        while at and not word[at - 1].isalpha():
-            at -= 1
-        stem, tail = word[:at], word[at:]
-        got = None
-        if tail.isascii():
-            got = self.get(stem) if tail and stem in self.runs else self._letters(stem)
-        if got is None:
-            got = self.plain(self.lead + word)
-        elif tail:
-            if stem not in self.runs and len(self) < KEPT:
-                self[stem] = got
-                self.runs.add(stem)
-            got += self._tail(tail)
-        elif len(self) < KEPT:
-            self.runs.add(word)
+        if word.isalpha():
+            got = self._letters(word)
+            if got is None:
+                got = self.plain(self.lead + word)
+                if len(self) < KEPT:
+                    self.odd.add(word)
+        else:
+            got = self._joined(word)
         if len(self) < KEPT:
             self[word] = got
         return got
 
+    def _joined(self, word: str) -> bytes:
+        """Ids of a word that is more than letters: of its letters and what follows them, where no pre-token holds both."""
+        stem = word.rstrip(NO_LETTERS)
+        if stem.isalpha():
+            got = None if stem in self.odd else self.get(stem)
+            if got is None:
+                got = self._letters(stem)
+                if got is not None and len(self) < KEPT:
+                    self[stem] = got
+            if got is not None:
+                return got + self._tail(word[len(stem) :])
+        head, line, last = stem.partition("\n")
+        if line and last.isalpha() and head and not head[-1].isspace():
+            # A line feed between other characters than white space is a pre-token of its own.
+            ends = word[len(head) + 1 :]
+            if not self.byte_level:
+                return self[head] + self[ends]
+            return self[head] + self._tail(line) + self._first(ends)
+        return self.plain(self.lead + word)
+
+    def _first(self, word: str) -> bytes:
+        """Ids of letters, and what follows them, without white space before them."""
+        got = self.firsts.get(word)
+        if got is None:
+            stem = word.rstrip(NO_LETTERS)
+            if stem.isascii():
+                got = array("I", [t.id for t in self.model.tokenize(stem)]).tobytes()
+                got += self._tail(word[len(stem) :]) if len(stem) < len(word) else b""
+            else:
+                got = self.plain(word)
+            if len(self.firsts) < KEPT // 10:
+                self.firsts[word] = got
+        return got
+
     def _tail(self, tail: str) -> bytes:
         """Ids of what follows a word's last letter; no pre-token holds both sides unless an apostrophe starts it."""
         got = self.tails.get(tail)
