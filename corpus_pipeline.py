@@ -1,4 +1,4 @@
-"""A training corpus from raw documents: toxic ones go, one of each near-duplicate group stays, contaminated ones go, the rest is packed.
+"""A training corpus from raw documents: toxic ones go, one of each near-duplicate group stays, contaminated and similar ones go, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
 return the columns of ``documents``.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.llm import decontamination, near_dups, packing, toxicity
+from noticelake.llm import decontamination, near_dups, packing, similar_sets, toxicity
 from noticelake.llm.common import ship, table
 from noticelake.llm.token_files import fresh_path
 
@@ -32,6 +32,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id in each group linked by five-word Jaccard similarities of 0.8 or more, which fingerprints miss."""
+    ship(spark)
+    return similar_sets.without_similar(docs)
+
+
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces with their places in sequences of 4096 tokens."""
     ship(spark)
@@ -42,6 +48,7 @@ STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
+    ("jaccard near-dedup", drop_similar),
     ("best-fit packing", pack_tokens),
 ]
 

@@ -298,9 +298,15 @@ def one_of_each(docs: DataFrame, radius: int = 4, words_each: int = 4, key: str
     )
     least = cut(marked.groupBy("fp").agg(F.min("who").alias("who")))
     roots = linked_fingerprints(least.select("fp"), radius)
+    return first_of_each(docs, least, roots, "fp", key)
+
+
+def first_of_each(docs: DataFrame, least: DataFrame, roots: DataFrame, node: str, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are the least ``who(none, id, print)`` of ``least`` in each group of ``roots(node, root)``."""
+    print_of = F.xxhash64(F.coalesce("text", F.lit("")))
     kept = (
-        least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("who").alias("who"))
+        least.join(roots.withColumnRenamed("node", node), node, "left")
+        .groupBy(F.coalesce("root", node).alias("root")).agg(F.min("who").alias("who"))
         .select(F.col("who.none").alias("_none"), F.coalesce("who.id", F.lit(0)).alias("_id"), F.col("who.print").alias("_print"))
     )
     # One shuffle of the rows serves both the join and the choice among repeated rows.

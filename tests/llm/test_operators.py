@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from noticelake.llm import chat, decontamination, fingerprints, html_text, licenses, near_dups, packing, token_counts, token_files, toxicity
+from noticelake.llm import chat, decontamination, fingerprints, html_text, licenses, near_dups, packing, similar_sets, token_counts, token_files, toxicity
 from noticelake.llm.common import ship
 from noticelake.llm.tokenizing import Words
 
@@ -310,6 +310,27 @@ def test_dense_and_split_buckets_lose_no_link(spark, monkeypatch):
         assert {got.get(m, m) for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize("block", [similar_sets.BLOCK_SHINGLES, 2_000])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(similar_sets, "BLOCK_SHINGLES", block)
+    rng, base = random.Random(4), prose(8, seed=11)
+    edited = [" ".join("new" if rng.random() < share else w for w in t.split()) for t in base[:4] for share in (0.01, 0.02, 0.03, 0.04, 0.06) for _ in range(3)]
+    given = [*base, *edited, *(base[7] + f" tail {k}" for k in range(40)), *EDGES, base[0].upper(), " ".join(base[1].split()[:150])]
+    sets = []
+    for text in given:
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(given)))
+    for a in range(len(given)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 12 < len(set(label)) < len(given) - 40
+    assert sorted(r.doc_id for r in similar_sets.without_similar(docs(spark, given)).collect()) == sorted(set(label))
+    assert similar_sets.without_similar(docs(spark, given).limit(0)).collect() == []
+
+
 # --- 9 decontamination ---------------------------------------------------------------------------------------------
 
 

@@ -40,3 +40,17 @@ def test_stages_keep_what_their_operators_keep(spark):
 def test_pipeline_runs_through(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 4096
+
+
+def test_pipeline_keeps_no_near_copies(spark):
+    """Documents 1 and 177 are 0.83 alike in five-word shingles and nine fingerprint bits apart."""
+    import itertools
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = lambda t: (t or "").lower().split()
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in docs.collect() if (w := words(r.text))}
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, SF)
+    kept = [r.doc_id for r in docs.select("doc_id").collect() if r.doc_id in sets]
+    assert 1 in kept and 177 not in kept
+    assert not [(a, b) for a, b in itertools.combinations(kept, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
