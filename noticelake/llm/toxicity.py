@@ -25,8 +25,10 @@ LEXICON = 4000
 FIT_ROWS = 20_000
 #: Letters of a word beginning that may be an entry of its own.
 STEMS = (4, 9)
-#: The best whole words of at least so many letters are also found misspelt.
-FUZZY_LETTERS, FUZZY = 5, 400
+#: Whole words of at least so many letters are also found misspelt; of shorter ones, of ``BRIEF_LETTERS``, only misspellings whose own counts show it.
+FUZZY_LETTERS, BRIEF_LETTERS = 5, 4
+#: Log-odds from which a term is typical of toxic texts, and under which a misspelling, a standard error added, is a word of its own.
+TYPICAL, OWN_WORD = 3.0, 1.0
 #: Words on each side that may mark a hit as quoted.
 CONTEXT = 4
 
@@ -54,11 +56,13 @@ class Lexicon:
 
     terms: dict[str, float]  # a stem ends with "*"
     clean: frozenset[str] = frozenset()
+    brief: frozenset[str] | None = frozenset()  # misspellings of terms of BRIEF_LETTERS; None allows all
     edits: int = 1
     nodes: list[dict[str, int]] = field(default_factory=lambda: [{}])
     exact: dict[int, float] = field(default_factory=dict)
     stem: dict[int, float] = field(default_factory=dict)
     fuzzy: dict[int, float] = field(default_factory=dict)
+    short: dict[int, float] = field(default_factory=dict)
     open_to: list[bool] = field(default_factory=lambda: [False])
     numbers: dict[frozenset[tuple[int, int]], int] = field(default_factory=dict)
     states: list[frozenset[tuple[int, int]]] = field(default_factory=list)
@@ -66,8 +70,6 @@ class Lexicon:
     known: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        whole = [t for t in self.terms if not t.endswith("*") and len(t) >= FUZZY_LETTERS]
-        found_misspelt = set(sorted(whole, key=lambda t: (-self.terms[t], t))[:FUZZY])
         for term, weight in sorted(self.terms.items()):
             word, at, path = term.removesuffix("*"), 0, [0]
             for c in word:
@@ -78,13 +80,14 @@ class Lexicon:
                 at = self.nodes[at][c]
                 path.append(at)
             (self.stem if term.endswith("*") else self.exact)[at] = weight
-            if term in found_misspelt:
-                self.fuzzy[at] = weight
+            least = BRIEF_LETTERS if self.brief or self.brief is None else FUZZY_LETTERS
+            if not term.endswith("*") and len(term) >= least:
+                (self.fuzzy if len(term) >= FUZZY_LETTERS else self.short)[at] = weight
                 for k in path:
                     self.open_to[k] = True
 
     def __reduce__(self):
-        return _shared, (tuple(sorted(self.terms.items())), self.clean)
+        return _shared, (tuple(sorted(self.terms.items())), self.clean, self.brief)
 
     def _spread(self, states: dict[int, int]) -> frozenset[tuple[int, int]]:
         """Adds what a left-out letter reaches, and keeps the fewest edits at each node."""
@@ -154,14 +157,18 @@ class Lexicon:
         best = max(best, self.exact.get(at, 0.0))
         if best or state < 0:
             return (best, 0.0) if best else NO_MATCH
-        near = max((self.fuzzy[n] for n, cost in self.states[state] if cost and n in self.fuzzy), default=0.0)
-        return (0.0, near) if near and word not in self.clean else NO_MATCH
+        near = 0.0
+        if word not in self.clean:
+            near = max((self.fuzzy[n] for n, cost in self.states[state] if cost and n in self.fuzzy), default=0.0)
+        if self.brief is None or word in self.brief:
+            near = max([near, *(self.short[n] for n, cost in self.states[state] if cost and n in self.short)])
+        return (0.0, near) if near else NO_MATCH
 
 
 @lru_cache(maxsize=2)
-def _shared(terms: tuple[tuple[str, float], ...], clean: frozenset[str]) -> Lexicon:
+def _shared(terms: tuple[tuple[str, float], ...], clean: frozenset[str], brief: frozenset[str] | None) -> Lexicon:
     """A worker's own lexicon, built once for all of its tasks."""
-    return Lexicon(dict(terms), clean)
+    return Lexicon(dict(terms), clean, brief)
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float, float]:
@@ -210,24 +217,39 @@ def learn_terms(labelled: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
     best = (
         counted.select(F.explode(entries).alias("term"), "p", "n").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        .where(F.col("p") >= max(5, pos // 100)).withColumn("odds", F.round(odds, 9)).where("odds >= 3 AND length(term) >= 3")
+        .where(F.col("p") >= max(5, pos // 100)).withColumn("odds", F.round(odds, 9)).where(f"odds >= {TYPICAL} AND length(term) >= 3")
         .orderBy(F.desc("odds"), F.desc("p"), "term").limit(LEXICON)
     )
     return {r.term: r.odds for r in best.collect()}
 
 
-def clean_near(labelled: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words of clean texts that look like misspelt entries but are words of their own; bounded by the lexicon's neighbours."""
+def judged_neighbours(labelled: DataFrame, terms: dict[str, float]) -> tuple[frozenset[str], frozenset[str]]:
+    """Words near an entry that are words of their own, and misspellings of short entries that count as such.
+
+    Each is judged by the log-odds of the toxic and the clean labelled texts that hold it, so a single
+    clean text does not outweigh the rest. Both sets are bounded by the lexicon's neighbours.
+    """
+    every, long_ones = Lexicon(terms, brief=None), Lexicon(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = {w for t in batch.column(0).to_pylist() for w in {m.group().lower() for m in WORD.finditer(t or "")} if lexicon.match(w)[1]}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["w"])
-
-    if not lexicon.fuzzy:
-        return frozenset()
-    rows = labelled.where("toxic = 0").select("text").mapInArrow(run, "w string").distinct().collect()
-    return frozenset(r.w for r in rows)
+            rows = [
+                (w, bool(long_ones.match(w)[1]), toxic)
+                for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for w in {m.group().lower() for m in WORD.finditer(t or "")} if every.match(w)[1]
+            ]
+            words, kinds, toxic = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(kinds, pa.bool_()), pa.array(toxic, pa.int64())], ["w", "long", "t"])
+
+    if not every.fuzzy and not every.short:
+        return frozenset(), frozenset()
+    pos, neg = (n or 0 for n in labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    found = labelled.select("text", F.col("toxic").cast("long").alias("t")).mapInArrow(run, "w string, long boolean, t long")
+    p, n = F.sum("t") + 0.5, F.sum(1 - F.col("t")) + 0.5
+    odds = F.log(p / (pos + 1.0)) - F.log(n / (neg + 1.0))
+    judged = found.groupBy("w", "long").agg(odds.alias("odds"), F.sqrt(1 / p + 1 / n).alias("error"))
+    rows = judged.where(F.when(F.col("long"), F.col("odds") + F.col("error") < OWN_WORD).otherwise(F.col("odds") >= TYPICAL)).select("w", "long").collect()
+    return frozenset(r.w for r in rows if r.long), frozenset(r.w for r in rows if not r.long)
 
 
 FEATURES = ["meant", "misspelt", "quoted", "top", "share"]
@@ -274,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = taught.count()
     rows = docs.select("doc_id", "text")
     labelled = rows.join(F.broadcast(taught), "doc_id") if n <= SENT_LABELS else cut(rows.join(taught, "doc_id"))
-    lexicon = Lexicon(learn_terms(labelled))
-    lexicon = Lexicon(lexicon.terms, clean_near(labelled, lexicon))
+    terms = learn_terms(labelled)
+    lexicon = Lexicon(terms, *judged_neighbours(labelled, terms))
     # The fitted rows are found by the hashes of their ids alone, so no text is sorted.
     last = labelled.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
     taught_rows = labelled.where(F.xxhash64("doc_id") <= (last if last is not None else 0))

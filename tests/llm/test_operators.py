@@ -187,6 +187,18 @@ def test_held_out_toxic_texts_are_found(spark):
     assert toxicity.score_documents(table.limit(0), labels).collect() == []
 
 
+def test_neighbours_are_judged_by_counts(spark):
+    """One clean text does not veto a misspelling, many do; a short entry's misspelling needs counts of its own; no entry is left out."""
+    rows = [("you idiot", 1)] * 30 + [("an idjot", 1)] * 3 + [("an idjot", 0)] + [("an idiots", 0)] * 40 + [("some scun", 1)] * 8 + [("the scup", 0)] * 8 + [("fine", 0)] * 60
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    clean, brief = toxicity.judged_neighbours(labelled, {"idiot": 5.0, "scum": 5.0})
+    assert (clean, brief) == ({"idiots"}, {"scun"})
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "scum": 5.0}, clean, brief)
+    assert [lexicon.match(w)[1] > 0 for w in ("idjot", "scun", "scup")] == [True, True, False]
+    many = toxicity.Lexicon({f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}zzz": 9.0 - k / 1000 for k in range(1000)})
+    assert many.match("wjjjzz")[1] > 0
+
+
 # --- 6 and 7 tokens ------------------------------------------------------------------------------------------------
 
 
