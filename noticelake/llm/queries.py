@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from noticelake.llm import chat, decontamination, fingerprints, html_text, licenses, near_dups, packing, token_counts, token_files, toxicity
+from noticelake.llm import (
+    centroids, chat, decontamination, fingerprints, html_text, licenses, near_dups, packing, pivot_index, token_counts, token_files, toxicity, variants,
+)
 from noticelake.llm.common import cut, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +210,63 @@ def delta_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.commit(3, change(marked.where("lang = 'en' AND gone IS NULL"), "revise", True, True, quarters))
     ledger.commit(2, withdrawn)
     return ledger.totals()
+
+
+@query("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.noisy_words(table(spark, sf_dir, "documents")))
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+    SELECT rid, vec_id, v, b.d AS distance, b.c AS cluster
+    FROM (SELECT k.rid, any_value(vec_id) AS vec_id, any_value(k.v) AS v,
+                 min({{'d': list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': m.c}}) AS b
+          FROM kept k, mean{r} m GROUP BY k.rid)
+)""")
+        if r < rounds:
+            steps.append(f"""
+parts{r} AS (SELECT cluster, i, floor(sum(v[i])::HUGEINT / count(*))::BIGINT AS x FROM (SELECT cluster, v, unnest(range(1, 65)) AS i FROM near{r}) GROUP BY ALL),
+mean{r + 1} AS MATERIALIZED (
+    SELECT m.c, coalesce(p.v, m.v) AS v FROM mean{r} m LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM parts{r} GROUP BY cluster) p ON p.cluster = m.c
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+mean0 AS MATERIALIZED (
+    SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v
+    FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept ORDER BY h, v LIMIT 40)
+),{','.join(steps)},
+sums AS (SELECT cluster, sum(distance)::BIGINT AS s FROM near{rounds} GROUP BY cluster)
+SELECT n.vec_id, n.cluster, n.distance, s.s AS cluster_inertia, (SELECT sum(s)::BIGINT FROM sums) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM near{rounds} n JOIN sums s USING (cluster) JOIN mean{rounds} m ON m.c = n.cluster
+"""
+
+
+@query("op12_centroid_clustering", _op12_sql())
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score, c.rid AS other
+    FROM kept q JOIN kept c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM scores) WHERE rank <= 5
+"""
+
+
+@query("op13_exact_top_k", OP13_SQL)
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
