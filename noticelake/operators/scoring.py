@@ -1,22 +1,22 @@
 """Match scoring of (firm, notice) pairs.
 
-The whole of a pair's score comes from three joins: its preferences by firm, its notice by id, and
-one tile join by firm that reduces capabilities and past wins to a few numbers per pair. Hard
-filters run before any vector is touched, and notice texts are dropped as soon as they were searched.
+The whole of a pair's score comes from a few joins: its preferences by firm, its notice by id, the
+points of its firm for its buyer, and one tile join by firm that reduces capabilities and the values
+of past wins to a few numbers per pair. Hard filters run before any vector is touched, and notice
+texts are dropped as soon as they were searched.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import display, vector as vx
 from noticelake.operators import tiles
 from noticelake.operators.lists import paged_lists
-from noticelake.operators.vectors import search_notices
+from noticelake.operators.vectors import rows_above, search_notices
 from noticelake.session import staged
 
 # Weights, steps and limits of the scores.
@@ -113,8 +113,9 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
 
     * of capabilities with one and the same vector, as many as an average can take;
     * of wins with one buyer name, a count, held at the number that is enough for the cap;
-    * of win values of one sign in one power of two, the lowest and highest few. A range of values either spans
-      the bucket or cuts it on one side, and either way these show whether enough values lie inside.
+    * of positive win values in one power of two, the lowest and highest few. A range of values either spans
+      the bucket or cuts it on one side, and either way these show whether enough values lie inside;
+    * of negative win values, a few: two negative values always count as alike, as their ratio is 1 or more.
 
     Everything is reduced before it is shuffled by firm. Scoring takes the result as ``evidence``, so it
     can be kept as a table.
@@ -137,9 +138,9 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
             "cast(null as double) as win_value",
         ))
         worth = wins.selectExpr("firm_id", "cast(win_id as string) as win_id", "cast(contract_value as double) as v").where("v <> 0")
-        bucket = F.floor(F.log2(F.abs("v")))
-        low = Window.partitionBy("firm_id", F.signum("v"), bucket).orderBy("v", "win_id")
-        high = Window.partitionBy("firm_id", F.signum("v"), bucket).orderBy(F.desc("v"), F.desc("win_id"))
+        bucket = value_bucket("v")
+        low = Window.partitionBy("firm_id", bucket).orderBy("v", "win_id")
+        high = Window.partitionBy("firm_id", bucket).orderBy(F.desc("v"), F.desc("win_id"))
         ends = [worth.withColumn("n", F.row_number().over(w)).where(F.col("n") <= ENOUGH_VALUES).drop("n") for w in (low, high)]
         parts.append(ends[0].union(ends[1]).distinct().selectExpr(
             "firm_id", "concat('v', win_id) as rid", "cast(null as array<float>) as embedding", "cast(null as string) as win_buyer",
@@ -151,20 +152,37 @@ def firm_evidence(capabilities: DataFrame | None, wins: DataFrame | None) -> Dat
     return out
 
 
-def _buyer_kinds(ours: list[str], theirs: list[str]) -> np.ndarray:
-    """2 for equal, 1 for containment, 0 otherwise, for each pair of distinct lower-case names."""
-    kinds = np.zeros((len(ours), len(theirs)), dtype=np.int8)
-    for i, a in enumerate(ours):
-        if a:
-            kinds[i] = [2 if a == b else 1 if b and (a in b or b in a) else 0 for b in theirs]
-    return kinds
+#: The bucket of all negative values; powers of two of doubles are far above it.
+NEGATIVE = -100_000
+
+
+def value_bucket(value) -> Column:
+    """The power of two that a positive value lies in, and one bucket for all negative ones. Values of one
+    bucket are always alike, values two or more buckets apart never."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value > 0, F.floor(F.log2(value)).cast("int")).when(value < 0, F.lit(NEGATIVE))
+
+
+def _alike(worth: np.ndarray, value: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each value, the span of the sorted ``worth`` where the smaller over the larger passes ``ratio``.
+
+    Of two positive values that is the usual ratio. Of two negative ones it is 1 or more, so all
+    negative worths count; values of unlike signs never do.
+    """
+    start = np.searchsorted(worth, value * ratio, "right")
+    end = np.searchsorted(worth, value / ratio, "left")
+    negative = value < 0
+    start[negative], end[negative] = 0, np.searchsorted(worth, 0.0)
+    missing = np.isnan(value)
+    start[missing] = end[missing] = 0
+    return start, np.maximum(start, end)
 
 
 _PARTIAL = "firm_id string, notice_id string, preference_score double, sims array<double>, points double"
 
 
 def _score_tile(a: pa.Table, b: pa.Table) -> dict:
-    """Best similarities and win points of each pair, from one block of its firm's evidence."""
+    """Best similarities and value points of each pair, from one block of its firm's evidence."""
     n = a.num_rows
     rows, _, cos = tiles.cosines(a, b)
     top = min(TOP_CAPABILITIES, cos.shape[1])
@@ -172,18 +190,9 @@ def _score_tile(a: pa.Table, b: pa.Table) -> dict:
     length = np.zeros(n, dtype=np.int64)
     length[rows] = top
     offsets = np.r_[0, np.cumsum(length)]
-    points = np.zeros(n)
-    known = b.filter(pc.is_valid(b.column("win_buyer")))
-    if known.num_rows:
-        ours, which = tiles.names(a.column("buyer_name"))
-        worth_of = np.array([0.0, SIMILAR_BUYER, EQUAL_BUYER])[_buyer_kinds(ours, known.column("win_buyer").to_pylist())]
-        points += (worth_of @ known.column("win_count").to_numpy())[which]
     worth = tiles.numbers(b.column("win_value"))
-    worth = np.sort(worth[~np.isnan(worth)])
-    if len(worth):
-        value = tiles.numbers(a.column("value"))
-        near = np.searchsorted(worth, value / VALUE_RATIO, "left") - np.searchsorted(worth, value * VALUE_RATIO, "right")
-        points += SIMILAR_VALUE * np.where(np.isnan(value), 0, np.maximum(near, 0))
+    start, end = _alike(np.sort(worth[~np.isnan(worth)]), tiles.numbers(a.column("value")), VALUE_RATIO)
+    points = SIMILAR_VALUE * (end - start)
     return {
         "firm_id": a.column("firm_id"), "notice_id": a.column("notice_id"), "preference_score": a.column("preference_score"),
         "sims": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(best.ravel())), "points": points,
@@ -209,24 +218,48 @@ def score_pairs(
     if evidence is None:
         # Counted for the tiles and then joined; written once, it is not reduced twice.
         evidence = staged(firm_evidence(capabilities, past_wins), "firm-evidence")
-    sizes = tiles.tile_sizes(pairs, evidence, ["firm_id"], block, block)
+    weighed = evidence.where("win_buyer IS NULL")
+    sizes = tiles.tile_sizes(pairs, weighed, ["firm_id"], block, block)
     known = firms.select("firm_id").join(sizes, "firm_id")
-    passed = with_preferences(pairs, notices, preferences, known).where(~F.col("rejected"))
-    left = passed.join(notice_vectors.select("notice_id", "embedding"), "notice_id", "left").select(
-        "firm_id", "notice_id", "buyer_name", F.col("value").cast("double").alias("value"), "preference_score", "embedding",
-        "_lb", "_rb",
+    # Read for the tiles, the buyers and the points; written once, no text is searched twice.
+    passed = staged(
+        with_preferences(pairs, notices, preferences, known).where(~F.col("rejected")).select(
+            "firm_id", "notice_id", "buyer_name", F.col("value").cast("double").alias("value"), "preference_score", "_lb", "_rb"
+        ),
+        "passed-pairs",
     )
+    left = passed.drop("buyer_name").join(notice_vectors.select("notice_id", "embedding"), "notice_id", "left")
     partial = tiles.tile_join(
-        left, evidence, ["firm_id"], ["notice_id"], ["rid"], _score_tile,
-        _PARTIAL,
+        left, weighed, ["firm_id"], ["notice_id"], ["rid"], _score_tile, _PARTIAL,
         left_block=block, right_block=block, sizes=sizes,
     )
-    return total_score(merge_partials(partial))
+    return total_score(merge_partials(partial, with_buyer_points(passed, evidence)))
+
+
+def with_buyer_points(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(firm_id, notice_id, buyer_points)`` of the pairs whose firm has won with the notice's buyer or a similar one.
+
+    Buyers are related once for each name, then met by (firm, buyer): equi-joins on distinct names,
+    whatever the number of notices of a buyer or of wins of a firm.
+    """
+    named = pairs.select("firm_id", "notice_id", F.lower("buyer_name").alias("buyer")).where("buyer <> ''")
+    asked = named.select("firm_id", "buyer").distinct()
+    held = evidence.where("win_buyer IS NOT NULL").select("firm_id", "win_buyer", "win_count")
+    related = buyer_similarity(asked.select(F.col("buyer").alias("buyer_name")), held.select(F.col("win_buyer").alias("buyer_name")))
+    worth = F.when(F.col("kind") == "equal", EQUAL_BUYER).otherwise(SIMILAR_BUYER)
+    points = asked.join(related, "buyer").join(held, ["firm_id", "win_buyer"]).groupBy("firm_id", "buyer").agg(
+        F.sum(worth * F.col("win_count")).alias("buyer_points")
+    )
+    return named.join(points, ["firm_id", "buyer"]).select("firm_id", "notice_id", "buyer_points")
 
 
-def merge_partials(partial: DataFrame) -> DataFrame:
-    """Scores of the tiles of a pair put together; each tile brings at most three similarities."""
-    merged = partial.groupBy("firm_id", "notice_id").agg(
+def merge_partials(partial: DataFrame, buyer_points: DataFrame) -> DataFrame:
+    """Scores of the tiles of a pair and its points for the buyer put together; each tile brings at most three similarities."""
+    points = buyer_points.select(
+        "firm_id", "notice_id", F.lit(None).cast("double").alias("preference_score"), F.array().cast("array<double>").alias("sims"),
+        F.col("buyer_points").alias("points"),
+    )
+    merged = partial.unionByName(points).groupBy("firm_id", "notice_id").agg(
         F.max("preference_score").alias("preference_score"),
         F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"),
         F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("sims")))), 1, TOP_CAPABILITIES).alias("top"),
@@ -287,15 +320,15 @@ def capability_score(pairs: DataFrame, notice_vectors: DataFrame, capabilities:
 
 
 def past_win_score(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -> DataFrame:
-    left = pairs.select("firm_id", "notice_id").join(notices.select("notice_id", "buyer_name", "value"), "notice_id").select(
-        "firm_id", "notice_id", "buyer_name", F.col("value").cast("double").alias("value"),
-        F.lit(0.0).alias("preference_score"), F.lit(None).cast("array<float>").alias("embedding"),
-    )
+    about = notices.select("notice_id", "buyer_name", F.col("value").cast("double").alias("value"))
+    named = staged(pairs.select("firm_id", "notice_id").join(about, "notice_id"), "named-pairs")
+    left = named.select("firm_id", "notice_id", "value", F.lit(0.0).alias("preference_score"), F.lit(None).cast("array<float>").alias("embedding"))
+    evidence = staged(firm_evidence(None, past_wins), "firm-evidence")
     partial = tiles.tile_join(
-        left, staged(firm_evidence(None, past_wins), "firm-evidence"), ["firm_id"], ["notice_id"], ["rid"], _score_tile,
-        _PARTIAL,
-    )
-    return partial.groupBy("firm_id", "notice_id").agg(F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"))
+        left, evidence.where("win_buyer IS NULL"), ["firm_id"], ["notice_id"], ["rid"], _score_tile, _PARTIAL,
+    ).select("firm_id", "notice_id", "points")
+    every = partial.unionByName(with_buyer_points(named, evidence).withColumnRenamed("buyer_points", "points"))
+    return every.groupBy("firm_id", "notice_id").agg(F.least(F.sum("points"), F.lit(1.0)).alias("past_win_score"))
 
 
 # ---- reasons -------------------------------------------------------------------------------------
@@ -309,60 +342,53 @@ def capability_reason(score="capability_score") -> Column:
 
 
 def _reason_tile(a: pa.Table, b: pa.Table) -> dict | None:
-    """The wins of one block that give a pair a reason: equal buyer (1), similar buyer (2), value (3)."""
-    if not b.num_rows:
-        return None
-    ours, which = tiles.names(a.column("buyer_name"))
-    theirs, whose = tiles.names(b.column("win_buyer"))
-    kinds = _buyer_kinds(ours, theirs)
-    left, right, kind = [], [], []
-    wins_of = [np.flatnonzero(whose == j) for j in range(len(theirs))]
-    pairs_of = [np.flatnonzero(which == i) for i in range(len(ours))]
-    for i, j in zip(*np.nonzero(kinds)):
-        left.append(np.repeat(pairs_of[i], len(wins_of[j])))
-        right.append(np.tile(wins_of[j], len(pairs_of[i])))
-        kind.append(np.full(len(left[-1]), 1 if kinds[i, j] == 2 else 2))
+    """The wins of one block whose value gives a pair a reason."""
     worth, value = tiles.numbers(b.column("win_value")), tiles.numbers(a.column("value"))
     order = np.argsort(worth)[: np.count_nonzero(~np.isnan(worth))]
-    known = np.flatnonzero(~np.isnan(value))
-    # A slightly wider range of sorted values first, then the exact test on what it holds.
-    lo = np.searchsorted(worth[order], value[known] * REASON_RATIO * (1 - 1e-9), "left")
-    hi = np.searchsorted(worth[order], value[known] / REASON_RATIO * (1 + 1e-9), "right")
-    count = np.maximum(hi - lo, 0)
-    rows = np.repeat(known, count)
-    cols = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    # A slightly lower ratio on the sorted values first, then the exact test on what it holds.
+    start, end = _alike(worth[order], value, REASON_RATIO * (1 - 1e-9))
+    count = end - start
+    rows = np.repeat(np.arange(len(value)), count)
+    cols = order[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())]
     near = np.minimum(value[rows], worth[cols]) / np.maximum(value[rows], worth[cols]) > REASON_RATIO
-    left = np.concatenate([*left, rows[near]])
-    right = np.concatenate([*right, cols[near]])
+    rows, cols = rows[near], cols[near]
+    if not len(rows):
+        return None
     return {
-        "firm_id": tiles.pick(a.column("firm_id"), left),
-        "notice_id": tiles.pick(a.column("notice_id"), left),
-        "win_id": tiles.pick(b.column("win_id"), right),
-        "kind": np.concatenate([*kind, np.full(near.sum(), 3)]).astype(np.int32),
-        "win_buyer": tiles.pick(b.column("win_buyer"), right),
-        "win_value": worth[right],
+        "firm_id": tiles.pick(a.column("firm_id"), rows),
+        "notice_id": tiles.pick(a.column("notice_id"), rows),
+        "win_id": tiles.pick(b.column("win_id"), cols),
+        "win_value": worth[cols],
     }
 
 
 def win_reasons(pairs: DataFrame, notices: DataFrame, past_wins: DataFrame) -> DataFrame:
-    """One row per reason a past win gives a pair, with ``win_id`` and ``kind`` as its place in order."""
-    left = pairs.select("firm_id", "notice_id").join(notices.select("notice_id", "buyer_name", "value"), "notice_id").withColumn(
-        "value", F.col("value").cast("double")
-    )
-    right = past_wins.select(
-        "firm_id", F.col("win_id").cast("string").alias("win_id"), F.coalesce("buyer_name", F.lit("")).alias("win_buyer"),
+    """One row per reason a past win gives a pair, with ``win_id`` and ``kind`` as its place in order:
+    equal buyer (1), similar buyer (2), value (3)."""
+    about = notices.select("notice_id", F.lower("buyer_name").alias("buyer"), F.col("value").cast("double").alias("value"))
+    left = staged(pairs.select("firm_id", "notice_id").join(about, "notice_id"), "reason-pairs")
+    wins = past_wins.select(
+        "firm_id", F.col("win_id").cast("string").alias("win_id"), "buyer_name", F.lower("buyer_name").alias("win_buyer"),
         F.col("contract_value").cast("double").alias("win_value"),
     )
-    found = tiles.tile_join(
-        left, right, ["firm_id"], ["notice_id"], ["win_id"], _reason_tile,
-        "firm_id string, notice_id string, win_id string, kind int, win_buyer string, win_value double",
+    named = left.where("buyer <> ''")
+    related = buyer_similarity(named.select(F.col("buyer").alias("buyer_name")), wins.select(F.col("win_buyer").alias("buyer_name")))
+    # Names are related per firm first, so a pair meets only the wins that give it a reason.
+    known = named.select("firm_id", "buyer").distinct().join(related, "buyer")
+    met = named.join(known.join(wins, ["firm_id", "win_buyer"]), ["firm_id", "buyer"])
+    buyers = met.select(
+        "firm_id", "notice_id", "win_id", F.when(F.col("kind") == "equal", 1).otherwise(2).alias("kind"),
+        F.when(F.col("kind") == "equal", F.concat(F.lit("Previously won contract with "), "buyer_name"))
+        .otherwise(F.concat(F.lit("Previously worked with similar buyer ("), "buyer_name", F.lit(")"))).alias("reason"),
     )
-    reason = (
-        F.when(F.col("kind") == 1, F.concat(F.lit("Previously won contract with "), "win_buyer"))
-        .when(F.col("kind") == 2, F.concat(F.lit("Previously worked with similar buyer ("), "win_buyer", F.lit(")")))
-        .otherwise(F.concat(F.lit("Similar contract value to past win ("), display.money("win_value"), F.lit(")")))
+    values = tiles.tile_join(
+        left.where("value <> 0").select("firm_id", "notice_id", "value"), wins.where("win_value <> 0").select("firm_id", "win_id", "win_value"),
+        ["firm_id"], ["notice_id"], ["win_id"], _reason_tile, "firm_id string, notice_id string, win_id string, win_value double",
     )
-    return found.select("firm_id", "notice_id", "win_id", "kind", reason.alias("reason"))
+    return buyers.unionByName(values.select(
+        "firm_id", "notice_id", "win_id", F.lit(3).alias("kind"),
+        F.concat(F.lit("Similar contract value to past win ("), display.money("win_value"), F.lit(")")).alias("reason"),
+    ))
 
 
 def reason_rows(scored: DataFrame, notices: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -445,31 +471,87 @@ def firm_notice_pairs(firms: DataFrame, notices: DataFrame, as_of: Column, salts
     return met.where(F.col("published_date") >= F.col("since")).select("firm_id", "notice_id")
 
 
-def buyer_similarity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Pairs of distinct buyer names that are equal or contain each other, ignoring case:
-    ``(buyer, win_buyer, kind)``.
+def candidate_pairs(
+    notices: DataFrame, notice_vectors: DataFrame, evidence: DataFrame, threshold: float, block: int = tiles.LEFT_BLOCK
+) -> DataFrame:
+    """``(firm_id, notice_id)`` of every pair that can score ``threshold`` or more in total, each once.
 
-    Containment is an equi-join: a name is looked up among the substrings of the other side's names
-    that have a length occurring there. Work grows with the length of names, not with pairs of names.
+    Preferences alone give at most their weight. A total above that needs points for past wins or a
+    capability score, so a pair comes from one of three relations, and no product of the tables is formed:
+
+    * the firm has won with the notice's buyer or a similar one (join by buyer);
+    * it has a win of a similar value (join by power of two, against the lowest and highest win in it);
+    * it has no such win, and a capability so near to the notice that capability and preferences suffice.
+
+    Keys that fill a block (a frequent buyer, a common size of contract) are split over tasks.
     """
-    a = ours.select(F.lower("buyer_name").alias("a")).where("a <> ''").distinct()
-    b = theirs.select(F.lower("buyer_name").alias("b")).where("b <> ''").distinct()
+    if threshold <= WEIGHTS["preference"]:
+        raise ValueError("pairs of no relation can reach a total that preferences alone give")
+    about = notices.select("notice_id", F.lower("buyer_name").alias("buyer"), F.col("value").cast("double").alias("value"))
+    won = evidence.where("win_buyer IS NOT NULL").select("firm_id", "win_buyer")
+    named = about.where("buyer <> ''").select("notice_id", "buyer")
+    related = buyer_similarity(named.select(F.col("buyer").alias("buyer_name")), won.select(F.col("win_buyer").alias("buyer_name")))
+    known = won.join(related, "win_buyer").select("firm_id", "buyer").distinct()
+    by_buyer = tiles.spread_join(known, named, ["buyer"], ["firm_id"], ["notice_id"], block).select("firm_id", "notice_id")
 
-    def parts(names: DataFrame, name: str, part: str) -> DataFrame:
-        size = F.length(name)
-        spans = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), size),
-                lambda start: F.transform(F.sequence(F.lit(1), size - start + 1), lambda n: F.substr(F.col(name), start, n)),
-            )
-        )
-        return names.select(name, F.explode(F.array_distinct(spans)).alias(part))
+    spans = evidence.where("win_value IS NOT NULL").groupBy("firm_id", value_bucket("win_value").alias("held")).agg(
+        F.min("win_value").alias("low"), F.max("win_value").alias("high")
+    ).withColumn("bucket", F.explode(F.when(F.col("held") == NEGATIVE, F.array("held")).otherwise(F.array(*[F.col("held") + k for k in (-1, 0, 1)]))))
+    valued = about.where("value <> 0").select("notice_id", "value", value_bucket("value").alias("bucket"))
+    alike = (F.col("held") == F.col("bucket")) | F.when(
+        F.col("held") > F.col("bucket"), F.col("low") * VALUE_RATIO < F.col("value")
+    ).otherwise(F.col("high") > F.col("value") * VALUE_RATIO)
+    by_value = tiles.spread_join(spans, valued, ["bucket"], ["firm_id", "held"], ["notice_id"], block).where(alike).select("firm_id", "notice_id")
+
+    # Scores are compared after rounding, so the least cosine gives way by more than rounding can move a total.
+    least = (threshold - WEIGHTS["preference"]) / WEIGHTS["capability"] - 1e-6
+    asked = notice_vectors.join(notices.select("notice_id"), "notice_id", "left_semi")
+    skills = evidence.where("embedding IS NOT NULL").select("rid", "firm_id", "embedding")
+    by_vector = rows_above(asked, skills, least, "notice_id", "rid", "firm_id", block).select("firm_id", "notice_id")
+    return by_buyer.union(by_value).union(by_vector).distinct()
+
+
+GRAM = 3
+
+
+def _grams(names: DataFrame, name: str, sizes: tuple[int, ...]) -> DataFrame:
+    """``(name, gram)``: the distinct pieces of each name of the given sizes."""
+    text = F.col(name)
+
+    def parts_of(size: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substr(text, k, F.lit(size)))
+        return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
 
-    inside = parts(a, "a", "b").join(b, "b", "left_semi").select("a", "b")
-    around = parts(b, "b", "a").join(a, "a", "left_semi").select("a", "b")
-    kind = F.when(F.col("a") == F.col("b"), "equal").otherwise("contains")
-    return inside.union(around).distinct().select(
-        F.col("a").alias("buyer"), F.col("b").alias("win_buyer"), kind.alias("kind")
+    return names.select(name, F.explode(F.array_distinct(F.concat(*map(parts_of, sizes)))).alias("gram"))
+
+
+def contained_names(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``(inner, outer)`` for all pairs of a name and another that holds it, equal ones too.
+
+    An inner name is listed under its rarest piece of ``GRAM`` letters, counted over the outer names (a
+    shorter name under itself); outer names look up their own pieces, and a hit is verified. Work
+    grows with the length of names and with the rarest pieces' frequency, not with pairs of names.
+    An inner name with a piece that no outer name has is dropped before the join.
+    """
+    pieces = staged(_grams(outer, "outer", tuple(range(1, GRAM + 1))), "name-pieces")
+    often = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    short = inner.where(F.length("inner") < GRAM).select("inner", F.col("inner").alias("gram"))
+    listed = _grams(inner, "inner", (GRAM,)).join(often, "gram", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")
+    index = listed.groupBy("inner").agg(rarest).where("r.n > 0").select("inner", "r.gram").unionByName(short)
+    return index.join(pieces, "gram").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+def buyer_similarity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of distinct buyer names that are equal or contain each other, ignoring case:
+    ``(buyer, win_buyer, kind)``. Empty and null names are like no other."""
+    a = ours.select(F.lower("buyer_name").alias("a")).where("a <> ''").distinct()
+    b = theirs.select(F.lower("buyer_name").alias("b")).where("b <> ''").distinct()
+    inside = contained_names(b.withColumnRenamed("b", "inner"), a.withColumnRenamed("a", "outer"))
+    around = contained_names(a.withColumnRenamed("a", "inner"), b.withColumnRenamed("b", "outer")).where(F.col("inner") != F.col("outer"))
+    kind = F.when(F.col("inner") == F.col("outer"), "equal").otherwise("contains")
+    return inside.select(F.col("outer").alias("buyer"), F.col("inner").alias("win_buyer"), kind.alias("kind")).union(
+        around.select("inner", "outer", F.lit("contains"))
     )
 
 

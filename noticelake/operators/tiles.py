@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from noticelake.functions.vector import RANK_DIGITS
+from noticelake.session import staged
 
 LEFT_BLOCK = 8192
 RIGHT_BLOCK = 8192
@@ -86,6 +87,18 @@ def tile_join(
     return lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInArrow(run, schema)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], left_id: list[str], right_id: list[str], block: int = LEFT_BLOCK) -> DataFrame:
+    """An inner equi-join whose hot keys are split: both sides' rows of a key are cut into blocks, and a task
+    joins one block with one block. Keys that fill one block are joined as they are."""
+    count = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
+    sizes = staged(count(left, "_lb").join(count(right, "_rb"), key), "join-sizes")
+    part = lambda ids, n: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lhs = left.join(sizes, key).withColumn("_l", part(left_id, "_lb")).withColumn("_r", every("_rb")).drop("_lb", "_rb")
+    rhs = right.join(sizes, key).withColumn("_r", part(right_id, "_rb")).withColumn("_l", every("_lb")).drop("_lb", "_rb")
+    return lhs.join(rhs, [*key, "_l", "_r"]).drop("_l", "_r")
+
+
 def vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the rows that have a vector, and their vectors as a float64 matrix."""
     held = column.drop_null()

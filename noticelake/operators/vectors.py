@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as tx, vector as vx
-from noticelake.operators import tiles
+from noticelake.operators import groups, tiles
 from noticelake.operators.ingest import upsert
 from noticelake.session import staged
 
@@ -232,73 +232,32 @@ def _reduce(held: list[tuple], k: int, n: int):
     return [(qno, score, ident)], floor
 
 
+# More than rounding can move a cosine worked out from angles.
+MARGIN = 1e-7
+
+
 def knn_join(
     queries: DataFrame,
     points: DataFrame,
     k: int,
     query_id: str = "query_id",
     point_id: str = "point_id",
-    pivots: int = 128,
     block: int = tiles.RIGHT_BLOCK,
+    group_rows: int = groups.GROUP_ROWS,
 ) -> DataFrame:
     """Exact k-nearest-neighbour join for query sets too large to broadcast.
 
-    Points are grouped around pivots. Each query first meets only the groups nearest to it, which
-    gives a score its final k-th hit is sure to reach; after that it meets just those other groups
-    whose angular bound can still beat that score (triangle inequality on the sphere). Groups meet
-    queries in tiles of bounded size, so a group holding a third of all points is shared out.
+    Points are grouped around pivots on two levels. Each query first meets only the groups nearest to
+    it, which gives a score its final k-th hit is sure to reach; after that it meets just those other
+    groups whose bound reaches that score. Groups meet queries in tiles of bounded size, so a group
+    holding a third of all points is shared out.
     """
-    # Pivots: one vector per hash bucket, so they differ, and tasks send on one candidate per bucket.
-    hashed = points.select("embedding", F.xxhash64("embedding").alias("h"))
-    sample = (
-        hashed.groupBy(F.pmod("h", F.lit(pivots)).alias("bucket")).agg(F.min_by("embedding", "h").alias("embedding"))
-        .orderBy("bucket").select("embedding").toArrow()
-    )
     qtype, ptype = dict(queries.dtypes)[query_id], dict(points.dtypes)[point_id]
     out = f"{query_id} {qtype}, {point_id} {ptype}, score double"
-    if sample.num_rows == 0:
+    held = groups.group_points(points, [point_id], group_rows)
+    if held is None:
         return points.sparkSession.createDataFrame([], out + ", rank int")
-    centre = tiles.unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in sample.column(0).to_pylist()]))
-
-    @F.pandas_udf("struct<grp:int,angle:double>")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        cos = tiles.unit_rows(tiles.matrix(v)) @ centre.T
-        best = cos.argmax(axis=1)
-        angle = np.arccos(np.clip(cos[np.arange(len(cos)), best], -1, 1))
-        return pd.DataFrame({"grp": best, "angle": angle})
-
-    # Written once: the bounds only hold if every pass sees a point in the same group.
-    placed = staged(
-        points.select(F.col(point_id), "embedding", assign("embedding").alias("a")).select(
-            point_id, "embedding", F.col("a.grp").alias("grp"), F.col("a.angle").alias("angle")
-        ),
-        "knn-points",
-    )
-    # One row per pivot: bounded by the number of pivots.
-    stats = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toPandas()
-    grp, size, radius = (stats[c].to_numpy() for c in ("grp", "n", "radius"))
-    group_centre = centre[grp]
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cos = tiles.unit_rows(tiles.matrix(pdf["embedding"])) @ group_centre.T
-            order = np.argsort(-cos, axis=1, kind="stable")
-            before = np.cumsum(size[order], axis=1) - size[order]
-            row, col = np.nonzero(before < k)
-            yield pdf.iloc[row].assign(grp=grp[order[row, col]])
-
-    def still_able(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cos = np.clip(tiles.unit_rows(tiles.matrix(pdf["embedding"])) @ group_centre.T, -1, 1)
-            bound = np.cos(np.maximum(0, np.arccos(cos) - radius))
-            order = np.argsort(-cos, axis=1, kind="stable")
-            before = np.cumsum(size[order], axis=1) - size[order]
-            seen = np.zeros(cos.shape, bool)
-            np.put_along_axis(seen, order, before < k, axis=1)
-            # The margin covers rounding, so that a bound never hides an equal score.
-            able = (bound + 1e-7 >= pdf["floor"].to_numpy()[:, None]) & ~seen
-            row, col = np.nonzero(able)
-            yield pdf.iloc[row][[query_id, "embedding"]].assign(grp=grp[col])
+    placed, rings = held
 
     def best(a: pa.Table, b: pa.Table) -> dict | None:
         rows, cols, cos = tiles.cosines(a, b)
@@ -312,21 +271,60 @@ def knn_join(
         }
 
     def round_of(sent: DataFrame) -> DataFrame:
-        return tiles.tile_join(
-            sent, placed.select("grp", point_id, "embedding"), ["grp"], [query_id], [point_id], best, out,
-            left_block=block, right_block=block,
-        )
+        return tiles.tile_join(sent, placed, ["grp"], [query_id], [point_id], best, out, left_block=block, right_block=block)
 
     lean = queries.select(query_id, "embedding")
-    sent_schema = f"{query_id} {qtype}, embedding array<float>, grp int"
-    first = round_of(lean.mapInPandas(nearest, sent_schema))
+    first = round_of(visits(lean, rings, query_id, lambda pdf, unit: rings.nearest(unit, k)))
     ranked = staged(rank_top(first, k, query_id, point_id), "knn-first")
     worst = F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor")
     floors = ranked.groupBy(query_id).agg(worst)
-    second = round_of(lean.join(floors, query_id).mapInPandas(still_able, sent_schema))
+    second = round_of(visits(
+        lean.join(floors, query_id), rings, query_id,
+        lambda pdf, unit: (rings.bounds(unit)[1] + MARGIN >= pdf["floor"].to_numpy()[:, None]) & ~rings.nearest(unit, k),
+    ))
     return rank_top(ranked.drop("rank").unionByName(second), k, query_id, point_id).select(query_id, point_id, "score", "rank")
 
 
+def visits(queries: DataFrame, rings: groups.Rings, query_id: str, wanted) -> DataFrame:
+    """``(query_id, embedding, grp)`` for the groups that ``wanted(batch, unit vectors)`` marks for each query."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, col = np.nonzero(wanted(pdf, tiles.unit_rows(tiles.matrix(pdf["embedding"]))))
+            yield pdf.iloc[row][[query_id, "embedding"]].assign(grp=rings.grp[col])
+
+    return queries.mapInPandas(send, f"{query_id} {dict(queries.dtypes)[query_id]}, embedding array<float>, grp int")
+
+
+def rows_above(
+    queries: DataFrame, points: DataFrame, least: float, query_id: str, point_id: str, owner: str,
+    block: int = tiles.RIGHT_BLOCK, group_rows: int = groups.GROUP_ROWS,
+) -> DataFrame:
+    """``(query_id, owner)``, each once, for queries and owners of a point whose cosine with it is ``least`` or more.
+
+    A query meets only the groups whose bound reaches ``least``; a tile hands on an owner once for a query.
+    """
+    types = {**dict(points.dtypes), **dict(queries.dtypes)}
+    out = f"{query_id} {types[query_id]}, {owner} {types[owner]}"
+    held = groups.group_points(points.where(F.col("embedding").isNotNull()), [point_id, owner], group_rows)
+    if held is None:
+        return points.sparkSession.createDataFrame([], out)
+    placed, rings = held
+
+    def above(a: pa.Table, b: pa.Table) -> dict | None:
+        rows, cols, cos = tiles.cosines(a, b)
+        row, col = np.nonzero(cos >= least - tiles.ROUNDING)
+        if not len(row):
+            return None
+        coded = tiles.pick(b.column(owner), cols).dictionary_encode()
+        met = np.unique(np.stack([row, coded.indices.to_numpy()[col]]), axis=1)
+        return {query_id: tiles.pick(a.column(query_id), rows[met[0]]), owner: coded.dictionary.take(pa.array(met[1]))}
+
+    asked = queries.where(F.col("embedding").isNotNull()).select(query_id, "embedding")
+    sent = visits(asked, rings, query_id, lambda pdf, unit: rings.bounds(unit)[1] + MARGIN >= least)
+    return tiles.tile_join(sent, placed, ["grp"], [query_id], [point_id], above, out, left_block=block, right_block=block).distinct()
+
+
 def search_notices(
     queries: DataFrame,
     points: DataFrame,

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from noticelake.operators import vectors
+from noticelake.operators import groups, tiles, vectors
 
 
 def table(spark, ids, m, name):
@@ -50,7 +50,48 @@ def test_both_routes_are_exact(spark, data, k):
     points = table(spark, [f"p{i:04d}" for i in range(len(p))], p, "point_id").repartition(5)
     want = brute(q, p, k)
     check(found(vectors.vector_topk(queries, points, k)), want)
-    check(found(vectors.knn_join(queries, points, k, pivots=9, block=37)), want)
+    check(found(vectors.knn_join(queries, points, k, group_rows=60, block=37)), want)
+
+
+def spread_points(kind, n=4000, dim=24):
+    rng = np.random.default_rng(9)
+    if kind == "uniform":
+        return rng.normal(size=(n, dim))
+    centres = rng.normal(size=(40, dim))
+    return centres[rng.integers(0, 40, n)] + rng.normal(size=(n, dim)) * 0.05
+
+
+@pytest.mark.parametrize("kind, share", [("clustered", 0.15), ("uniform", 1.0)])
+def test_bounds_hold_and_rule_out_groups(spark, kind, share):
+    """No row passes its group's bound; on clustered vectors most groups are ruled out at the k-th score, on
+    uniform ones hardly any can be, and the answer is the same."""
+    p = spread_points(kind)
+    q = spread_points(kind)[::80] + 0.001
+    points = table(spark, [f"p{i:04d}" for i in range(len(p))], p, "point_id")
+    placed, rings = groups.group_points(points, ["point_id"], group_rows=100)
+    assert len(rings.grp) > 20 and rings.size.sum() == len(p)
+    rows = placed.toPandas()
+    unit_q = tiles.unit_rows(q.astype(np.float32).astype(float))
+    cos = unit_q @ tiles.unit_rows(tiles.matrix(rows["embedding"])).T
+    bound = rings.bounds(unit_q)[1]
+    at = {g: k for k, g in enumerate(rings.grp)}
+    assert (cos <= bound[:, [at[g] for g in rows["grp"]]] + 1e-7).all()
+    kth = np.sort(cos, axis=1)[:, -10]
+    visited = (bound >= kth[:, None]).mean()
+    print(f"share of groups visited on {kind} vectors: {visited:.3f}")
+    assert visited <= share
+    queries = table(spark, [f"q{i:03d}" for i in range(len(q))], q, "query_id")
+    check(found(vectors.knn_join(queries, points, 10, group_rows=100)), brute(q, p, 10))
+
+
+@pytest.mark.parametrize("least", [-0.2, 0.5, 0.95])
+def test_rows_above_a_cosine(spark, data, least):
+    q, p = data
+    queries = table(spark, [f"q{i:03d}" for i in range(len(q))], q, "query_id")
+    points = spark.createDataFrame([(f"p{i}", f"o{i % 7}", [float(x) for x in v]) for i, v in enumerate(p)] + [("none", "o1", None)], "point_id string, owner string, embedding array<float>")
+    got = [tuple(r) for r in vectors.rows_above(queries, points, least, "query_id", "point_id", "owner", block=50, group_rows=80).collect()]
+    cos = tiles.unit_rows(q.astype(np.float32).astype(float)) @ tiles.unit_rows(p.astype(np.float32).astype(float)).T
+    assert len(got) == len(set(got)) and set(got) == {(f"q{i:03d}", f"o{j % 7}") for i, j in zip(*np.nonzero(cos >= least))}
 
 
 def test_beyond_the_broadcast_bound_the_join_is_used(spark, data):
