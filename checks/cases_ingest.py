@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import case
@@ -9,7 +11,9 @@ from checks.views import AS_OF_SQL, Views, as_of, with_views
 from noticelake.functions import display, text as tx
 from noticelake.operators import ingest
 from noticelake.plans import pipelines
+from noticelake.session import stage_dir
 from noticelake.sources import files, notices as src, pages as pg
+from noticelake.sources.store import BucketTable
 
 # ---- SQL helpers -----------------------------------------------------------------------------------
 
@@ -299,22 +303,29 @@ def notice_payload(v: Views):
     SELECT notice_id, CASE WHEN status = 'open' THEN value * 2 ELSE value END AS value,
            CASE WHEN status = 'open' THEN notice_type ELSE status END AS tag FROM notices"""))
 def upsert_points(v: Views):
-    """Open notices arrive again twice, the later copy with another value."""
-    state = v.notices.select("notice_id", "value", F.col("status").alias("tag"))
+    """Open notices arrive again twice, the later copy with another value, in a table changed in place and read back."""
+    stored = v.notices.select("notice_id", "value", F.col("status").alias("tag"), F.lit(0).alias("batch_seq"))
     again = v.notices.where("status = 'open'").select("notice_id", "value", F.col("notice_type").alias("tag"))
     batch = again.withColumn("batch_seq", F.lit(1)).unionByName(
         again.withColumns({"value": F.col("value") * 2, "batch_seq": F.lit(2)})
     )
-    return ingest.upsert(state, batch, "notice_id", "batch_seq")
+    table = BucketTable(v.spark, f"{stage_dir(v.spark)}/notices-{uuid.uuid4().hex}", stored.schema, ["notice_id"], "batch_seq", buckets=16)
+    table.upsert(stored)
+    table.upsert(batch)
+    return table.read().drop("batch_seq")
 
 
 @case("delete_points", with_views("points", """
     SELECT point_id, document_type FROM points p WHERE NOT EXISTS (
         SELECT 1 FROM points d WHERE d.m_title = 'en' AND d.document_type = 'legal_document' AND d.document_id = p.document_id AND d.firm_id = p.firm_id)"""))
 def delete_points(v: Views):
-    p = v.points.select("point_id", "document_type", "document_id", "firm_id", F.col("metadata.title").alias("lang"))
-    gone = p.where("document_type = 'legal_document' AND lang = 'en'").select("document_id", "firm_id")
-    return ingest.delete_keys(p, gone, ["document_id", "firm_id"]).select("point_id", "document_type")
+    """Documents are deleted by document and firm from a table changed in place, and the table is read back."""
+    p = v.points.select("point_id", "document_type", "document_id", "firm_id", F.col("metadata.title").alias("lang"), F.lit(0).alias("batch_seq"))
+    table = BucketTable(v.spark, f"{stage_dir(v.spark)}/points-{uuid.uuid4().hex}", p.schema, ["point_id"], "batch_seq", buckets=16)
+    table.upsert(p)
+    gone = table.read().where("document_type = 'legal_document' AND lang = 'en'").select("document_id", "firm_id").distinct()
+    table.delete(table.read().join(gone, ["document_id", "firm_id"], "left_semi"))
+    return table.read().select("point_id", "document_type")
 
 
 @case("merge_sources", with_views("raw_notices", f"""WITH {PARSED}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,47 @@ def embed_hash(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     )
 
 
+def embed_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[pd.Series], Iterable]]) -> DataFrame:
+    """The user's model as provider: ``(key, embedding, error)``, one row for each row.
+
+    ``load`` runs once in each task and returns a function from a batch of texts to their vectors in
+    order, so a model is set up once for many batches. A batch that fails is tried text by text; a
+    text that fails then, or whose vector is missing or not finite, gets a null ``embedding`` and its
+    ``error``. Null texts are not sent to the model.
+    """
+    def one(model, value) -> tuple:
+        try:
+            vector = np.asarray(list(model(pd.Series([value])))[0], dtype=np.float64)
+        except Exception as e:  # a model may fail in any way; its row is kept with the reason
+            return None, f"{type(e).__name__}: {e}"
+        return (vector, None) if vector.ndim == 1 and np.isfinite(vector).all() else (None, "not a finite vector")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            given = pdf[pdf["_text"].notna()]
+            try:
+                made = [np.asarray(v, dtype=np.float64) for v in model(given["_text"])]
+                good = len(made) == len(given) and all(v.ndim == 1 and np.isfinite(v).all() for v in made)
+            except Exception:  # which text it was shows text by text
+                good = False
+            found = [(v, None) for v in made] if good else [one(model, t) for t in given["_text"]]
+            by_row = dict(zip(given.index, found))
+            rows = [by_row.get(i, (None, "no text")) for i in pdf.index]
+            yield pd.DataFrame({key: pdf[key], "embedding": [v for v, _ in rows], "error": [e for _, e in rows]})
+
+    lean = rows.select(F.col(key), F.col(text).alias("_text"))
+    return lean.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<float>, error string")
+
+
+def embed_outcome(made: DataFrame) -> DataFrame:
+    """Of a provider's rows: how many were asked for, how many have a vector, how many have none."""
+    return made.agg(
+        F.count(F.lit(1)).alias("total"), F.count("embedding").alias("success_count"),
+        (F.count(F.lit(1)) - F.count("embedding")).alias("failed_count"),
+    )
+
+
 def embed_missing(
     rows: DataFrame, store: DataFrame, key: str, text: str, provider, vector_key: str = "vector_id"
 ) -> tuple[DataFrame, DataFrame]:

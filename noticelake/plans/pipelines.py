@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import display, text as tx
-from noticelake.operators import chunking, ingest, vectors
+from noticelake.operators import chunking, ingest, scoring, vectors
+from noticelake.session import staged
+from noticelake.sources.store import BucketTable
 
 # Fixed value: where a notice can be read.
 NOTICE_BASE_URL = "https://www.contractsfinder.service.gov.uk/notice/"
@@ -18,6 +20,21 @@ def csv_sync(raw: DataFrame, state: DataFrame, as_of: Column, order: str, naive:
     return ingest.upsert(state, opened.drop("status", "closing_naive"), "notice_id", order)
 
 
+def observed_sync(raw: DataFrame, table: BucketTable, as_of: Column, naive: str = "drop") -> dict:
+    """One run of a sync into ``table``, with its ``fetched``, ``kept`` and ``stored`` rows and ``status``.
+
+    The numbers are observed while the rows pass on their way to the table, so no row is read again to
+    be counted. ``raw`` has the table's ``order`` as a column; of several rows with one id the highest is stored.
+    """
+    seen, taken, stored = Observation("seen"), Observation("taken"), Observation("stored")
+    count = F.count(F.lit(1)).alias("n")
+    parsed = ingest.parse_csv_notices(raw, (table.order,)).observe(seen, count)
+    opened = ingest.filter_open_csv(parsed, as_of, naive).drop("status", "closing_naive").observe(taken, count)
+    table.upsert(ingest.latest_by(opened, table.keys, table.order).observe(stored, count))
+    run = {"fetched": seen.get["n"], "kept": taken.get["n"], "stored": stored.get["n"]}
+    return run | {"status": "success" if run["stored"] else "no_data"}
+
+
 def ocds_sync(releases: DataFrame, state: DataFrame, as_of: Column, order: str = "published_date", naive: str = "drop") -> DataFrame:
     """Releases into the stored notices."""
     active = ingest.filter_active_ocds(ingest.flatten_ocds(releases), as_of, naive).drop("tender_status", "closing_naive")
@@ -40,6 +57,17 @@ def index_documents(docs: DataFrame, provider, user: str = "user_id", text: str
     return keyed.join(made.select("chunk_id", "embedding"), "chunk_id", "left")
 
 
+def recommend_from_texts(capability_rows: DataFrame, points: DataFrame, provider, limit: int, tables: dict[str, DataFrame]) -> DataFrame:
+    """Notices for every firm that has capabilities, from texts alone: the firm's first capability texts
+    make a query, the provider turns it into a vector, and search, scores and rank follow.
+
+    ``points`` must carry vectors of the same provider.
+    """
+    queries = scoring.capability_queries(capability_rows)
+    made = provider(queries, "firm_id", "query_text").where("embedding IS NOT NULL").select("firm_id", "embedding")
+    return scoring.recommend_notices(made, points, limit, tables)
+
+
 def match_documents(chunks: DataFrame, points: DataFrame, notices: DataFrame, as_of: Column, limit: int, user: str = "user_id") -> DataFrame:
     """Notices nearest to the mean of each user's document vectors, new ones first.
 
@@ -47,12 +75,14 @@ def match_documents(chunks: DataFrame, points: DataFrame, notices: DataFrame, as
     """
     queries = vectors.centroids(chunks, user).withColumnRenamed(user, "query_id")
     pool = vectors.payload_filter(points, document_type="contract_opportunity")
-    hits = vectors.vector_topk(queries, pool, 2 * limit)
+    hits = staged(vectors.vector_topk(queries, pool, 2 * limit), "document-hits")
     full = notices
     for name, empty in (("cpv_codes", F.array().cast("array<string>")), ("additional_text", F.lit(None).cast("string"))):
         full = full if name in notices.columns else full.withColumn(name, empty)
-    about = full.select(
-        tx.md5_uuid("notice_id").alias("point_id"), "notice_id", "title", "buyer_name", "value", "closing_date",
+    # Display texts are made for the hits only.
+    wanted = full.withColumn("point_id", tx.md5_uuid("notice_id")).join(hits.select("point_id").distinct(), "point_id", "left_semi")
+    about = wanted.select(
+        "point_id", "notice_id", "title", "buyer_name", "value", "closing_date",
         "published_date", "region", "cpv_codes", display.display_text().alias("content"),
     )
     shown = hits.join(about, "point_id").withColumns(
