@@ -92,9 +92,12 @@ def releases(packages: DataFrame) -> DataFrame:
 def scan_ocds_json(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """All release files below ``path`` as one table of releases (pages concatenate by being read).
 
-    A file holds one package or array, or with ``one_per_line`` one per line (such files can be split).
+    A file holds one package or array, which many tasks read (see :func:`splitting.json_records`), or with
+    ``one_per_line`` one per line, which Spark's reader splits itself.
     """
-    return releases(spark.read.schema(PACKAGE).option("multiLine", not one_per_line).json(path))
+    if one_per_line:
+        return releases(spark.read.schema(PACKAGE).json(path))
+    return parse_packages(splitting.json_records(spark, path), "record")
 
 
 def parse_packages(df: DataFrame, text: str = "body") -> DataFrame:

@@ -58,3 +58,27 @@ def test_csv_of_other_headers_and_no_rows(spark, tmp_path):
         src.scan_notices_csv(spark, str(tmp_path), ["Notice Identifier", "Title"]).collect()
     (tmp_path / "a.csv").write_text("", encoding="utf-8")
     assert src.scan_notices_csv(spark, str(tmp_path)).collect() == []
+
+
+def nasty_release(rng, k):
+    texts = ['plain', 'a "quoted" {brace} [x]', '\\', '"', '}{', ']}', 'line\nbreak', '"releases": [{"id":"fake"}]', "漢字", "y" * rng.choice([1, 400, 5000])]
+    text = lambda: "".join(rng.choice(texts) for _ in range(rng.randint(0, 4)))
+    return {"id": f"R{k}", "date": "2024-05-01T00:00:00Z", "buyer": {"name": text()}, "tender": {
+        "title": text(), "status": "active", "items": [{"classification": {"scheme": "CPV", "id": text()}} for _ in range(rng.randint(0, 3))],
+        "deliveryAddresses": [{"region": text()}]}, "extra": {"releases": [{"id": "inner"}], "deep": [[{"a": [1, {"b": "}"}]}]]}}
+
+
+@pytest.mark.parametrize("seed, indent", [(1, None), (2, 1), (3, None)])
+def test_split_json_equals_the_whole_read(spark, tmp_path, small_splits, seed, indent):
+    rng = random.Random(seed)
+    some = lambda n: [nasty_release(rng, rng.randint(0, 10**9)) for _ in range(n)]
+    values = {
+        "package": {"uri": 'x "releases": [', "tags": [{"id": "no"}, {"releases": [{"id": "no"}]}], "releases": some(60), "after": [{"id": "no"}], "links": {"next": "n"}},
+        "array": some(40), "bare": some(1)[0], "empty": {"releases": []}, "none": [], "one": {"releases": some(1)}, "packages": [{"releases": some(5)}, {"releases": some(4)}],
+    }
+    for name, value in values.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value, ensure_ascii=seed == 1, indent=indent), encoding="utf-8")
+    whole = src.releases(spark.read.schema(src.PACKAGE).option("multiLine", True).json(str(tmp_path)))
+    got = src.scan_ocds_json(spark, str(tmp_path))
+    assert rows_of(got) == rows_of(whole) and got.count() == 60 + 40 + 1 + 1 + 9
+    assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 10
