@@ -7,6 +7,7 @@ with a count. The pieces then find their places by rank within their length.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import zlib
 from collections import Counter
@@ -22,8 +23,6 @@ from noticelake.llm.tokenizing import words_for
 
 #: Pieces of one length that are ranked together; longer lists are ranked in salted parts.
 RANKED = 2_000
-#: Exchanges tried before the search ends; a bound on effort, not on what is packed.
-MOVES = 5_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -72,58 +71,124 @@ def best_fit(lengths: dict[int, int], capacity: int) -> Counter[Pattern]:
     return out
 
 
-def _better(full: Pattern, poor: Pattern, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What ``full`` should give and take: the exchange with ``poor`` that raises its fill most, if any.
+class Underfull:
+    """Patterns with room, and for each what it can hand over at once: nothing, one piece, or two.
 
-    Moves one piece, or exchanges one for one, two for one or one for two.
+    The hand-overs of all patterns lie in flat arrays, so one pattern is held against all others at a time.
     """
-    room, best, found = capacity - _fill(full), 0, None
-    mine, theirs = [x for x, _ in full], [x for x, _ in poor]
-    two = lambda p: [(a, b) for (a, k), (b, _) in itertools.combinations_with_replacement(p, 2) if a != b or k > 1]
-    gives = [(), *((x,) for x in mine), *two(full)]
-    takes = [*((x,) for x in theirs), *two(poor)]
-    for give in gives:
-        out = sum(give)
-        for take in takes:
-            gain = sum(take) - out
-            if best < gain <= room and len(give) + len(take) <= 3:
-                best, found = gain, (give, take)
-    return found
-
-
-def local_search(bins: Counter[Pattern], capacity: int, moves: int = MOVES) -> Counter[Pattern]:
+
+    def __init__(self, capacity: int):
+        self.capacity, self.number = capacity, {}
+        self.patterns: list[Pattern] = []
+        self.fill, self.alive = np.zeros(16, np.int64), np.zeros(16, bool)
+        self.used, self.entries = 0, np.zeros((4, 64), np.int64)  # sum, pieces, pattern, place among the pattern's own
+
+    def add(self, pattern: Pattern) -> None:
+        at = self.number.get(pattern)
+        if at is None:
+            at = self.number[pattern] = len(self.patterns)
+            self.patterns.append(pattern)
+            if at == len(self.fill):
+                self.fill, self.alive = np.resize(self.fill, 2 * at), np.resize(self.alive, 2 * at)
+            self.fill[at] = _fill(pattern)
+            own = hand_overs(pattern)
+            while self.used + len(own) > self.entries.shape[1]:
+                self.entries = np.concatenate([self.entries, np.zeros_like(self.entries)], axis=1)
+            here = slice(self.used, self.used + len(own))
+            self.entries[:, here] = [[sum(x) for x in own], [len(x) for x in own], [at] * len(own), range(len(own))]
+            self.used += len(own)
+        self.alive[at] = True
+
+    def drop(self, pattern: Pattern) -> None:
+        self.alive[self.number[pattern]] = False
+
+    def best(self, pattern: Pattern, twice: bool):
+        """The exchange of ``pattern`` with another that raises the sum of squared fills most: ``(giver, taker,
+        given, returned)``, or None. Of two pieces at most one comes back, and of one at most two.
+        ``twice`` if the pattern may meet another bin like itself.
+
+        With d the net sum moved, b the giver's fill and a the taker's, the sum rises by 2d(d + a - b).
+        """
+        me, mine = self.number[pattern], hand_overs(pattern)
+        sums, pieces, of, place = self.entries[:, : self.used]
+        may = self.alive[of] & (twice | (of != me))
+        fills, my_fill = self.fill[of], int(self.fill[me])
+        top, found = 0, None
+        for k, own in enumerate(mine):
+            total = sum(own)
+            fits = may & (pieces + len(own) <= 3)
+            for giving in (True, False):
+                if giving and not own:
+                    continue
+                d = total - sums if giving else sums - total
+                above = d + (fills - my_fill if giving else my_fill - fills)
+                room = self.capacity - (fills if giving else my_fill)
+                rise = np.where(fits & (d > 0) & (above > 0) & (d <= room), d * above, 0)
+                at = int(rise.argmax()) if len(rise) else 0
+                if len(rise) and rise[at] > top:
+                    other = self.patterns[of[at]]
+                    theirs = hand_overs(other)[place[at]]
+                    top, found = int(rise[at]), (pattern, other, own, theirs) if giving else (other, pattern, theirs, own)
+        return found
+
+
+def hand_overs(pattern: Pattern) -> list[tuple[int, ...]]:
+    """Nothing, each length, and each pair of lengths that a bin of this pattern holds."""
+    two = [(a, b) for (a, k), (b, _) in itertools.combinations_with_replacement(pattern, 2) if a != b or k > 1]
+    return [(), *((x,) for x, _ in pattern), *two]
+
+
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Exchanges pieces between underfull bins while that raises the sum of squared fills, so that the poorest empty.
 
-    Ends when no exchange is left, when the count of bins is the least possible, or after ``moves``.
+    Moves one document or two, or exchanges one for one, two for one or one for two; bins of equal
+    content exchange together. Ends when no exchange of any two bins raises the sum, or when the count of
+    bins is the least possible. The poorest bins are looked at first; one that no other can better is looked at
+    again only by bins that are new since. Time grows with the kinds of underfull bins that best fit
+    leaves: none to speak of where documents are short beside the capacity.
     """
     bins = Counter(bins)
-    total = sum(_fill(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
-    stuck: set[tuple[Pattern, Pattern]] = set()
-    while moves > 0 and sum(bins.values()) > least:
-        under = sorted((p for p in bins if _fill(p) < capacity), key=lambda p: (_fill(p), p))
-        for poor, full in ((a, b) for a in under[:32] for b in reversed(under) if (a, b) not in stuck):
-            if _fill(full) < _fill(poor) or (full == poor and bins[full] < 2):
-                continue
-            moves -= 1
-            step = _better(full, poor, capacity)
-            if step is None:
-                stuck.add((poor, full))
-                if moves <= 0:
-                    break
-                continue
-            n = bins[full] // 2 if full == poor else min(bins[full], bins[poor])
-            give, take = step
-            for p in (full, poor):
-                bins[p] -= n
-            bins[_changed(full, give, take)] += n
-            bins[_changed(poor, take, give)] += n
-            bins = +bins
-            bins.pop((), None)
-            break
-        else:
-            break
-    return bins
+    least, n_bins = -(-sum(_fill(p) * n for p, n in bins.items()) // capacity), sum(bins.values())
+    under = Underfull(capacity)
+    queue: list[tuple[int, Pattern]] = []
+    queued: set[Pattern] = set()
+
+    def push(pattern: Pattern) -> None:
+        under.add(pattern)
+        if pattern not in queued:
+            queued.add(pattern)
+            heapq.heappush(queue, (_fill(pattern), pattern))
+
+    for pattern in bins:
+        if _fill(pattern) < capacity:
+            push(pattern)
+    while queue and n_bins > least:
+        _, pattern = heapq.heappop(queue)
+        queued.discard(pattern)
+        if not bins[pattern]:
+            continue
+        step = under.best(pattern, bins[pattern] > 1)
+        if step is None:
+            continue
+        giver, taker, given, returned = step
+        n = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])
+        after = _changed(giver, given, returned), _changed(taker, returned, given)
+        for old in (giver, taker):
+            bins[old] -= n
+        for new in after:
+            if new:
+                bins[new] += n
+                if _fill(new) < capacity:
+                    push(new)
+            else:
+                n_bins -= n
+        for old in (giver, taker):
+            if not bins[old]:
+                del bins[old]
+                under.drop(old)
+        if bins[pattern]:
+            push(pattern)
+    return +bins
 
 
 def layout(bins: Counter[Pattern]) -> dict[str, list[int]]:

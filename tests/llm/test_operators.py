@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and repeated rows, ties and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -264,6 +265,42 @@ def test_local_search_empties_bins():
         assert sum((Counter({x: k * n for x, k in p}) for p, n in last.items()), Counter()) == lengths
 
 
+def improving(a, b, capacity):
+    """Whether any exchange of up to three pieces, two a side at most, raises the sum of squared fills of two bins."""
+    few = lambda bag: {c for n in range(3) for c in itertools.combinations(sorted(bag), n)}
+    for give in few(a):
+        for take in few(b):
+            if 0 < len(give) + len(take) <= 3:
+                x, y = sum(a) - sum(give) + sum(take), sum(b) + sum(give) - sum(take)
+                if max(x, y) <= capacity and x * x + y * y > sum(a) ** 2 + sum(b) ** 2:
+                    return True
+    return False
+
+
+def test_local_search_ends_only_where_no_exchange_is_left():
+    stopped = 0
+    for seed in range(30):
+        rng = random.Random(seed)
+        lengths = Counter(rng.choice([rng.randint(25, 60), rng.randint(30, 45)]) for _ in range(rng.randint(5, 80)))
+        last = packing.local_search(packing.best_fit(lengths, 100), 100)
+        assert sum((Counter({x: k * n for x, k in p}) for p, n in last.items()), Counter()) == lengths
+        bins = [[x for x, k in p for _ in range(k)] for p, n in last.items() for _ in range(n)]
+        if len(bins) > -(-sum(x * k for x, k in lengths.items()) // 100):
+            stopped += 1
+            assert not any(improving(a, b, 100) for a, b in itertools.combinations(bins, 2)), seed
+    assert stopped > 5
+
+
+def test_local_search_of_long_pieces():
+    """Pieces of a quarter to over a half of a bin, where best fit wastes most: at least a third of the waste goes."""
+    for seed in range(2):
+        lengths = Counter(np.random.default_rng(seed).integers(1000, 2301, 1500).tolist())
+        first = packing.best_fit(lengths, 4096)
+        least = -(-sum(x * k for x, k in lengths.items()) // 4096)
+        before, after = sum(first.values()), sum(packing.local_search(first, 4096).values())
+        assert after - least <= 2 / 3 * (before - least)
+
+
 # --- 8 near duplicates ---------------------------------------------------------------------------------------------
 
 
