@@ -115,6 +115,77 @@ def test_license_lines_against_brute_force(spark):
 
 # --- 4 pages -------------------------------------------------------------------------------------------------------
 
+STORY = "This is a long article with many words in it and nothing else. " * 12
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div title="a hidden word"><p>{}</p></div></body>', "<form><div><p>{}</p></div></form>", "<form><main><p>{}</p></main></form>",
+    '<div class="wrap has-sidebar"><p>{}</p></div>', '<article><section class="market-share"><p>{}</p></section></article>', '<div class="notice"><p>{}</p></div>',
+    '<div data-x="class=ad"><p>{}</p></div><div class="site-header">Home</div><div class="cookie-banner">We use cookies</div><div id="ad-slot-1">Buy</div>',
+    '<form><label>Name</label><input></form><div><p>{}</p></div><div class="comments">Nice. <p>I agree.</p></div>', "<nav>Menu</nav><div hidden>no</div>{}<script>x</script><aside>More</aside>",
+])
+def test_no_article_is_lost_to_a_name(page):
+    assert html_text.Page(page.format(STORY)).text(None)[0] == STORY.strip()
+
+
+def test_a_teaser_at_the_winning_path_does_not_replace_the_article(spark):
+    usual = '<div class="teaser"><p>{}</p></div>'
+    rows = [(k, f"http://h.example/{k}", usual.format(f"{STORY} {k}")) for k in range(5)]
+    rows.append((9, "http://h.example/9", usual.format("Read this too") + f'<div class="story"><p>{STORY}</p></div>'))
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == STORY.strip() and got[1] == f"{STORY.strip()} 1"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for page in ("<div>x" * 50_000 + "</div>" * 50_000, "<div>x</p>" * 50_000, "<div class=a>" * 50_000 + STORY):
+        kept = html_text.Page(page)
+        assert kept.text(kept.best()[0])[0]
+    assert time.process_time() - start < 12
+
+
+def slow_best(page):
+    """The container score restated block by block over path strings."""
+    scores = {}
+    for node, text, linked in page.blocks:
+        weight, p = max(0.0, len(text) - 2.0 * linked), page.path(node)
+        while p:
+            bonus = 1.25 if p.rpartition("/")[2].split(".")[0] in ("article", "main") else 1.0
+            scores[p] = scores.get(p, 0.0) + weight * bonus
+            p, weight = p.rpartition("/")[0], weight * 0.9
+    return scores
+
+
+def test_votes_and_texts_against_a_restatement(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("river stone cloud forest table window".split()) + str(rng.randint(0, 99))
+    said = lambda n: " ".join(word() for _ in range(n))
+    part = lambda: rng.choice(['<div class="{}">{}</div>', "<section class='{}'>{}</section>", "<article class={}><p>{}</p></article>", "<table class={}><tr><td>{}</td></tr></table>"]).format(rng.choice("abc"), said(rng.randint(1, 60)))
+    rows = [(k, f"http://www.H{k % 4}.example/{k}", f"<body>{''.join(part() for _ in range(rng.randint(0, 4)))}</body>", "clash", "clash") for k in range(60)]
+    rows += [(60, None, "<p>x</p>", "", ""), (61, "http://h1.example/", None, "", ""), (61, "http://h1.example/", None, "", "")]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, path string, host string")).collect()
+    pages = {r[0]: html_text.Page(r[2] or "") for r in rows}
+    votes = {}
+    for k, url, *_ in rows:
+        path, score = pages[k].best()
+        slow = slow_best(pages[k])
+        assert (not slow and path == "") or slow[path] == pytest.approx(max(slow.values())) == pytest.approx(score)
+        if path:
+            host = (url or "").lower().removeprefix("http://").removeprefix("www.").split("/")[0]
+            n, total = votes.setdefault(host, {}).get(path, (0, 0.0))
+            votes[host][path] = n + 1, total + score
+    for r in got:
+        host = (r.url or "").lower().removeprefix("http://").removeprefix("www.").split("/")[0]
+        path = min(votes.get(host, {"": (0, 0)}).items(), key=lambda v: (-v[1][0], -round(v[1][1], 3), v[0]))[0]
+        page = pages[r.page_id]
+        below = lambda p: " ".join(t for node, t, _ in page.blocks if page.path(node) == p or page.path(node).startswith(p + "/"))
+        own, there = below(page.best()[0]) if page.best()[0] else " ".join(t for _, t, _ in page.blocks), below(path) if path else ""
+        assert r.text == (there if there and len(own) <= 2 * len(there) else own) and r.n_chars == len(r.text)
+    assert len(got) == len(rows)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="post-{n}"><h1>Head &amp; line {n}</h1><p>First <b>bold</b>ly&nbsp;said.<br>Second line that is long enough to count.<p>Third &lt;b&gt; paragraph, unclosed
