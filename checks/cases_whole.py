@@ -13,7 +13,7 @@ from checks.cases_scoring import SCORES, SCORES_SQL, query, scored_sql
 from checks.cases_vectors import topk_sql
 from checks.registry import case
 from checks.views import AS_OF_SQL, Views, as_of, with_views
-from noticelake.operators import quality, vectors
+from noticelake.operators import ingest, quality, vectors
 from noticelake.plans import pipelines
 from noticelake.session import stage_dir, staged
 from noticelake.sources import notices as src, pages as pg, tables
@@ -118,6 +118,14 @@ def recommend_from_texts(v: Views):
     return best.select("firm_id", "notice_id", *[F.round(c, 5).alias(c) for c in ("score", *SCORES)], "place")
 
 
+@case("batch_reasons", """
+    SELECT source AS batch_id, CASE WHEN n_chars < 100 THEN 'very short' ELSE 'short in ' || lang END AS reason, count(*) AS failed_count
+    FROM documents WHERE n_chars < 500 GROUP BY 1, 2""")
+def batch_reasons(v: Views):
+    why = F.when(F.col("n_chars") < 100, "very short").when(F.col("n_chars") < 500, F.concat(F.lit("short in "), "lang"))
+    return ingest.batch_reasons(v.table("documents").select(F.col("source").alias("batch_id"), why.alias("reason")))
+
+
 # ---- syncs ----------------------------------------------------------------------------------------
 
 
@@ -125,8 +133,6 @@ def recommend_from_texts(v: Views):
     SELECT count(*) AS fetched, count(*) FILTER (reason IS NULL) AS kept, count(DISTINCT CASE WHEN reason IS NULL THEN notice_id END) AS stored, 'success' AS status FROM judged"""))
 def sync_run(v: Views):
     """A sync into a table changed in place, with the numbers observed in it; what was stored is counted again."""
-    from noticelake.operators import ingest
-
     raw = v.raw_notices.withColumn("seq", F.col("k"))
     shape = ingest.parse_csv_notices(raw, ("seq",)).drop("status", "closing_naive").schema
     table = BucketTable(v.spark, folder(v, "sync"), shape, ["notice_id"], "seq", buckets=16)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import display, text as tx
@@ -219,15 +219,29 @@ def sync_stats(parsed: DataFrame, as_of: Column, naive: str = "drop", by: list[s
     ).withColumn("status", F.when(F.col("stored") > 0, "success").otherwise("no_data"))
 
 
+#: Reasons of one batch that its outcome lists; :func:`batch_reasons` has them all.
+LISTED_REASONS = 20
+
+
+def batch_reasons(results: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """``(batch, reason, failed_count)``: each reason of a batch's failures as a row."""
+    return results.where(F.col("reason").isNotNull()).groupBy(batch, "reason").agg(F.count(F.lit(1)).alias("failed_count"))
+
+
 def batch_outcome(results: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Totals per batch of uploads; the failure list stays one row per failure in ``results``."""
+    """Totals per batch of uploads, with its most frequent ``reasons``, ``LISTED_REASONS`` at most, in order of name.
+
+    Reasons are free text: they are counted before they are listed, so no row grows with the failures.
+    """
     failed = F.col("reason").isNotNull()
-    return results.groupBy(batch).agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.count_if(~failed).alias("success_count"),
-        F.count_if(failed).alias("failed_count"),
-        F.array_sort(F.collect_set("reason")).alias("reasons"),
+    totals = results.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("total_files"), F.count_if(~failed).alias("success_count"), F.count_if(failed).alias("failed_count")
     )
+    often = Window.partitionBy(batch).orderBy(F.desc("failed_count"), "reason")
+    first = batch_reasons(results, batch).withColumn("n", F.row_number().over(often)).where(F.col("n") <= LISTED_REASONS)
+    listed = first.groupBy(F.col(batch).alias("_batch")).agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    none = F.array().cast("array<string>")
+    return totals.join(listed, F.col(batch).eqNullSafe(F.col("_batch")), "left").drop("_batch").withColumn("reasons", F.coalesce("reasons", none))
 
 
 def backfill_windows(days_back: int, as_of: Column, size: int = 30) -> list[tuple[int, int]]:
