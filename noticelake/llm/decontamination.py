@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from noticelake.llm.common import pieces, texts
+from noticelake.llm.common import cut, pieces, texts
 
 #: Every ASCII byte that is no letter or digit parts words; A-Z are lower-cased; other bytes belong to words.
 TO_WORDS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
-#: Item words in one automaton. More items make more automata, each scanned in a pass of its own.
-SHARD_WORDS = 2_000_000
+#: Item words in one automaton, half a kilobyte each in a worker. More items make more automata, each scanned in a pass of its own.
+SHARD_WORDS = 500_000
+#: Bytes of a built automaton in one row.
+ROW_BYTES = 64 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -32,10 +35,12 @@ class _Ids(dict):
 
 @dataclass
 class Automaton:
-    """All runs of words of the test items, with the windows that count as a hit.
+    """All runs of words of the test items, with the windows that end in each state.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
-    one window. ``owners`` has the item ids of each window.
+    one window. The runs of one state are suffixes of each other, so a state and a length name a
+    window. ``ends`` has the lengths of a state's windows and, for each, the number of its group of
+    items in ``groups``; ``up`` is the nearest state with windows on the way to shorter suffixes.
     """
 
     window: int
@@ -43,18 +48,17 @@ class Automaton:
     edges: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    owners: dict[tuple[int, ...], list[str]] = field(default_factory=dict)
-    sizes: list[int] = field(default_factory=list)
+    given: list[tuple[str, list[int]]] = field(default_factory=list)
+    ends: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    up: list[int] = field(default_factory=list)
+    groups: list[list[str]] = field(default_factory=list)
+    shortest: int = 0
     pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     def add(self, item_id: str, text: bytes) -> int:
         got = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
         if got:
-            size = min(self.window, len(got))
-            for at in range(len(got) - size + 1):
-                owned = self.owners.setdefault(tuple(got[at : at + size]), [])
-                if item_id not in owned[-1:]:
-                    owned.append(item_id)
+            self.given.append((item_id, got))
             last = 0
             for w in got:
                 last = self._extend(last, w)
@@ -90,21 +94,42 @@ class Automaton:
         return new
 
     def close(self) -> Automaton:
-        """Call after the last ``add``."""
-        self.sizes = sorted({len(w) for w in self.owners})
-        many = max(len(self.ids), 1)
-        firsts = {a * many + b for w in self.owners for a, b in zip(w, w[1:], strict=False)}
+        """Call after the last ``add``: marks each state with the windows that end in it."""
+        owners: dict[tuple[int, int], list[str]] = {}
+        many, firsts = max(len(self.ids), 1), set()
+        for item, got in self.given:
+            size, state = min(self.window, len(got)), 0
+            for k, w in enumerate(got):
+                state = self.edges[state][w]
+                while self.length[self.link[state]] >= size:  # the state of the last ``size`` words
+                    state = self.link[state]
+                if k + 1 >= size:
+                    owned = owners.setdefault((state, size), [])
+                    if item not in owned[-1:]:
+                        owned.append(item)
+            firsts.update(a * many + b for a, b in zip(got, got[1:], strict=False))
+        numbers: dict[tuple[str, ...], int] = {}
+        for (state, size), owned in owners.items():
+            self.ends.setdefault(state, []).append((size, numbers.setdefault(tuple(owned), len(numbers))))
+        self.groups = [list(g) for g in numbers]
+        self.shortest = min((size for _, size in owners), default=0)
         self.pairs = np.array(sorted(firsts), np.int64)
+        self.up = [-1] * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            above = self.link[state]
+            self.up[state] = above if above in self.ends else self.up[above]
+        self.given = []
         return self
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, list[str]]]:
-        """``(first word, words, item ids)`` of every occurrence of a window in ``words``.
+        """``(first word, words, item ids)`` of the stretches of ``words`` that occurrences of windows cover.
 
-        Word pairs that no window has cut the stream first, as no match runs across them. Only
-        stretches as long as the shortest window are walked through the automaton, which keeps
-        the longest matching length at each word.
+        Windows that overlap or touch make one stretch, which names each item once. Word pairs that
+        no item has cut the stream first, as no match runs across them. Only parts as long as the
+        shortest window are walked through the automaton, which tracks the longest matching length
+        at each word.
         """
-        if not self.owners or len(words) < self.sizes[0]:
+        if not self.ends or len(words) < self.shortest:
             return []
         got = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         known = got >= 0
@@ -120,42 +145,63 @@ class Automaton:
             joined[at] = False
         starts = np.flatnonzero(known & ~np.r_[False, joined])
         ends = np.flatnonzero(known & ~np.r_[joined, False]) + 1
-        out = []
+        out: list[tuple[int, int, set[int]]] = []
         for a, b in zip(starts, ends, strict=True):
-            if b - a >= self.sizes[0]:
-                out += self._walk(got[a:b].tolist(), int(a))
-        return out
+            if b - a >= self.shortest:
+                for first, end, group in sorted(self._walk(got[a:b].tolist(), int(a))):
+                    if out and first <= out[-1][1]:
+                        out[-1][2].add(group)
+                        out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
+                    else:
+                        out.append((first, end, {group}))
+        return [(first, end - first, sorted({i for g in met for i in self.groups[g]})) for first, end, met in out]
 
-    def _walk(self, got: list[int], first: int) -> list[tuple[int, int, list[str]]]:
+    def _walk(self, got: list[int], first: int) -> list[tuple[int, int, int]]:
+        """``(first word, end, group)`` of each window: those that end in a state reached, no longer than what matches there, and in the states of its suffixes."""
         out, state, matched = [], 0, 0
-        for k, w in enumerate(got):
+        for k, w in enumerate(got, first + 1):
             while state and w not in self.edges[state]:
                 state = self.link[state]
                 matched = self.length[state]
-            if w in self.edges[state]:
-                state, matched = self.edges[state][w], matched + 1
-            else:
-                state, matched = 0, 0
-            for size in self.sizes:
-                if size > matched:
-                    break
-                if owned := self.owners.get(tuple(got[k - size + 1 : k + 1])):
-                    out.append((first + k - size + 1, size, owned))
+            if w not in self.edges[state]:
+                continue
+            state, matched = self.edges[state][w], matched + 1
+            at = state
+            while at >= 0:
+                for size, group in self.ends.get(at, ()):
+                    if size <= matched:
+                        out.append((k - size, k, group))
+                at = self.up[at]
         return out
 
 
 def automata(items: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
-    """Automata over ``items(item_id, text)``, each of at most about ``shard_words`` words.
+    """Automata over ``items(item_id, text)``, each of about ``shard_words`` words, at least one.
 
-    The driver holds one at a time. Null or empty texts have no window.
+    Items are dealt by hash, and each automaton is built in a task and written to the shared
+    folder, so the driver only hands on one of them at a time. Repeated rows count once, null and
+    empty texts have no window, and a null id is the empty one.
     """
-    now, held = Automaton(window), 0
-    for row in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).orderBy("i", "t").toLocalIterator():
-        if held >= shard_words:
-            yield now.close()
-            now, held = Automaton(window), 0
-        held += now.add(row.i or "", (row.t or "").encode())
-    yield now.close()
+    given = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    counted = F.size(F.filter(F.split("text", r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != ""))
+    total = given.agg(F.sum(counted)).first()[0] or 0
+    n = max(1, -(-total // shard_words))
+
+    def build(group: pa.Table) -> pa.Table:
+        made = Automaton(window)
+        for item, text in sorted(zip(group.column(1).to_pylist(), texts(group.column(2)), strict=True)):
+            made.add(item, text)
+        said = pickle.dumps(made.close(), pickle.HIGHEST_PROTOCOL)
+        rows = [said[at : at + ROW_BYTES] for at in range(0, len(said), ROW_BYTES)]
+        return pa.table({"shard": pa.array([group.column(0)[0].as_py()] * len(rows), pa.int64()), "row": pa.array(range(len(rows)), pa.int64()), "said": pa.array(rows, pa.binary())})
+
+    dealt = given.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).alias("shard"), "item", "text")
+    built = cut(dealt.groupBy("shard").applyInArrow(build, "shard long, row long, said binary"))
+    shards = sorted(r.shard for r in built.select("shard").distinct().collect())
+    for shard in shards:
+        yield pickle.loads(b"".join(r.said for r in built.where(F.col("shard") == shard).orderBy("row").toLocalIterator()))
+    if not shards:
+        yield Automaton(window).close()
 
 
 SPANS = "array<struct<first:long,words:long,items:array<string>>>"
@@ -181,9 +227,9 @@ def _scan(docs: DataFrame, shared: Broadcast, column: str) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, items: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with ``n_words`` and ``spans``: where windows of ``items`` occur in each whole text.
+    """``docs`` with ``n_words`` and ``spans``: the stretches of each whole text that windows of ``items`` cover.
 
-    A null or empty text has no words and no spans. Repeated rows are kept. ``docs`` must not have
+    Stretches of one automaton do not overlap, and each names its items once. A null or empty text has no words and no spans. Repeated rows are kept. ``docs`` must not have
     columns named ``n_words`` or ``spans``.
     """
     done = None

@@ -488,6 +488,41 @@ def test_contamination_against_brute_force(spark):
     assert decontamination.contamination(docs(spark, []), bench).collect() == []
 
 
+def test_states_hold_the_windows_that_end_in_them():
+    """Each random text's covered words and items, by the automaton and by looking for every window at every place."""
+    rng = random.Random(91)
+    for _ in range(150):
+        made, items = decontamination.Automaton(4), [[rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(0, 7))]
+        for k, item in enumerate(items):
+            made.add(str(k), " ".join(item).encode())
+        made.close()
+        text = [rng.choice("abcd") for _ in range(40)]
+        hit, met = set(), set()
+        for k, item in enumerate(items):
+            size = min(4, len(item))
+            for a, at in itertools.product(range(len(item) - size + 1 if size else 0), range(len(text) - size + 1)):
+                if text[at : at + size] == item[a : a + size]:
+                    hit |= set(range(at, at + size))
+                    met.add(str(k))
+        spans = made.spans([w.encode() for w in text])
+        assert {k for first, n, _ in spans for k in range(first, first + n)} == hit and sum(n for _, n, _ in spans) == len(hit)
+        assert {i for _, _, names in spans for i in names} == met
+
+
+def test_a_passage_of_many_items_makes_one_span(spark):
+    passage = " ".join(f"w{k}" for k in range(4000))
+    bench = spark.createDataFrame([(f"i{k:03}", f"own{k} {passage}") for k in range(100)], "item_id string, text string")
+    spans = decontamination.with_spans(docs(spark, [passage]).select("doc_id", "text"), bench, shard_words=10**6).first().spans
+    assert [(s["first"], s["words"], len(s["items"])) for s in spans] == [(0, 4000, 100)]
+
+
+def test_automata_are_bounded_and_cover_all_items(spark):
+    bench = spark.createDataFrame([(f"i{k}", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(50)] * 3 + [(None, None), (None, "a b")], "item_id string, text string")
+    got = list(decontamination.automata(bench, shard_words=100))
+    assert len(got) > 5 and sorted({i for a in got for g in a.groups for i in g}) == sorted(["", *(f"i{k}" for k in range(50))])
+    assert sum(len(a.length) - 1 for a in got) == 50 * 20 + 2
+
+
 def test_spans_are_cut_out(spark):
     bench = spark.createDataFrame([("i", " ".join(f"w{k}" for k in range(13)))], "item_id string, text string")
     text = "Before it: " + " ".join(f"W{k}" for k in range(13)) + "; after it."
