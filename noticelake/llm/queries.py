@@ -170,44 +170,28 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OP10_SQL = r"""
-WITH counted AS (
-    SELECT d.source, d.lang, d.doc_id,
-           len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words, ceil(length(text) / 4.0)::BIGINT AS quarters
-    FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-)
-SELECT source, lang, CASE WHEN lang = 'en' THEN 'quarters-1' ELSE 'words-1' END AS version,
-       count(*) AS docs, sum(CASE WHEN lang = 'en' THEN quarters ELSE words END)::BIGINT AS tokens
-FROM counted GROUP BY ALL
-"""
-
-
-@query("op10_token_counts", OP10_SQL)
+@query("op10_token_counts")
 def delta_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive, toxic ones are withdrawn, English ones are counted anew; the second batch is sent twice."""
-    # Texts are counted before the labels are met, by joins that stay above the counts, so no text is shuffled.
-    counted = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", token_counts.count_words(F.col("text")).alias("n_words"), token_counts.count_quarters(F.col("text")).alias("n_quarters")
-    )
+    """All documents arrive, toxic ones are withdrawn, English ones are counted anew by another tokenizer; the second batch is sent twice."""
+    versions = ["word_bpe_49k", "byte_bpe_50k"]
+    counted = cut(token_counts.counted(table(spark, sf_dir, "documents"), [public_tokenizers.path(f"{v}.json") for v in versions]))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("gone", F.lit(True))
     marked = counted.join(toxic, "doc_id", "left")
-    words, quarters, none = F.lit("words-1"), F.lit("quarters-1"), F.lit(None)
-
-    def change(rows: DataFrame, op: str, old: bool, new: bool, version) -> DataFrame:
-        if_ = lambda flag, c: c if flag else none
-        return rows.select(
-            F.lit(op).alias("op"),
-            *[if_(new, F.col(k)).cast("string").alias(k) for k in ("source", "lang")], if_(new, version).cast("string").alias("version"),
-            if_(new, F.col("n_quarters" if op == "revise" else "n_words")).cast("long").alias("n_tokens"),
-            *[if_(old, F.col(k)).cast("string").alias(f"old_{k}") for k in ("source", "lang")], if_(old, words).cast("string").alias("old_version"),
-            if_(old, F.col("n_words")).cast("long").alias("old_tokens"),
-        )
+
+    def change(rows: DataFrame, op: str, old: int | None, new: int | None) -> DataFrame:
+        side = lambda k, pre: [
+            *[(F.col(c) if k is not None else F.lit(None)).cast("string").alias(f"{pre}{c}") for c in ("source", "lang")],
+            F.lit(None if k is None else versions[k]).cast("string").alias(f"{pre}version"),
+            (F.lit(None) if k is None else F.col("n_tokens")[k]).cast("long").alias(f"{pre or 'n_'}tokens"),
+        ]
+        return rows.select(F.lit(op).alias("op"), *side(new, ""), *side(old, "old_"))
 
     ledger = token_counts.Ledger(spark, token_files.fresh_path(spark, "token-counts"))
-    withdrawn = change(marked.where("gone"), "delete", True, False, words)
-    ledger.commit(1, change(counted, "insert", False, True, words))
+    withdrawn = change(marked.where("gone"), "delete", 0, None)
+    ledger.commit(1, change(counted, "insert", None, 0))
     ledger.commit(2, withdrawn)
-    ledger.commit(3, change(marked.where("lang = 'en' AND gone IS NULL"), "revise", True, True, quarters))
+    ledger.compact()
+    ledger.commit(3, change(marked.where("lang = 'en' AND gone IS NULL"), "revise", 0, 1))
     ledger.commit(2, withdrawn)
     return ledger.totals()
 

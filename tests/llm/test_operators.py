@@ -545,3 +545,55 @@ def test_batches_are_counted_once(spark, tmp_path):
     assert ledger.commit(3, batch(*[]))
     got = sorted((r.source, r.lang, r.version, r.docs, r.tokens) for r in ledger.totals().collect())
     assert got == [("a", "en", "1", 1, 5), ("a", "en", "2", 1, 7)]
+
+
+def test_rollups_keep_totals_and_batch_ids(spark, tmp_path):
+    """Replays after a rollup change nothing, rolled batches go one rollup later, and half-written folders are not seen."""
+    schema = "op string, source string, lang string, version string, n_tokens long, old_source string, old_lang string, old_version string, old_tokens long"
+    insert = lambda n: spark.createDataFrame([("insert", "a", "en", "1", n, None, None, None, None)], schema)
+    ledger = token_counts.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.compact()
+    said = lambda: [(r.docs, r.tokens) for r in ledger.totals().collect()]
+    assert said() == [] and ledger.commit(7, insert(1)) and ledger.commit(3, insert(2))
+    ledger.compact()
+    (tmp_path / "ledger" / "_writing-9-x").mkdir()
+    (tmp_path / "ledger-rolled" / "_writing-x").mkdir()
+    assert said() == [(2, 3)] and not ledger.commit(3, insert(50)) and ledger.commit(4, insert(4))
+    assert said() == [(3, 7)]
+    ledger.compact()
+    assert not (tmp_path / "ledger" / "batch=3").exists() and (tmp_path / "ledger" / "batch=4").exists()
+    assert said() == [(3, 7)] and not any(ledger.commit(b, insert(9)) for b in (3, 4, 7)) and said() == [(3, 7)]
+    ledger.compact()
+    assert said() == [(3, 7)] and not ledger.commit(4, insert(9))
+
+
+def test_counted_tokens_are_the_library_s(spark):
+    import tokenizers
+
+    libraries = [tokenizers.Tokenizer.from_file(p) for p in (WORDS, BYTES)]
+    clashing = docs(spark, EDGES + prose(3)).selectExpr("*", "0L AS n_tokens")
+    got = {r.doc_id: r.n_tokens for r in token_counts.counted(clashing, [WORDS, BYTES]).collect()}
+    for k, text in enumerate(EDGES + prose(3)):
+        assert got[k] == [len(t.encode(text or "", add_special_tokens=False).ids) for t in libraries]
+    assert token_counts.counted(docs(spark, []), [WORDS]).collect() == []
+
+
+def test_token_count_query_against_brute_force(spark):
+    import tokenizers
+
+    from noticelake.llm.queries import QUERIES
+    from tests.conftest import SF
+
+    word, byte = (tokenizers.Tokenizer.from_file(p) for p in (WORDS, BYTES))
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if r.doc_id in toxic:
+            continue
+        key, used = (r.source, r.lang, "byte_bpe_50k" if r.lang == "en" else "word_bpe_49k"), byte if r.lang == "en" else word
+        want[key, "docs"] += 1
+        want[key, "tokens"] += len(used.encode(r.text or "", add_special_tokens=False).ids)
+    got = QUERIES["op10_token_counts"](spark, SF).collect()
+    assert len(got) == len(want) / 2
+    for r in got:
+        assert (r.docs, r.tokens) == (want[(r.source, r.lang, r.version), "docs"], want[(r.source, r.lang, r.version), "tokens"])
