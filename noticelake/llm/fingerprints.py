@@ -7,11 +7,11 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from noticelake.llm.common import cut
+
 BITS = 128
 #: Each sum counts two bits of a hash, 32 bits apart: a text's term weights may sum to 2**32 - 1.
 LANE = 0x0000000100000001
-#: Rows of ``docs`` in one block when their successors are looked up.
-BLOCK_ROWS = 1024
 
 
 def terms(text: Column) -> Column:
@@ -97,48 +97,58 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: i
     return mine.join(theirs, ["table", "khi", "klo"]).where(near).select("q_hi", "q_lo", "hi", "lo").distinct()
 
 
-def with_successor(docs: DataFrame, rows: int | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` with ``next_id`` and ``next_text`` of the next row by (doc_id, text); the last meets the first.
+def successors(docs: DataFrame) -> DataFrame:
+    """``(doc_id, print, n_chars, copies, next_id, next_print)`` for each distinct (doc_id, text) of ``docs``.
 
-    Doc_ids are dealt into blocks of equal width, each ordered on its own together with a copy of
-    the next block's first row, so no task orders all rows. Null doc_ids come first, null texts
-    are empty.
+    ``print`` is a hash of the text. Rows are ordered by doc_id, nulls first, then by print; the last
+    one meets the first, a single one itself. Only ids, prints and lengths are sorted: by range over
+    many tasks, each of which hands its first row to the range before it.
     """
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = given.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // max(1, n // (rows or BLOCK_ROWS))))
-    blocked = given.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.floor((F.col("doc_id") - low) / width)))
-    firsts = blocked.groupBy("block").agg(F.min("doc_id").alias("doc_id"))
+    keys = docs.select("doc_id", F.xxhash64("text").alias("print"), F.char_length("text").cast("long").alias("n_chars"))
+    counted = keys.groupBy("doc_id", "print", "n_chars").agg(F.count("*").alias("copies"))
+    ranged = cut(counted.repartitionByRange("doc_id", "print").withColumn("block", F.spark_partition_id()))
+    firsts = ranged.groupBy("block").agg(F.min(F.struct("doc_id", "print")).alias("first"))
     over = Window.orderBy("block")
     everywhere = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ghosts = firsts.select("doc_id", "block", F.coalesce(F.lag("block").over(over), F.last("block").over(everywhere)).alias("to"))
-    n_ghosts = firsts.count()
-    if n_ghosts <= 200_000:
-        ghosts = F.broadcast(ghosts)
-    copied = blocked.join(ghosts.withColumnsRenamed({"doc_id": "g_id", "block": "g_block"}), (F.col("block") == F.col("g_block")) & F.col("doc_id").eqNullSafe(F.col("g_id")))
-    both = blocked.withColumn("ghost", F.lit(False)).unionByName(
-        copied.select("doc_id", "text", F.col("to").alias("block"), F.lit(True).alias("ghost"))
-    )
-    within = Window.partitionBy("block").orderBy("ghost", F.asc_nulls_first("doc_id"), "text")
-    return (
-        both.withColumn("next_id", F.lead("doc_id").over(within)).withColumn("next_text", F.lead("text").over(within))
-        .where("NOT ghost").select("doc_id", "text", "next_id", "next_text")
+    after = firsts.select("block", F.coalesce(F.lead("first").over(over), F.first("first").over(everywhere)).alias("after"))
+    follows = F.lead(F.struct("doc_id", "print")).over(Window.partitionBy("block").orderBy(F.asc_nulls_first("doc_id"), "print"))
+    return ranged.withColumn("follows", follows).join(after, "block").withColumn("follows", F.coalesce("follows", "after")).select(
+        "doc_id", "print", "n_chars", "copies", F.col("follows.doc_id").alias("next_id"), F.col("follows.print").alias("next_print")
     )
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, that of an edited text, and how alike it is to the edited and to the next text.
+    """Per document: its fingerprint, that of an edited text, and the key of the next document.
 
     The edited text has the last ``floor(n_chars / 2)`` code points replaced by the first as many
-    (or all) of the next document. Rows equal in doc_id, text and edited text give one row.
+    (or all) of the next document. Rows equal in doc_id and text follow each other: all but the last
+    are edited by their own copy. Rows equal in edited text too come as one, with their number in
+    ``copies``. Null texts are empty; null doc_ids come first and are kept.
     """
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    links = cut(successors(given))
+    texts = given.groupBy("doc_id", F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"))
+    asked = links.select(
+        F.col("next_id").alias("doc_id"), F.col("next_print").alias("print"), F.col("doc_id").alias("to_id"), F.col("print").alias("to_print"),
+        F.floor(F.col("n_chars") / 2).cast("int").alias("half"),
+    )
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
+    lent = texts.join(asked, same(texts, asked)).select("to_id", "to_print", F.substring("text", F.lit(1), F.col("half")).alias("lent"))
+    own = links.join(texts, same(links, texts)).select(*[links[c] for c in links.columns], "text")
+    met = own.join(lent, own["doc_id"].eqNullSafe(lent["to_id"]) & (own["print"] == lent["to_print"]))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    pairs = with_successor(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(
-        "doc_id", "text", "n_chars", "next_id", F.xxhash64("text").alias("print"), F.xxhash64("next_text").alias("next_print"),
-        F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
+    last = F.struct(F.lit(1).cast("long").alias("copies"), "next_id", "next_print", "lent")
+    others = F.struct(
+        (F.col("copies") - 1).alias("copies"), F.col("doc_id").alias("next_id"), F.col("print").alias("next_print"),
+        F.substring("text", F.lit(1), half).alias("lent"),
+    )
+    pairs = met.select(
+        "doc_id", "print", "n_chars", "text", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("k")
+    ).select(
+        "doc_id", "print", "n_chars", "k.copies", "k.next_id", "k.next_print", "text",
+        F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), "k.lent").alias("edited"),
     ).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["doc_id", "print", "n_chars", "next_id", "next_print", "edited_sha256"]
+    keys = ["doc_id", "print", "n_chars", "copies", "next_id", "next_print", "edited_sha256"]
     both = fingerprints(pairs.select(*keys, F.posexplode(F.array("text", "edited")).alias("kind", "text")), [*keys, "kind"])
     side = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     return both.groupBy(*keys).agg(

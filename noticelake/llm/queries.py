@@ -64,10 +64,11 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = rows.join(own, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_print") == F.col("p")))
     asked = rows.where("doc_id % 100 = 0")
     close = fingerprints.within_radius(asked, rows).groupBy("q_hi", "q_lo").agg((F.count("*") - 1).alias("n_close"))
-    found = asked.select("doc_id", "edited_sha256", "hi", "lo").join(
+    found = asked.select("doc_id", "print", "hi", "lo").distinct().join(
         close, (F.col("hi") == F.col("q_hi")) & (F.col("lo") == F.col("q_lo"))
-    ).select(F.col("doc_id").alias("c_id"), F.col("edited_sha256").alias("c_sha"), "n_close").distinct()
-    return joined.join(found, (F.col("doc_id") == F.col("c_id")) & (F.col("edited_sha256") == F.col("c_sha")), "left").select(
+    ).select(F.col("doc_id").alias("c_id"), F.col("print").alias("c_print"), "n_close")
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.join(found, (F.col("doc_id") == F.col("c_id")) & (F.col("print") == F.col("c_print")), "left").select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprints.hex_of(F.col("hi"), F.col("lo")).alias("fingerprint"),
         fingerprints.hex_of(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"),

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from noticelake.llm import chat, decontamination, fingerprints, html_text, licenses, near_dups, packing, similar_sets, token_counts, token_files, toxicity
 from noticelake.llm.common import ship
@@ -74,11 +75,43 @@ def test_edits_follow_the_next_document(spark):
     assert fingerprints.edited_pairs(docs(spark, ["alone"])).first().next_id == 0
 
 
-def test_small_blocks_have_the_same_successors(spark):
-    table = docs(spark, prose(50)).union(docs(spark, prose(5, 1), 1000))
-    got = {r.doc_id: r.next_id for r in fingerprints.with_successor(table, rows=3).collect()}
-    ids = sorted(got)
-    assert got == dict(zip(ids, ids[1:] + ids[:1], strict=True))
+def test_successors_of_outlying_null_and_repeated_ids(spark):
+    """Ids 0 to 199 and 10**15, null ids and one id with several texts: every row meets the next one, and every row comes back."""
+    texts = prose(200, 2, 20)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10**15, "far away"), (None, "no id"), (None, "none again"), (None, None), (7, "other text"), (7, texts[7]), (7, texts[7])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    links = fingerprints.successors(table.na.fill({"text": ""})).collect()
+    keys = {(r.doc_id, r.print): r for r in links}
+    ordered = sorted(keys, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert len(ordered) == len(set(rows)) and sum(r.copies for r in links) == len(rows)
+    assert {k: (r.next_id, r.next_print) for k, r in keys.items()} == dict(zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert max(Counter(r.next_id for r in links).values()) == 3
+    said = {(r.doc_id, r.print): r.text or "" for r in table.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS print", "text").collect()}
+    pairs = fingerprints.edited_pairs(table).collect()
+    assert sum(r.copies for r in pairs) == len(rows)
+    for r in pairs:
+        text, after = said[r.doc_id, r.print], said[r.next_id, r.next_print]
+        half = len(text) // 2
+        assert r.edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    assert sorted(r.copies for r in pairs if (r.doc_id, r.print) == (r.next_id, r.next_print)) == [2]
+
+
+def test_fingerprint_bits_and_likeness_against_a_restatement(spark):
+    """Bits from votes counted one by one, over the hashes that Spark gives for each word pair."""
+    texts = prose(6, 5, 30) + ["one", "", "Ünï ß 漢字 x", "a b a b a b"]
+    table = docs(spark, texts)
+    pairs = table.select("doc_id", F.explode(fingerprints.terms(F.col("text"))).alias("t")).select("doc_id", "t.a", F.coalesce("t.b", F.lit("")).alias("b"))
+    votes = {}
+    for r in pairs.select("doc_id", "a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64("b", F.lit(7), "a").alias("g")).collect():
+        votes.setdefault(r.doc_id, []).append((min(16, len((r.a + r.b).encode())), r.h, r.g))
+    got = {r.doc_id: (r.hi, r.lo) for r in fingerprints.fingerprints(table, ["doc_id"]).collect()}
+    for k in range(len(texts)):
+        of = votes.get(k, [])
+        for at in (0, 1):
+            bits = sum(1 << b for b in range(64) if 2 * sum(v[0] for v in of if v[1 + at] >> b & 1) > sum(v[0] for v in of))
+            assert got[k][at] % 2**64 == bits
+    pair = spark.createDataFrame([(5, -1, 4, 1)], "hi long, lo long, x long, y long")
+    assert pair.select(fingerprints.likeness(F.col("hi"), F.col("lo"), F.col("x"), F.col("y"))).first()[0] == 1 - (1 + 63) / 128
 
 
 def test_block_tables_find_all_within_the_radius(spark):
