@@ -1,14 +1,16 @@
 """Toxic documents by a lexicon whose misspellings a Levenshtein automaton finds, weighed by context.
 
 The lexicon is learned: words and word beginnings that labelled toxic documents hold far more often
-than clean ones. Each worker intersects its trie with a Levenshtein automaton. A hit counts less
-between quotation marks or after words of reporting, where it is quoted rather than meant.
+than clean ones. Each worker intersects its trie with a Levenshtein automaton. A hit counts apart
+where it is quoted rather than meant: inside a pair of quotation marks that both stand near it, or
+that a word of reporting stands next to.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -19,8 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from noticelake.llm.common import cut, pieces
 
-#: Lexicon entries kept, by evidence; bounds what is sent to the workers.
-LEXICON = 4000
+#: A term stands in so many toxic labelled texts at least, and in one of ``RARE`` of them.
+LEAST, RARE = 5, 100
 #: Labelled rows, the first by hash of their id, that the final weights are fitted on.
 FIT_ROWS = 20_000
 #: Letters of a word beginning that may be an entry of its own.
@@ -41,9 +43,10 @@ NO_HITS = (0.0,) * 5
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 WORDS_SQL = r"[^\p{L}\p{N}]+"
-# Words of reporting, and quotation marks that open or close.
+# Words of reporting; quotation marks that open, with those that close them. A straight mark does both.
 REPORTING = frozenset("said says wrote writes quote quoted quotes called calls reported cited dijo escribió llamó dit écrit appelé sagte schrieb nannte".split())
-QUOTES = "\"“”„«»‟〝〞"
+CLOSED_BY = {'"': '"', "“": "”", "„": "“”", "‟": "”", "«": "»", "»": "«", "〝": "〞"}
+MARK = re.compile("[\"“”„«»‟〝〞]|\n\\s*\n")
 
 
 @dataclass
@@ -171,6 +174,32 @@ def _shared(terms: tuple[tuple[str, float], ...], clean: frozenset[str], brief:
     return Lexicon(dict(terms), clean, brief)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of the opening and the closing mark of each quotation, in order. An empty line ends what is open."""
+    pairs, at, closing = [], -1, ""
+    for m in MARK.finditer(text):
+        mark = m.group()
+        if closing and mark in closing:
+            pairs.append((at, m.start()))
+            closing = ""
+        elif mark[0] == "\n":
+            closing = ""
+        elif not closing and mark in CLOSED_BY:
+            at, closing = m.start(), CLOSED_BY[mark]
+    return pairs
+
+
+def _is_quoted(k: int, a: int, pairs: list[tuple[int, int]], opened: list[int], words: list[tuple[str, int, int]], starts: list[int]) -> bool:
+    """Whether word ``k`` at ``a`` stands in a quotation of a few words, or in one with a word of reporting beside it."""
+    n = bisect_right(opened, a) - 1
+    if n < 0 or pairs[n][1] < a:
+        return False
+    first, after = bisect_left(starts, pairs[n][0]), bisect_left(starts, pairs[n][1])  # the words inside
+    if k - first < CONTEXT and after - k <= CONTEXT:
+        return True
+    return any(w in REPORTING for w, _, _ in words[max(0, first - CONTEXT) : first] + words[after : after + CONTEXT])
+
+
 def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float, float]:
     """Weight of meant hits, of misspelt ones and of quoted ones, the greatest meant weight, and hits by the word."""
     if not any(map(any, map(lexicon.match, set(map(str.lower, WORD.findall(text)))))):
@@ -180,13 +209,12 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, float, float, float, f
     for k, (w, a, b) in enumerate(words):
         exact, near = lexicon.match(w)
         if exact or near:
-            hits.append((k, a, b, exact, near))
+            hits.append((k, a, exact, near))
+    pairs = quotations(text)
+    opened, starts = [p[0] for p in pairs], [w[1] for w in words]
     meant = misspelt = quoted = top = 0.0
-    for k, a, b, exact, near in hits:
-        first, last = max(0, k - CONTEXT), min(len(words), k + CONTEXT + 1)
-        before, after = text[words[first][1] : a], text[b : words[last - 1][2] + 1]
-        told = any(w in REPORTING for w, _, _ in words[first:k])
-        if (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)) or told:
+    for k, a, exact, near in hits:
+        if _is_quoted(k, a, pairs, opened, words, starts):
             quoted += exact or near
         elif exact:
             meant += exact
@@ -200,7 +228,9 @@ def learn_terms(labelled: DataFrame) -> dict[str, float]:
     """Log-odds of the words and stems most typical of ``labelled(text, toxic)`` rows that are toxic.
 
     Counts every labelled row: in how many of the toxic and of the clean texts a word occurs, from
-    those the same for stems. The driver gets the ``LEXICON`` best entries.
+    those the same for stems. As an entry stands in at least one of ``RARE`` toxic texts, there are
+    at most ``RARE`` times as many entries as a toxic text has words and stems on average, however many
+    texts there are; all of them are kept.
     """
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), WORDS_SQL))
     totals = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
@@ -217,8 +247,7 @@ def learn_terms(labelled: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
     best = (
         counted.select(F.explode(entries).alias("term"), "p", "n").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        .where(F.col("p") >= max(5, pos // 100)).withColumn("odds", F.round(odds, 9)).where(f"odds >= {TYPICAL} AND length(term) >= 3")
-        .orderBy(F.desc("odds"), F.desc("p"), "term").limit(LEXICON)
+        .where(F.col("p") >= max(LEAST, -(-pos // RARE))).withColumn("odds", F.round(odds, 9)).where(f"odds >= {TYPICAL} AND length(term) >= 3")
     )
     return {r.term: r.odds for r in best.collect()}
 

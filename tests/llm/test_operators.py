@@ -274,6 +274,24 @@ def test_quotation_counts_apart():
     assert meant[0] > 0 and meant[2] == 0 and quoted[0] == 0 and quoted[2] > 0
 
 
+@pytest.mark.parametrize(("text", "is_quoted"), [
+    ('"Hi," she waved. You idiot! "Bye."', False), ("she said you are an idiot", False), ('the word "idiot" is rude', True), ("das Wort „idiot“ und", True),
+    ("«idiot» est", True), ("»idiot« ist", True), ("“you idiot”", True), ('"no end idiot', False), ('"open\n\nidiot" x', False), ('"a" idiot "b"', False),
+    ('"one two three four five idiot six seven eight nine"', False), ('He wrote: "one two three four five idiot six seven eight nine"', True),
+    ('"one two three four five idiot six seven eight nine" he said', True), ('"a b c d e idiot" and nothing more, "x" he said', False), ("idiot", False),
+])
+def test_only_paired_marks_quote(text, is_quoted):
+    found = toxicity.features(text, toxicity.Lexicon({"idiot": 5.0}))
+    assert (found[0] == 0, found[2] > 0) == (is_quoted, is_quoted)
+
+
+def test_every_typical_term_is_learned(spark):
+    """No cap on entries: each of 4,500 words that stand in a hundredth of the toxic texts alone."""
+    words = [f"q{k}" for k in range(4500)]
+    rows = [(" ".join(words[k * 45 : k * 45 + 45]), 1) for k in range(100) for _ in range(5)] + [("plain", 0)] * 6000
+    assert {t for t in toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int")) if not t.endswith("*")} == {w for w in words if len(w) > 2}
+
+
 def test_held_out_toxic_texts_are_found(spark):
     rng = random.Random(4)
     texts = [t + (" you grubby idiot" if k % 4 == 0 else "") for k, t in enumerate(prose(300, 3, 60))] + EDGES
