@@ -127,15 +127,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = cut(successors(given))
-    texts = given.groupBy("doc_id", F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"))
+    # Joins and sums share these keys without nulls, so whole texts are shuffled once and their first halves once more.
+    key = lambda c: [F.col(c).isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id")]
+    by = ["none", "id", "print"]
+    texts = given.groupBy(*key("doc_id"), F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"))
     asked = links.select(
-        F.col("next_id").alias("doc_id"), F.col("next_print").alias("print"), F.col("doc_id").alias("to_id"), F.col("print").alias("to_print"),
-        F.floor(F.col("n_chars") / 2).cast("int").alias("half"),
+        *key("next_id"), F.col("next_print").alias("print"), F.struct(*key("doc_id"), "print").alias("to"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")
     )
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
-    lent = texts.join(asked, same(texts, asked)).select("to_id", "to_print", F.substring("text", F.lit(1), F.col("half")).alias("lent"))
-    own = links.join(texts, same(links, texts)).select(*[links[c] for c in links.columns], "text")
-    met = own.join(lent, own["doc_id"].eqNullSafe(lent["to_id"]) & (own["print"] == lent["to_print"]))
+    lent = texts.join(asked, by).select("to.*", F.substring("text", F.lit(1), F.col("half")).alias("lent"))
+    met = texts.join(links.select(*key("doc_id"), "*"), by).join(lent, by)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     last = F.struct(F.lit(1).cast("long").alias("copies"), "next_id", "next_print", "lent")
     others = F.struct(
@@ -143,14 +143,14 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         F.substring("text", F.lit(1), half).alias("lent"),
     )
     pairs = met.select(
-        "doc_id", "print", "n_chars", "text", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("k")
+        *by, "doc_id", "n_chars", "text", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("k")
     ).select(
-        "doc_id", "print", "n_chars", "k.copies", "k.next_id", "k.next_print", "text",
+        *by, "doc_id", "n_chars", "k.copies", "k.next_id", "k.next_print", "text",
         F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), "k.lent").alias("edited"),
     ).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["doc_id", "print", "n_chars", "copies", "next_id", "next_print", "edited_sha256"]
+    keys = [*by, "doc_id", "n_chars", "copies", "next_id", "next_print", "edited_sha256"]
     both = fingerprints(pairs.select(*keys, F.posexplode(F.array("text", "edited")).alias("kind", "text")), [*keys, "kind"])
     side = lambda c, k: F.max(F.when(F.col("kind") == k, F.col(c)))
     return both.groupBy(*keys).agg(
         side("hi", 0).alias("hi"), side("lo", 0).alias("lo"), side("hi", 1).alias("e_hi"), side("lo", 1).alias("e_lo")
-    )
+    ).drop("none", "id")
