@@ -1,4 +1,4 @@
-"""Licence scan: lines and whole short texts against licence templates by Dice coefficient of word bigrams."""
+"""Licence scan by Dice coefficient of word bigrams: single lines against notices, and passages of whole texts against notices and licence texts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from noticelake.llm.common import cut
+from noticelake.llm.license_texts import TEXTS
+
 # Short licence notices as projects publish them.
 TEMPLATES = {
     "Apache-2.0": (
@@ -43,6 +46,10 @@ TEMPLATES = {
 }
 
 
+#: What passages are compared with: notices and whole texts.
+PASSAGES = {name: TEMPLATES.get(name, ()) + TEXTS.get(name, ()) for name in [*TEMPLATES, *(t for t in TEXTS if t not in TEMPLATES)]}
+
+
 def normalised(text: Column) -> Column:
     """Lower case, every run of other characters than ASCII letters, digits and non-ASCII ones as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
@@ -68,12 +75,12 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return given.select("license", "variant", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
 
 
-def telling_words(templates: dict[str, tuple[str, ...]], ratio: float) -> list[str]:
-    """Words of which every matching line holds one; empty if there are no such words.
+def telling_words(templates: dict[str, tuple[str, ...]], ratio: float, length_counts: int = 2) -> list[str]:
+    """Words of which every matching line or passage holds one; empty if there are no such words.
 
     A match shares at least ``ratio`` of a template's bigrams. So once fewer of them than that
     lack all of the chosen words, no match can do without those. Words in many bigrams go first,
-    long ones before short ones, which other texts hold by chance.
+    long ones before short ones, which other texts hold by chance; the more so, the higher ``length_counts``.
     """
     wanted = [(found, math.ceil(len(found) * ratio - 1e-9)) for variants in templates.values() for t in variants if (found := _pairs(t))]
     chosen: list[str] = []
@@ -81,7 +88,7 @@ def telling_words(templates: dict[str, tuple[str, ...]], ratio: float) -> list[s
         counts = Counter(w for left, need in wanted if len(left) >= need for pair in left for w in set(pair) if w.isascii())
         if not counts:
             return chosen if all(len(left) < need for left, need in wanted) else []
-        best = min(counts, key=lambda w: (-counts[w] * len(w) ** 2, w))
+        best = min(counts, key=lambda w: (-counts[w] * len(w) ** length_counts, w))
         chosen.append(best)
         wanted = [({p for p in left if best not in p}, need) for left, need in wanted]
     return chosen
@@ -126,8 +133,70 @@ def _pairs(text: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
 
-def licenses_of(docs: DataFrame, at_least: float = 0.8, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """``(doc_id, license, dice, n_lines)``: each document's licences, their best line's Dice and how many lines match."""
-    lines = license_lines(docs, at_least, templates)
-    best = lines.groupBy("doc_id", "line", "license").agg(F.max("dice").alias("dice"))
-    return best.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_lines"))
+def license_passages(docs: DataFrame, at_least: float = 0.8, templates: dict[str, tuple[str, ...]] = PASSAGES) -> DataFrame:
+    """``(doc_id, word, license, variant, dice)``: where in ``docs(doc_id, text)`` passages begin that match a template.
+
+    A passage is as many consecutive words as the template has, or those left, wherever lines break,
+    that begin with one of the template's bigrams; ``word`` counts from 0. Dice is twice the shared
+    over the summed numbers of bigrams, repeats included. Texts without any of the ``telling_words``
+    are left out first. A passage of m words lies in two neighbouring stretches of m words, so only
+    stretches that hold enough of a template's bigrams between them are looked at closer: no other
+    passage can share the t * a / (2 - a) bigrams that a template of t needs. Null and empty texts
+    have no matches; rows that repeat a doc_id and a text count once; a null doc_id stays.
+    """
+    ratio = at_least / (2 - at_least)
+    text = F.coalesce("text", F.lit(""))
+    if words := telling_words(templates, ratio, length_counts=4):
+        low = F.lower(text)
+        docs = docs.where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]))
+    rows = [(name, k, t) for name, variants in templates.items() for k, t in enumerate(variants)]
+    wanted = docs.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("license"), F.lit(k).alias("variant"), F.split(normalised(F.lit(t)), " ").alias("w")) for name, k, t in rows
+    ]))).where(F.size("w") > 1).select("license", "variant", F.size("w").alias("m"), F.explode(_neighbours(F.col("w"))).alias("pair"))
+    wanted = wanted.groupBy("license", "variant", "m", "pair").agg(F.count("*").alias("held"))
+    said = docs.select("doc_id", F.xxhash64(text).alias("_said"), F.split(normalised(F.col("text")), " ").alias("w"))
+    places = said.select("doc_id", "_said", F.size("w").alias("n"), F.posexplode(_neighbours(F.col("w"))).alias("word", "pair"))
+    of = ["doc_id", "_said", "license", "variant"]
+    met = places.join(F.broadcast(wanted), "pair").groupBy(*of, "n", "m", "word", "pair", "held").agg(F.lit(1).alias("one")).drop("one")
+    hits = cut(met.select("*", F.floor(F.col("word") / F.col("m")).alias("stretch"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")))
+    by = ["_id", "_none", "_said", "license", "variant", "stretch"]
+    # A hit counts for passages that begin in its own stretch or in the one before.
+    both = F.explode(F.array(F.col("stretch"), F.col("stretch") - 1))
+    counted = hits.groupBy(*by, "m").agg(F.count("*").alias("found"))
+    dense = (
+        counted.select(*by[:-1], "m", "found", both.alias("stretch")).groupBy(*by, "m").agg(F.sum("found").alias("found"))
+        .where(F.col("found") >= (F.col("m") - 1) * ratio).select(*by)
+    )
+    starts = hits.join(dense, by, "left_semi").select(*by, "doc_id", "n", "m", F.col("word").alias("start"))
+    held = hits.select(*by[:-1], both.alias("stretch"), "word", "pair", "held").join(dense, by, "left_semi")
+    inside = starts.join(held, by).where((F.col("word") >= F.col("start")) & (F.col("word") <= F.col("start") + F.col("m") - 2))
+    passage = [*by, "doc_id", "n", "m", "start"]
+    shared = inside.groupBy(*passage, "pair", "held").agg(F.count("*").alias("times")).groupBy(*passage).agg(F.sum(F.least("times", "held")).alias("shared"))
+    size = F.col("m") - 1
+    own = F.least(F.col("m"), F.col("n") - F.col("start")) - 1
+    return shared.withColumn("dice", 2.0 * F.col("shared") / (own + size)).where(F.col("dice") >= at_least).select(
+        "doc_id", F.col("start").alias("word"), "license", "variant", "dice"
+    )
+
+
+def _neighbours(words: Column) -> Column:
+    """Word pairs with repeats, joined by a space."""
+    n = F.size(words)
+    pairs = F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def licenses_of(docs: DataFrame, at_least: float = 0.8, notices: dict[str, tuple[str, ...]] = TEMPLATES, passages: dict[str, tuple[str, ...]] = PASSAGES) -> DataFrame:
+    """``(doc_id, license, dice, n_lines, word)`` for each document's licences.
+
+    The best Dice of a line or passage, how many lines match, and the first word of the best passage
+    (the first of equals; null if only lines match).
+    """
+    lines = license_lines(docs, at_least, notices).groupBy("doc_id", "line", "license").agg(F.max("dice").alias("dice"))
+    lines = lines.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("n_lines"))
+    best = F.max(F.struct("dice", (-F.col("word")).alias("back")))
+    found = license_passages(docs, at_least, passages).groupBy("doc_id", "license").agg(best.alias("best"))
+    both = lines.withColumn("word", F.lit(None).cast("int")).unionByName(
+        found.select("doc_id", "license", "best.dice", F.lit(0).cast("long").alias("n_lines"), (-F.col("best.back")).alias("word"))
+    )
+    return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("n_lines").alias("n_lines"), F.max("word").alias("word"))

@@ -78,13 +78,13 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _templates_sql() -> str:
+def _templates_sql(templates: dict[str, tuple[str, ...]]) -> str:
     quoted = lambda s: s.replace("'", "''")
-    return ", ".join(f"('{quoted(n)}', {k}, '{quoted(t)}')" for n, ts in licenses.TEMPLATES.items() for k, t in enumerate(ts))
+    return ", ".join(f"('{quoted(n)}', {k}, '{quoted(t)}')" for n, ts in templates.items() for k, t in enumerate(ts))
 
 
 OP3_SQL = rf"""
-WITH given(license, variant, said) AS (VALUES {_templates_sql()}),
+WITH given(license, variant, said) AS (VALUES {_templates_sql(licenses.TEMPLATES)}),
 lines AS (
     SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS said
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
@@ -101,8 +101,29 @@ dices AS (
     FROM pairs d JOIN pairs t ON d.kind = 0 AND t.kind = 1 AND d.pair = t.pair
     GROUP BY d.doc_id, d.line, t.license, t.variant, d.size, t.size
 ),
-best AS (SELECT doc_id, line, license, max(dice) AS dice FROM dices WHERE dice >= 0.8 GROUP BY ALL)
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_lines FROM best GROUP BY ALL
+best AS (SELECT doc_id, line, license, max(dice) AS dice FROM dices WHERE dice >= 0.8 GROUP BY ALL),
+texts(license, variant, said) AS (VALUES {_templates_sql(licenses.PASSAGES)}),
+words AS (
+    SELECT *, string_split(trim(regexp_replace(lower(said), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ') AS w FROM
+        (SELECT row_number() OVER () AS r, doc_id, NULL AS license, NULL AS variant, said FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS said FROM documents)
+         UNION ALL SELECT NULL, NULL, license, variant, said FROM texts)
+),
+places AS (SELECT r, doc_id, license, variant, len(w) AS n, i - 1 AS word, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)),
+wanted AS (SELECT license, variant, n AS m, pair, count(*) AS held FROM places WHERE r IS NULL GROUP BY ALL),
+hits AS MATERIALIZED (SELECT p.r, p.doc_id, p.n, p.word, t.* FROM places p JOIN wanted t ON p.r IS NOT NULL AND p.pair = t.pair),
+times AS (
+    SELECT s.r, s.doc_id, s.license, s.variant, s.m, s.n, s.word, least(count(*), h.held) AS times
+    FROM hits s JOIN hits h ON h.r = s.r AND h.license = s.license AND h.variant = s.variant AND h.word BETWEEN s.word AND s.word + s.m - 2
+    GROUP BY s.r, s.doc_id, s.license, s.variant, s.m, s.n, s.word, h.pair, h.held
+),
+passages AS (
+    SELECT doc_id, license, word, 2.0::DOUBLE * sum(times) / (least(m, n - word) - 1 + m - 1) AS dice
+    FROM times GROUP BY r, doc_id, license, variant, m, n, word
+),
+found AS (SELECT doc_id, license, max(dice) AS dice, 0 AS n_lines, arg_max(word, (dice, -word)) AS word FROM passages WHERE dice >= 0.8 GROUP BY ALL)
+SELECT doc_id, license, max(dice) AS dice, sum(n_lines)::BIGINT AS n_lines, max(word)::INTEGER AS word FROM (
+    SELECT doc_id, license, max(dice) AS dice, count(*) AS n_lines, NULL AS word FROM best GROUP BY ALL UNION ALL SELECT * FROM found
+) GROUP BY doc_id, license
 """
 
 

@@ -146,6 +146,45 @@ def test_license_lines_against_brute_force(spark):
     assert sorted(map(tuple, twice)) == sorted(map(tuple, licenses.licenses_of(table).collect()))
 
 
+def _passages(text, templates, at_least=0.8):
+    """Every passage that begins with a template's bigram, compared one by one."""
+    words = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", text.lower()).strip().split(" ")
+    found = {}
+    for name, variants in templates.items():
+        for v, template in enumerate(variants):
+            theirs = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", template.lower()).strip().split(" ")
+            held = Counter(zip(theirs, theirs[1:], strict=False))
+            for k in range(len(words) - 1):
+                if (words[k], words[k + 1]) in held:
+                    own = Counter(zip(words[k : k + len(theirs) - 1], words[k + 1 : k + len(theirs)], strict=False))
+                    dice = 2 * (own & held).total() / (own.total() + held.total())
+                    if dice >= at_least:
+                        found[k, name, v] = pytest.approx(dice)
+    return found
+
+
+def test_license_passages_against_brute_force(spark):
+    rng = random.Random(6)
+    wrap = lambda t, n: "\n".join(" # " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    worn = lambda t: " ".join(w if rng.random() > 0.06 else rng.choice(["x", "", "one two"]) for w in t.split())
+    whole = [t for variants in licenses.PASSAGES.values() for t in variants]
+    texts = [None, "", "the", "of the software", "Copyright 2020 Me\n" + wrap(licenses.TEXTS["MIT"][0], 9), wrap(licenses.TEXTS["GPL-3.0"][0], 11) + "\nint main() {}",
+             "We say it is released under the MIT License. and go on " + prose(1)[0], " ".join(whole), licenses.TEXTS["ISC"][0][:300], *map(worn, whole)]
+    texts += [texts[4], (prose(1, 1)[0] + " " + licenses.TEXTS["Apache-2.0"][0] + " ") * 20]
+    table = docs(spark, texts).withColumn("word", F.lit(1)).repartition(3)
+    got = {}
+    for r in licenses.license_passages(table).collect():
+        got.setdefault(r.doc_id, {})[r.word, r.license, r.variant] = r.dice
+    want = {k: found for k, t in enumerate(texts) if (found := _passages(t or "", licenses.PASSAGES))}
+    assert got == want
+    named = {k: {name for _, name, _ in found} for k, found in want.items()}
+    assert "MIT" in named[4] and "GPL-3.0" in named[5] and named[6] == {"MIT"} and 8 not in named
+    once = sorted(map(tuple, licenses.licenses_of(table).collect()), key=str)
+    assert once == sorted(map(tuple, licenses.licenses_of(table.union(table)).collect()), key=str)
+    lost = licenses.license_passages(table.withColumn("doc_id", F.lit(None).cast("long")))
+    assert {r.doc_id for r in lost.collect()} == {None} and licenses.licenses_of(table.limit(0)).collect() == []
+
+
 # --- 4 pages -------------------------------------------------------------------------------------------------------
 
 STORY = "This is a long article with many words in it and nothing else. " * 12
