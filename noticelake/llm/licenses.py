@@ -75,12 +75,12 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return given.select("license", "variant", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
 
 
-def telling_words(templates: dict[str, tuple[str, ...]], ratio: float, length_counts: int = 2) -> list[str]:
-    """Words of which every matching line or passage holds one; empty if there are no such words.
+def telling_words(templates: dict[str, tuple[str, ...]], ratio: float) -> list[str]:
+    """Words of which every matching line holds one; empty if there are no such words.
 
     A match shares at least ``ratio`` of a template's bigrams. So once fewer of them than that
     lack all of the chosen words, no match can do without those. Words in many bigrams go first,
-    long ones before short ones, which other texts hold by chance; the more so, the higher ``length_counts``.
+    long ones before short ones, which other texts hold by chance.
     """
     wanted = [(found, math.ceil(len(found) * ratio - 1e-9)) for variants in templates.values() for t in variants if (found := _pairs(t))]
     chosen: list[str] = []
@@ -88,12 +88,40 @@ def telling_words(templates: dict[str, tuple[str, ...]], ratio: float, length_co
         counts = Counter(w for left, need in wanted if len(left) >= need for pair in left for w in set(pair) if w.isascii())
         if not counts:
             return chosen if all(len(left) < need for left, need in wanted) else []
-        best = min(counts, key=lambda w: (-counts[w] * len(w) ** length_counts, w))
+        best = min(counts, key=lambda w: (-counts[w] * len(w) ** 2, w))
         chosen.append(best)
         wanted = [({p for p in left if best not in p}, need) for left, need in wanted]
     return chosen
 
 
+def telling_signs(templates: dict[str, tuple[str, ...]], ratio: float, letters: int = 5) -> list[str | tuple[str, str]]:
+    """Words of at least ``letters`` letters, and word pairs, of which every matching passage holds one; empty if there are none.
+
+    As ``telling_words``, but templates whose short words alone could still make a match are told by
+    a pair: short words stand in most texts, pairs of them in few.
+    """
+    wanted = []
+    for text in (t for variants in templates.values() for t in variants):
+        words = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", text.lower()).strip().split(" ")
+        pairs = list(zip(words, words[1:], strict=False))
+        if pairs:
+            wanted.append((pairs, math.ceil(len(pairs) * ratio - 1e-9)))
+    signs: list[str | tuple[str, str]] = []
+    while wanted := [(left, need) for left, need in wanted if len(left) >= need]:
+        usable = [pair for left, _ in wanted for pair in left if pair[0].isascii() and pair[1].isascii()]
+        counts = Counter(w for pair in usable for w in set(pair) if len(w) >= letters)
+        if counts:
+            sign = min(counts, key=lambda w: (-counts[w] * len(w) ** 3, w))
+            wanted = [([p for p in left if sign not in p], need) for left, need in wanted]
+        elif usable:
+            sign = min(usable, key=lambda p: (-usable.count(p), -len(p[0] + p[1]), p))
+            wanted = [([p for p in left if p != sign], need) for left, need in wanted]
+        else:
+            return []
+        signs.append(sign)
+    return signs
+
+
 def license_lines(docs: DataFrame, at_least: float = 0.8, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """``(doc_id, line, license, variant, dice)`` for the lines of ``docs(doc_id, text)`` that match a template.
 
@@ -138,7 +166,7 @@ def license_passages(docs: DataFrame, at_least: float = 0.8, templates: dict[str
 
     A passage is as many consecutive words as the template has, or those left, wherever lines break,
     that begin with one of the template's bigrams; ``word`` counts from 0. Dice is twice the shared
-    over the summed numbers of bigrams, repeats included. Texts without any of the ``telling_words``
+    over the summed numbers of bigrams, repeats included. Texts without any of the ``telling_signs``
     are left out first. A passage of m words lies in two neighbouring stretches of m words, so only
     stretches that hold enough of a template's bigrams between them are looked at closer: no other
     passage can share the t * a / (2 - a) bigrams that a template of t needs. Null and empty texts
@@ -146,9 +174,10 @@ def license_passages(docs: DataFrame, at_least: float = 0.8, templates: dict[str
     """
     ratio = at_least / (2 - at_least)
     text = F.coalesce("text", F.lit(""))
-    if words := telling_words(templates, ratio, length_counts=4):
-        low = F.lower(text)
-        docs = docs.where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]))
+    low = F.lower(text)
+    if signs := telling_signs(templates, ratio):
+        held = [F.contains(low, F.lit(w)) if isinstance(w, str) else low.rlike("[^a-z0-9]+".join(w)) for w in signs]
+        docs = docs.where(reduce(Column.__or__, held))
     rows = [(name, k, t) for name, variants in templates.items() for k, t in enumerate(variants)]
     wanted = docs.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("license"), F.lit(k).alias("variant"), F.split(normalised(F.lit(t)), " ").alias("w")) for name, k, t in rows

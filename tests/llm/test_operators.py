@@ -163,6 +163,16 @@ def _passages(text, templates, at_least=0.8):
     return found
 
 
+def test_no_template_matches_without_a_telling_sign():
+    ratio, signs = 0.8 / 1.2, licenses.telling_signs(licenses.PASSAGES, 0.8 / 1.2)
+    assert signs and all(len(s) >= (5 if isinstance(s, str) else 2) for s in signs)
+    for template in (t for variants in licenses.PASSAGES.values() for t in variants):
+        words = re.sub(r"[^a-z0-9]+", " ", template.lower()).strip().split(" ")
+        pairs = list(zip(words, words[1:], strict=False))
+        assert sum(p not in signs and not any(w in signs for w in p) for p in pairs) < len(pairs) * ratio
+    assert licenses.telling_signs({"x": ("ä ö ü",)}, ratio) == []
+
+
 def test_license_passages_against_brute_force(spark):
     rng = random.Random(6)
     wrap = lambda t, n: "\n".join(" # " + " ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
