@@ -114,3 +114,29 @@ def test_hash_provider_is_deterministic_and_of_length_one(spark):
     rows = spark.createDataFrame([(1, "Red bolt red"), (2, "red  RED bolt"), (3, "")], "k int, t string")
     got = {r.k: np.array(r.embedding) for r in vectors.embed_hash(rows, "k", "t", 32).collect()}
     assert np.array_equal(got[1], got[2]) and abs(np.linalg.norm(got[1]) - 1) < 1e-6 and 3 not in got
+
+
+def test_many_queries_meet_parts_of_groups(spark, data, monkeypatch):
+    """Blocks of queries beside parts of points, a large group cut into several, give the hits of brute force."""
+    monkeypatch.setattr(tiles, "QUERY_BLOCK", 1024)
+    p = data[1]
+    q = np.random.default_rng(4).normal(size=(1300, 16))
+    queries = table(spark, [f"q{i:03d}" for i in range(len(q))], q, "query_id")
+    points = table(spark, [f"p{i:04d}" for i in range(len(p))], p, "point_id").repartition(3)
+    check(found(vectors.knn_join(queries, points, 4, group_rows=30, part_rows=70)), brute(q, p, 4))
+
+
+def test_a_task_holds_few_marks_and_cells_at_a_time(monkeypatch):
+    """However many groups a query wants and points reach its bar, they are handed on by slices."""
+    monkeypatch.setattr(tiles, "CELLS", 1000)
+    unit = tiles.unit_rows(np.random.default_rng(5).normal(size=(300, 8)))
+    slices = list(tiles.cells_above(unit, np.arange(100, 300), unit[:50], np.full(300, -0.2)))
+    assert max(len(row) for row, _, _ in slices) <= 1000 and len(slices) == 10
+    want = np.argwhere(unit[100:] @ unit[:50].T >= -0.2) + [100, 0]
+    assert np.array_equal(np.concatenate([np.stack([r, c], axis=1) for r, c, _ in slices]), want)
+
+
+def test_groups_are_packed_into_parts():
+    rings = groups.Rings(np.arange(5), np.array([40, 50, 250, 30, 60]), None, None, None)
+    first, pieces = rings.parts(100)
+    assert first.tolist() == [0, 0, 1, 4, 4] and pieces.tolist() == [1, 1, 3, 1, 1]
