@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from noticelake.session import staged
 
 # A query set is broadcast only when it has at most this many vector elements (8 MiB of doubles).
 BROADCAST_ELEMENTS = 1024 * 1024
+# Texts whose words a task of the hash provider holds at once.
+HASHED_ROWS = 500
 # Payload keys that sit beside the metadata rather than inside it.
 TOP_LEVEL_KEYS = ("page", "document_id", "firm_id", "notice_id", "buyer_name", "value", "region")
 
@@ -36,21 +39,40 @@ def embed_lookup(rows: DataFrame, key: str, vectors: DataFrame, vector_key: str
 def embed_hash(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """Deterministic provider: signed md5 buckets of lower-case words, scaled to length one.
 
-    Words are folded to at most ``dim`` sums per row before anything is shuffled.
+    A row's words are folded to ``dim`` sums inside its task, so no word is shuffled; rows of one key are
+    added up. Texts without words have no row.
     """
-    word = F.explode(F.filter(F.split(F.lower(tx.squeeze(text)), " "), lambda w: w != ""))
-    digest = rows.select(key, word.alias("w")).withColumn("h", F.md5("w"))
-    slot = F.pmod(F.conv(F.substring("h", 1, 6), 16, 10).cast("int"), F.lit(dim)).alias("slot")
-    sign = F.when(F.substring("h", 32, 1) < "8", 1).otherwise(-1).alias("sign")
-    sums = digest.select(key, slot, sign).groupBy(key, "slot").agg(F.sum("sign").alias("n"))
-    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
-    at = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double")
-    filled = packed.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at))
+    kind = dict(rows.dtypes)[key]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, HASHED_ROWS):
+                part = batch.slice(at, HASHED_ROWS)
+                lists = pc.split_pattern(part.column(1), " ")
+                ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+                coded = lists.flatten().dictionary_encode()
+                # Each different word of the slice is hashed once.
+                words = coded.dictionary.cast(pa.binary()).to_pylist()
+                digests = [hashlib.md5(w).hexdigest() for w in words]
+                slot = np.array([int(h[:6], 16) % dim for h in digests], np.int64)
+                sign = np.array([1 if h[31] < "8" else -1 for h in digests], np.int64)
+                sign[[i for i, w in enumerate(words) if not w]] = 0
+                word = coded.indices.to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                cell = owner * dim + slot[word]
+                sums = np.bincount(cell, sign[word], part.num_rows * dim).astype(np.int32)
+                held = np.flatnonzero(np.bincount(owner, sign[word] != 0, part.num_rows))
+                sums = pa.array(sums.reshape(-1, dim)[held].ravel())
+                starts = pa.array(np.arange(len(held) + 1) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(held)), pa.ListArray.from_arrays(starts, sums)], names=[key, "_sums"])
+
+    plain = rows.select(key, F.lower(tx.squeeze(text)).alias("_text")).where("_text <> ''")
+    folded = plain.mapInArrow(fold, f"`{key}` {kind}, _sums array<int>")
+    total = folded.groupBy(key).agg(*[F.sum(F.col("_sums")[i]).alias(f"_s{i}") for i in range(dim)])
+    filled = total.select(key, F.array(*[F.col(f"_s{i}").cast("double") for i in range(dim)]).alias("raw"))
     length = vx.norm("raw")
-    return filled.select(
-        key,
-        F.when(length == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / length)).cast("array<float>").alias("embedding"),
-    )
+    scaled = tx.let(length, lambda n: F.when(n == 0, F.col("raw")).otherwise(F.transform("raw", lambda x: x / n)))
+    return filled.select(key, scaled.cast("array<float>").alias("embedding"))
 
 
 def embed_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callable[[pd.Series], Iterable]]) -> DataFrame:

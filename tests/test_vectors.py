@@ -1,5 +1,7 @@
 """Exact search against brute force, on both routes and under skew."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -140,3 +142,21 @@ def test_groups_are_packed_into_parts():
     rings = groups.Rings(np.arange(5), np.array([40, 50, 250, 30, 60]), None, None, None)
     first, pieces = rings.parts(100)
     assert first.tolist() == [0, 0, 1, 4, 4] and pieces.tolist() == [1, 1, 3, 1, 1]
+
+
+def test_hash_provider_shuffles_no_words(spark):
+    """One partial row of sums for a text, however many words it has; rows of one key are added up."""
+    texts = [("a", " ".join(f"w{i}" for i in range(2000))), ("b", "red bolt"), ("b", "Red nut"), (None, "x"), ("c", None), ("d", " \t ")]
+    rows = spark.createDataFrame(texts, "k string, t string")
+    made = vectors.embed_hash(rows, "k", "t", 16)
+    assert "Generate explode" not in made._jdf.queryExecution().toString()
+    got = {r.k: np.array(r.embedding) for r in made.collect()}
+
+    def plain(words):
+        out = np.zeros(16)
+        for h in (hashlib.md5(w.encode()).hexdigest() for w in words):
+            out[int(h[:6], 16) % 16] += 1 if h[31] < "8" else -1
+        return out / (np.linalg.norm(out) or 1)
+
+    want = {"a": plain([f"w{i}" for i in range(2000)]), "b": plain("red bolt red nut".split()), None: plain(["x"])}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
