@@ -111,7 +111,9 @@ def index_chunks(v: Views):
   SELECT firm_id, notice_id, round(score, 5) AS score, {SCORES_SQL.replace('6)', '5)')}, place::INT AS place FROM ranked WHERE place <= 5"""))
 def recommend_from_texts(v: Views):
     """Capability texts to a query, the query to a vector, and on to ranked notices, all by one provider."""
-    made = staged(pipelines.index_notices(v.notices, vectors.embed_hash).where("embedding IS NOT NULL"), "hashed-points")
+    points = pipelines.index_notices(v.notices, vectors.embed_hash).where("embedding IS NOT NULL")
+    # Search reads no texts of the points, so none are written.
+    made = staged(points.select("point_id", "document_type", "notice_id", "embedding"), "hashed-points")
     skills = v.capability_rows.join(vectors.embed_hash(v.capability_rows, "capability_id", "capability_text"), "capability_id", "left")
     t = v.scoring_tables | {"notice_vectors": made.select("notice_id", "embedding"), "capabilities": skills}
     best = pipelines.recommend_from_texts(v.capability_rows, made, vectors.embed_hash, 5, t)
