@@ -197,7 +197,7 @@ def scan_ocds_json(v: Views):
     from noticelake.session import stage_dir
 
     path = f"{stage_dir(v.spark)}/ocds-{uuid.uuid4().hex}"
-    packages(v).select(F.col("body").alias("value")).write.text(path)
+    packages(v).select(F.col("body").alias("value")).write.option("compression", "gzip").text(path)
     return src.scan_ocds_json(v.spark, path, one_per_line=True).select("id", F.col("tender.status").alias("status"))
 
 
@@ -243,8 +243,11 @@ def concat_pages(v: Views):
     from noticelake.session import stage_dir
 
     path = f"{stage_dir(v.spark)}/release-pages-{uuid.uuid4().hex}"
-    body = packages(v).select(F.col("body").alias("value"), (F.crc32("body") % 2).alias("half"))
-    body.write.partitionBy("half").option("maxRecordsPerFile", 1000).text(path)
+    body = packages(v).select(F.col("body").alias("value"))
+    # A write for each folder: one write of both would sort the pages by folder first.
+    for half in (0, 1):
+        some = body.where(F.crc32("value") % 2 == half)
+        some.write.option("maxRecordsPerFile", 1000).option("compression", "gzip").text(f"{path}/half={half}")
     read = ingest.flatten_ocds(src.scan_ocds_json(v.spark, f"{path}/half=*", one_per_line=True))
     return read.groupBy("tender_status").agg(F.count(F.lit(1)).alias("releases"))
 

@@ -153,7 +153,7 @@ def sync_run(v: Views):
 def ocds_sync(v: Views):
     """Written release files are read, filtered and put into the stored notices; older rows of other ids stay."""
     path = folder(v, "releases")
-    packages(v).select(F.col("body").alias("value")).write.text(path)
+    packages(v).select(F.col("body").alias("value")).write.option("compression", "gzip").text(path)
     found = src.scan_ocds_json(v.spark, path, one_per_line=True)
     stored = v.notices.where("cast(substring(notice_id, 3) as long) % 3 = 0").select("notice_id", F.lit(-1.0).alias("value"))
     after = pipelines.ocds_sync(found, stored, as_of())

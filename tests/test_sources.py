@@ -165,3 +165,18 @@ def test_rejected_releases_keep_their_reason(spark, tmp_path):
     kept = {r.notice_id for r in ingest.filter_active_ocds(flat, as_of()).collect()}
     gone = {r.notice_id: r.reason for r in ingest.rejected_ocds(flat, as_of()).collect()}
     assert kept == {"1"} and gone == {"2": "no published date", "3": "no published date"}
+
+
+@pytest.mark.parametrize("query, folder", [("scan_ocds_json", "ocds-*"), ("concat_pages", "release-pages-*/half=*"), ("ocds_sync", "releases-*")])
+def test_release_texts_are_written_compressed(spark, query, folder):
+    """Every release passes through a file; as plain text they would take several times the disk."""
+    import glob
+
+    from checks.catalog import QUERIES
+    from checks.views import Views
+    from noticelake.session import stage_dir
+
+    listed = lambda: set(glob.glob(f"{stage_dir(spark).removeprefix('file:')}/{folder}/part-*"))
+    before = listed()
+    QUERIES[query](Views(spark, "/root/testdata/sf0.001"))
+    assert (made := listed() - before) and all(f.endswith(".gz") for f in made)
