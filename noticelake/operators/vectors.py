@@ -23,6 +23,8 @@ from noticelake.session import staged
 BROADCAST_ELEMENTS = 1024 * 1024
 # Texts whose words a task of the hash provider holds at once.
 HASHED_ROWS = 500
+# Texts that a task hands to a model at once.
+EMBEDDED_ROWS = 500
 # Payload keys that sit beside the metadata rather than inside it.
 TOP_LEVEL_KEYS = ("page", "document_id", "firm_id", "notice_id", "buyer_name", "value", "region")
 
@@ -79,7 +81,7 @@ def embed_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callabl
     """The user's model as provider: ``(key, embedding, error)``, one row for each row.
 
     ``load`` runs once in each task and returns a function from a batch of texts to their vectors in
-    order, so a model is set up once for many batches. A batch that fails is tried text by text; a
+    order, so a model is set up once for many batches of at most ``EMBEDDED_ROWS`` texts. A batch that fails is tried text by text; a
     text that fails then, or whose vector is missing or not finite, gets a null ``embedding`` and its
     ``error``. Null texts are not sent to the model.
     """
@@ -90,22 +92,29 @@ def embed_model(rows: DataFrame, key: str, text: str, load: Callable[[], Callabl
             return None, f"{type(e).__name__}: {e}"
         return (vector, None) if vector.ndim == 1 and np.isfinite(vector).all() else (None, "not a finite vector")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made_of(model, texts: pd.Series) -> list[tuple]:
+        given = texts[texts.notna()]
+        try:
+            made = [np.asarray(v, dtype=np.float64) for v in model(given)]
+            good = len(made) == len(given) and all(v.ndim == 1 and np.isfinite(v).all() for v in made)
+        except Exception:  # which text it was shows text by text
+            good = False
+        found = [(v, None) for v in made] if good else [one(model, t) for t in given]
+        by_row = dict(zip(given.index, found))
+        return [by_row.get(i, (None, "no text")) for i in texts.index]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for pdf in batches:
-            given = pdf[pdf["_text"].notna()]
-            try:
-                made = [np.asarray(v, dtype=np.float64) for v in model(given["_text"])]
-                good = len(made) == len(given) and all(v.ndim == 1 and np.isfinite(v).all() for v in made)
-            except Exception:  # which text it was shows text by text
-                good = False
-            found = [(v, None) for v in made] if good else [one(model, t) for t in given["_text"]]
-            by_row = dict(zip(given.index, found))
-            rows = [by_row.get(i, (None, "no text")) for i in pdf.index]
-            yield pd.DataFrame({key: pdf[key], "embedding": [v for v, _ in rows], "error": [e for _, e in rows]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBEDDED_ROWS):
+                part = batch.slice(at, EMBEDDED_ROWS)
+                rows = made_of(model, pd.Series(part.column(1).to_pylist(), dtype=object))
+                made = pa.array([None if v is None else v.astype(np.float32) for v, _ in rows], pa.list_(pa.float32()))
+                said = pa.array([e for _, e in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), made, said], names=[key, "embedding", "error"])
 
     lean = rows.select(F.col(key), F.col(text).alias("_text"))
-    return lean.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<float>, error string")
+    return lean.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, embedding array<float>, error string")
 
 
 def embed_outcome(made: DataFrame) -> DataFrame:
