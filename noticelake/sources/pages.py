@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions.text import col, strip, tender_id
+from noticelake.functions.text import col, let, strip, tender_id
 
 # Labels and block ids on a notice page. Each entry gives the output column and what
 # it holds when the page lacks it.
@@ -33,9 +33,12 @@ def _quote(text: str) -> str:
 
 
 def first_match(html, pattern: str, default: str | None) -> Column:
-    """Text of the first capture of ``pattern``; ``default`` when the page has no match."""
-    page = col(html)
-    return F.when(page.rlike(pattern), inner_text(F.regexp_extract(page, pattern, 1))).otherwise(F.lit(default))
+    """Text of the first capture of ``pattern``; ``default`` when the page has no match.
+
+    A page is searched once, then only the match: ``pattern`` takes at least one character and does not look beyond its match.
+    """
+    found = F.regexp_extract(col(html), pattern, 0)
+    return let(found, lambda m: F.when(F.length(m) > 0, inner_text(F.regexp_extract(m, pattern, 1))).otherwise(F.lit(default)))
 
 
 def all_matches(fragment, pattern: str) -> Column:
@@ -61,20 +64,21 @@ def notice_fields(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     for name, label in LABELLED_LISTS.items():
         block = F.regexp_extract(F.col(html), _heading(label) + r"<ul[^>]*>(.*?)</ul>", 1)
         out.append(all_matches(block, r"(?s)<li[^>]*>(.*?)</li>").alias(name))
+    # Blocks are cut out once, then searched.
+    bodies = {}
     for name, block_id in BLOCKS.items():
         title = rf"(?s)<h3[^>]*id=\"{block_id}\"[^>]*>(.*?)</h3>"
-        body = F.regexp_extract(F.col(html), title + r"\s*<div[^>]*govuk-body[^>]*>(.*?)</div>", 2)
+        body = f"_{name}_body"
+        bodies[body] = F.regexp_extract(F.col(html), title + r"\s*<div[^>]*govuk-body[^>]*>(.*?)</div>", 2)
         address = all_matches(body, r"(?s)<p[^>]*>(.*?)</p>")
+        given = let(address, lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit("Unknown"))))
         out += [
             first_match(html, title, "Unknown").alias(f"{name}_name"),
-            F.when(F.size(address) > 0, address).otherwise(F.array(F.lit("Unknown"))).alias(f"{name}_address"),
+            given.alias(f"{name}_address"),
             first_match(body, r"href=\"mailto:([^\"]*)\"", "Unknown").alias(f"{name}_email"),
         ]
-    authority = F.regexp_extract(
-        F.col(html), rf"(?s)<h3[^>]*id=\"{BLOCKS['authority']}\"[^>]*>.*?</h3>\s*<div[^>]*govuk-body[^>]*>(.*?)</div>", 1
-    )
-    out.append(first_match(authority, r"href=\"(http[^\"]*)\"", "Unknown").alias("authority_website"))
-    return pages.select(*out)
+    out.append(first_match("_authority_body", r"href=\"(http[^\"]*)\"", "Unknown").alias("authority_website"))
+    return pages.withColumns(bodies).select(*out)
 
 
 def page_links(pages: DataFrame, pattern: str, key: str = "page_id", html: str = "html") -> DataFrame:
