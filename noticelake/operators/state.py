@@ -193,7 +193,9 @@ def owned_lookup(rows: DataFrame, asked: DataFrame, key: str, owner: str = "firm
 def notice_lookup(points: DataFrame, asked: DataFrame) -> DataFrame:
     """Details of the asked notices, one row per notice id (the lowest point id)."""
     found = points.join(asked.select("notice_id").distinct(), "notice_id", "left_semi")
-    return first_by(found, ["notice_id"], "point_id")
+    # A window leaves out columns that no one reads; an aggregation of whole rows would take their texts along.
+    lowest = F.row_number().over(Window.partitionBy("notice_id").orderBy(F.asc_nulls_last("point_id")))
+    return found.withColumn("_n", lowest).where(F.col("_n") == 1).select(*points.columns)
 
 
 def profile_assemble(firms: DataFrame, capabilities: DataFrame, past_wins: DataFrame, preferences: DataFrame) -> DataFrame:
