@@ -55,9 +55,9 @@ def embed_hash(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
                 coded = lists.flatten().dictionary_encode()
                 # Each different word of the slice is hashed once.
                 words = coded.dictionary.cast(pa.binary()).to_pylist()
-                digests = [hashlib.md5(w).hexdigest() for w in words]
-                slot = np.array([int(h[:6], 16) % dim for h in digests], np.int64)
-                sign = np.array([1 if h[31] < "8" else -1 for h in digests], np.int64)
+                made = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in words]), np.uint8).reshape(-1, 16).astype(np.int64)
+                slot = (made[:, 0] << 16 | made[:, 1] << 8 | made[:, 2]) % dim
+                sign = np.where(made[:, 15] & 15 < 8, 1, -1)
                 sign[[i for i, w in enumerate(words) if not w]] = 0
                 word = coded.indices.to_numpy()
                 owner = np.repeat(np.arange(part.num_rows), np.diff(ends))
